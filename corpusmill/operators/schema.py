@@ -44,7 +44,9 @@ def qa_mapping(columns: Sequence[str]) -> dict[str, str]:
             if matches:
                 found[target] = matches[0]
     for position, target in enumerate(QA_KEYWORDS):
-        if target not in found and position < len(columns) and columns[position] not in found.values():
+        if target in found or position >= len(columns) or columns[position] in found.values():
+            continue
+        if all(rank(columns[position], t) is None for t in QA_KEYWORDS):
             found[target] = columns[position]
     return found
 

@@ -19,6 +19,7 @@ from corpusmill.session import cut_lineage
 
 SCORES = ("full", "jaccard", "exact_contains")
 _EPS = 1e-9
+_LEAD = 12  # characters that a short text is looked up by
 # Recent mode puts this many stored rows into every task.
 MAX_RECENT = 5000
 
@@ -28,6 +29,13 @@ def _quick(asked: Column, stored: Column) -> Column:
         F.contains(asked, stored) | F.contains(stored, asked), sim.CONTAINED).otherwise(0.0)
 
 
+def _not_empty(*texts: Column) -> Column:
+    out = F.lit(True)
+    for t in texts:
+        out = out & (F.length(t) > 0)
+    return out
+
+
 def recall_recent(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, recent_n: int = 50,
                   score: str = "full", question: str = "question") -> DataFrame:
     """Each query with match_id, match_question and similarity of its best row, or nulls; ties go to the newest row."""
@@ -51,7 +59,8 @@ def recall_recent(queries: DataFrame, memory: DataFrame, threshold: float = 0.7,
         return F.struct(m["created_at"].alias("at"), m["id"].alias("id"), m["question"].alias("question"),
                         m["text"].alias("text"), value.alias("value"), jaccard.alias("jaccard"), bound.alias("bound"))
 
-    out = out.withColumn("_c", F.filter(F.transform("_m", facts), lambda c: c["bound"] >= threshold - _EPS)).drop("_m")
+    out = out.withColumn("_c", F.filter(F.transform("_m", facts), lambda c: (
+        c["bound"] >= threshold - _EPS) & _not_empty(F.col("_q"), c["text"]))).drop("_m")
     if score == "full":
         open_ = F.filter("_c", lambda c: c["value"] == 0)
         need = F.transform(open_, lambda c: (F.lit(threshold) - sim.WORD_WEIGHT * c["jaccard"])
@@ -116,9 +125,12 @@ def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
     short = small.filter(F.size("all").between(1, 2))
     if short.isEmpty():
         return found
-    lead = short.select(F.col("key").alias("s"), F.left("text", F.lit(4)).alias("gram"))
-    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))),
-                          lambda i, n=n: F.substr(F.col("text"), i, F.lit(n))) for n in range(1, 5)]
+    size = F.least(F.length("text"), F.lit(_LEAD))
+    sizes = sorted(r[0] for r in short.select(size).distinct().collect())  # at most _LEAD numbers
+    lead = short.select(F.col("key").alias("s"), F.left("text", size).alias("gram"))
+    pieces = [F.when(F.length("text") >= n, F.transform(
+        F.sequence(F.lit(1), F.length("text") - n + 1), lambda i, n=n: F.substr(F.col("text"), i, F.lit(n))))
+        .otherwise(F.array().cast("array<string>")) for n in sizes]
     l_pieces = large.select(F.col("key").alias("l"), F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"))
     l_pieces = l_pieces.join(lead.select("gram").distinct(), "gram", "left_semi")
     return found.unionByName(_salted(lead, l_pieces, "gram", "s", "l", block).select("s", "l"))

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from corpusmill.functions import lexicons as lx
-from corpusmill.functions.text import WORD, any_of, bounded, strip, word_count
+from corpusmill.functions.text import WORD, any_of, bounded, let, strip, word_count
 
 
 def _col(c: Column | str) -> Column:
@@ -38,8 +38,10 @@ def any_hit(c: Column | str, phrases: Sequence[str]) -> Column:
 
 def term_hits(question: Column | str, answer: Column | str, lexicon: Sequence[str]) -> Column:
     """Distinct lexicon terms found as substrings of either text."""
-    q, a = F.lower(F.coalesce(_col(question), F.lit(""))), F.lower(F.coalesce(_col(answer), F.lit("")))
-    return F.size(F.filter(_literals(lexicon), lambda t: F.contains(q, t) | F.contains(a, t)))
+    both = F.struct(F.lower(F.coalesce(_col(question), F.lit(""))).alias("q"),
+                    F.lower(F.coalesce(_col(answer), F.lit(""))).alias("a"))
+    return let(both, lambda v: F.size(F.filter(
+        _literals(lexicon), lambda t: F.contains(v["q"], t) | F.contains(v["a"], t))))
 
 
 def qa_quality_score(question: Column | str, answer: Column | str, remarks: Column | str | None = None,
@@ -72,16 +74,15 @@ def qa_quality_score(question: Column | str, answer: Column | str, remarks: Colu
                      p["t"]["label"].alias("technical_content"), p["r"].alias("has_remarks"),
                      p["i"].alias("has_improvements")).alias("details"))
 
-    # The one-element array evaluates the parts once per row.
-    return F.get(F.transform(F.array(parts), assess), 0)
+    return let(parts, assess)
 
 
 def estimate_confidence(reflection: Column | str, positive: Sequence[str] = lx.CONFIDENT_WORDS,
                         negative: Sequence[str] = lx.DOUBTFUL_WORDS, match: str = "substring") -> Column:
-    pos, neg = hits(reflection, positive, match), hits(reflection, negative, match)
-    return (F.when(pos > neg, F.least(F.lit(0.8) + pos * 0.05, F.lit(1.0)))
-            .when(neg > pos, F.greatest(F.lit(0.3) - neg * 0.05, F.lit(0.1)))
-            .otherwise(0.6))
+    counts = F.struct(hits(reflection, positive, match).alias("pos"), hits(reflection, negative, match).alias("neg"))
+    return let(counts, lambda v: (
+        F.when(v["pos"] > v["neg"], F.least(F.lit(0.8) + v["pos"] * 0.05, F.lit(1.0)))
+        .when(v["neg"] > v["pos"], F.greatest(F.lit(0.3) - v["neg"] * 0.05, F.lit(0.1))).otherwise(0.6)))
 
 
 def answer_quality(answer: Column | str, reflection: Column | str, vague: Sequence[str] = lx.VAGUE_PHRASES,
@@ -105,12 +106,14 @@ def answer_quality(answer: Column | str, reflection: Column | str, vague: Sequen
 
 def extract_keywords(c: Column | str, stopwords: Sequence[str], phrases: Sequence[str]) -> Column:
     """Distinct words over two characters that are no stop words, plus every phrase the text holds."""
-    low = F.lower(F.coalesce(_col(c), F.lit("")))
-    tokens = F.regexp_extract_all(low, F.lit(f"({WORD}+(?:-{WORD}+)*)"), F.lit(1))
-    kept = F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(list(stopwords))) if stopwords else F.filter(
-        tokens, lambda t: F.length(t) > 2)
-    found = F.filter(_literals(sorted(set(phrases))), lambda p: F.contains(low, p))
-    return F.array_distinct(F.concat(kept, found))
+    def collect(low):
+        tokens = F.regexp_extract_all(low, F.lit(f"({WORD}+(?:-{WORD}+)*)"), F.lit(1))
+        kept = F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(list(stopwords))) if stopwords else F.filter(
+            tokens, lambda t: F.length(t) > 2)
+        found = F.filter(_literals(sorted(set(phrases))), lambda p: F.contains(low, p))
+        return F.array_distinct(F.concat(kept, found))
+
+    return let(F.lower(F.coalesce(_col(c), F.lit(""))), collect)
 
 
 def domain_relevance(question: Column | str, stopwords: Sequence[str],
@@ -121,17 +124,18 @@ def domain_relevance(question: Column | str, stopwords: Sequence[str],
     domains = domains or {"cybersecurity": lx.CYBER_KEYWORDS, "education": lx.EDUCATION_KEYWORDS}
     patterns = patterns if patterns is not None else {"education": lx.EDUCATION_PATTERNS}
     (first, first_words), (second, second_words) = domains.items()
-    low = F.lower(F.coalesce(_col(question), F.lit("")))
-    size = F.size(extract_keywords(question, stopwords, tuple(first_words) + tuple(second_words)))
 
-    def share(name, keywords):
+    def share(low, name, keywords):
         matched = F.size(F.filter(_literals(sorted(set(keywords))), lambda p: F.contains(low, p)))
         for p in patterns.get(name, ()):
             matched = matched + low.rlike("(?u)" + bounded(any_of([p]))).cast("int")
         return matched
 
-    facts = F.struct(size.alias("n"), share(first, first_words).alias("a"), share(second, second_words).alias("b"),
-                     any_hit(question, hints).alias("hint"))
+    def facts(low):
+        return F.struct(
+            F.size(extract_keywords(low, stopwords, tuple(first_words) + tuple(second_words))).alias("n"),
+            share(low, first, first_words).alias("a"), share(low, second, second_words).alias("b"),
+            any_hit(low, hints).alias("hint"))
 
     def verdict(score, name):
         return F.struct(F.round(score, 9).alias("score"), F.lit(name).alias("domain"))
@@ -144,7 +148,7 @@ def domain_relevance(question: Column | str, stopwords: Sequence[str],
                 .when(f["hint"], verdict(F.lit(0.3), "general-educational"))
                 .otherwise(verdict(F.lit(0.0), "out-of-domain")))
 
-    return F.get(F.transform(F.array(facts), decide), 0)
+    return let(F.lower(F.coalesce(_col(question), F.lit(""))), lambda low: let(facts(low), decide))
 
 
 def domain_gate(relevance: Column, threshold: float = 0.2,

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.text import strip, words
+from corpusmill.functions.text import let, strip, words
 
 CONTAINED = 0.9
 SEQUENCE_WEIGHT, WORD_WEIGHT = 0.6, 0.4
@@ -24,14 +24,16 @@ def normalized(c: Column | str) -> Column:
 
 def exact_contains(a: Column | str, b: Column | str) -> Column:
     """1.0 for equal texts, 0.9 if one holds the other, else 0.0 (inputs normalised)."""
-    x, y = normalized(a), normalized(b)
-    return F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), CONTAINED).otherwise(0.0)
+    both = F.struct(normalized(a).alias("x"), normalized(b).alias("y"))
+    return let(both, lambda v: F.when(v["x"] == v["y"], 1.0).when(
+        F.contains(v["x"], v["y"]) | F.contains(v["y"], v["x"]), CONTAINED).otherwise(0.0))
 
 
 def jaccard_of_sets(a: Column, b: Column) -> Column:
     """Jaccard of two arrays without repeats; 0 if either is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+    sizes = F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.size(a).alias("a"), F.size(b).alias("b"))
+    return let(sizes, lambda n: F.when((n["a"] == 0) | (n["b"] == 0), 0.0).otherwise(
+        n["both"] / (n["a"] + n["b"] - n["both"])))
 
 
 def word_set(c: Column | str) -> Column:
@@ -39,7 +41,8 @@ def word_set(c: Column | str) -> Column:
 
 
 def word_jaccard(a: Column | str, b: Column | str) -> Column:
-    return jaccard_of_sets(word_set(normalized(a)), word_set(normalized(b)))
+    sets = F.struct(word_set(normalized(a)).alias("x"), word_set(normalized(b)).alias("y"))
+    return let(sets, lambda v: jaccard_of_sets(v["x"], v["y"]))
 
 
 def levenshtein_ratio(a: Column | str, b: Column | str) -> Column:

@@ -32,6 +32,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, also where lambdas refer to it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+
+
 def bounded(pattern: str) -> str:
     """The pattern between word boundaries of any script."""
     return rf"(?<!{WORD})(?:{pattern})(?!{WORD})"
@@ -93,17 +98,26 @@ def code_spans(c: Column | str) -> Column:
 
 def mask_code_spans(c: Column | str) -> Column:
     """Back-tick spans become <CODEi>; equal spans of a row share the first index."""
-    spans = code_spans(c)
-    pieces = F.split(_col(c), "`[^`]+`")
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(
-        F.lit("<CODE"), (F.array_position(spans, F.get(spans, i - 1)) - 1).cast("string"), F.lit(">"), p))), "")
+    parts = F.struct(F.split(_col(c), "`[^`]+`").alias("pieces"), code_spans(c).alias("spans"))
+
+    def join(v):
+        marks = F.transform(v["spans"], lambda s: F.concat(
+            F.lit("<CODE"), (F.array_position(v["spans"], s) - 1).cast("string"), F.lit(">")))
+        return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), marks), v["pieces"], lambda m, p: F.concat(m, p)), "")
+
+    return let(parts, join)
 
 
 def restore_code_spans(c: Column | str, spans: Column | str) -> Column:
     ids = F.regexp_extract_all(_col(c), F.lit(r"<CODE(\d+)>"), F.lit(1))
-    pieces = F.split(_col(c), r"<CODE\d+>")
-    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(
-        F.lit("`"), F.coalesce(F.get(_col(spans), F.get(ids, i - 1).cast("int")), F.lit("")), F.lit("`"), p))), "")
+    parts = F.struct(F.split(_col(c), r"<CODE\d+>").alias("pieces"), ids.alias("ids"), _col(spans).alias("spans"))
+
+    def join(v):
+        code = F.transform(v["ids"], lambda i: F.concat(
+            F.lit("`"), F.coalesce(F.get(v["spans"], i.cast("int")), F.lit("")), F.lit("`")))
+        return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), code), v["pieces"], lambda m, p: F.concat(m, p)), "")
+
+    return let(parts, join)
 
 
 def evaluative_pattern(intensifiers: Sequence[str] = lx.INTENSIFIERS, sentiment: Sequence[str] = lx.SENTIMENT_WORDS,
@@ -242,8 +256,8 @@ def protect_patterns(c: Column | str, patterns: Sequence[str], clean: Callable[[
         return clean(_col(c))
     pattern = ("(?iu)" if ignore_case else "") + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
     spans = F.regexp_extract_all(_col(c), F.lit(f"({pattern})"), F.lit(1))
-    pieces = F.split(_col(c), pattern)
-    joined = F.transform(pieces, lambda p, i: F.concat_ws(" ", F.get(spans, i - 1), clean(p)))
+    cleaned = F.transform(F.split(_col(c), pattern), lambda p: clean(p))
+    joined = F.zip_with(F.concat(F.array(F.lit("")), spans), cleaned, lambda span, p: F.concat(span, F.lit(" "), p))
     return squeeze_ws(F.array_join(joined, " "))
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.functions.text import let
 from corpusmill.operators.profile import count_duplicates
 from corpusmill.session import cut_lineage
 
@@ -82,9 +83,9 @@ def tfidf(df: DataFrame, column: str, key: str = "row_id", max_features: int | N
     weighted = counts.join(ranked, "term").select(
         key, F.struct("rank", (F.col("tf") * idf).alias("w"), "term").alias("x"))
     vec = weighted.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("raw"))
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    return vec.withColumn("norm", norm).select(key, F.transform("raw", lambda x: F.struct(
-        x["rank"].alias("rank"), (x["w"] / F.col("norm")).alias("w"), x["term"].alias("term"))).alias("vec"))
+    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    return vec.select(key, let(length, lambda n: F.transform("raw", lambda x: F.struct(
+        x["rank"].alias("rank"), (x["w"] / n).alias("w"), x["term"].alias("term")))).alias("vec"))
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions import similarity as sim
-from corpusmill.functions.text import words
+from corpusmill.functions.text import let, words
 from corpusmill.operators.feedback import latest_per_key
 from corpusmill.session import cut_lineage
 
@@ -45,28 +45,30 @@ def recall_recent(queries: DataFrame, memory: DataFrame, threshold: float = 0.7,
     stored = sim.normalized("question")
     array = newest.agg(F.collect_list(F.struct(
         "created_at", "id", "question", stored.alias("text"), sim.word_set(stored).alias("words"))).alias("m"))
-    out = queries.withColumns({"_q": sim.normalized(question), "_qw": sim.word_set(sim.normalized(question)),
-                               "_m": array.scalar()})
+    asked = F.struct(sim.normalized(question).alias("text"), sim.word_set(sim.normalized(question)).alias("words"))
 
-    def facts(m):
-        jaccard = sim.jaccard_of_sets(F.col("_qw"), m["words"])
+    def facts(q, m):
+        jaccard = sim.jaccard_of_sets(q["words"], m["words"])
         if score == "jaccard":
             value = bound = jaccard
         else:
-            value = _quick(F.col("_q"), m["text"])
+            value = _quick(q["text"], m["text"])
             bound = value if score == "exact_contains" else F.when(value > 0, value).otherwise(
-                sim.blended(sim.ratio_bound(F.col("_q"), m["text"]), jaccard))
+                sim.blended(sim.ratio_bound(q["text"], m["text"]), jaccard))
         return F.struct(m["created_at"].alias("at"), m["id"].alias("id"), m["question"].alias("question"),
                         m["text"].alias("text"), value.alias("value"), jaccard.alias("jaccard"), bound.alias("bound"))
 
-    out = out.withColumn("_c", F.filter(F.transform("_m", facts), lambda c: (
-        c["bound"] >= threshold - _EPS) & _not_empty(F.col("_q"), c["text"]))).drop("_m")
+    def candidates(v):
+        return F.filter(F.transform(v["m"], lambda m: facts(v["q"], m)), lambda c: (
+            c["bound"] >= threshold - _EPS) & _not_empty(v["q"]["text"], c["text"]))
+
+    out = queries.withColumn("_c", let(F.struct(asked.alias("q"), array.scalar().alias("m")), candidates))
     if score == "full":
         open_ = F.filter("_c", lambda c: c["value"] == 0)
         need = F.transform(open_, lambda c: (F.lit(threshold) - sim.WORD_WEIGHT * c["jaccard"])
                            / sim.SEQUENCE_WEIGHT - _EPS)
         out = out.withColumn("_open", open_).withColumn(
-            "_ratios", sim.sequence_ratios_at_least("_q", F.transform("_open", lambda c: c["text"]), need))
+            "_ratios", sim.sequence_ratios_at_least(sim.normalized(question), F.transform("_open", lambda c: c["text"]), need))
         scored = F.transform("_open", lambda c, i: F.struct(
             sim.blended(F.get("_ratios", i), c["jaccard"]).alias("similarity"), c["at"].alias("at"),
             c["id"].alias("id"), c["question"].alias("question")))
@@ -106,9 +108,11 @@ def _salted(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id:
 def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
     """(s, l): candidates for small text inside large text; both sides carry (key, text, all)."""
     def grams(c):
-        pairs = F.transform(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))),
-                            lambda w, i: F.concat(w, F.lit(" "), F.get(c, i + 1)))
-        return F.array_distinct(F.concat(c, pairs))
+        def with_pairs(w):
+            rest = F.greatest(F.size(w) - 1, F.lit(0))
+            pairs = F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda x, y: F.concat(x, F.lit(" "), y))
+            return F.array_distinct(F.concat(w, pairs))
+        return let(c, with_pairs)
 
     # Texts of three and more words: their inner words stand whole, with equal spacing, in any text around them.
     inner = F.slice("all", 2, F.greatest(F.size("all") - 2, F.lit(0)))

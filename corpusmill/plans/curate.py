@@ -124,7 +124,7 @@ def clean_text(c: str, s: TextSettings) -> Column:
         tokens = tx.tokenize_filter(noise, s.min_word_length, s.stopwords if s.remove_stopwords else (),
                                     s.custom_stopwords if s.remove_stopwords else ())
         if s.lemmatize:
-            tokens = F.transform(tokens, tx.lemma)
+            tokens = F.transform(tokens, lambda t: tx.lemma(t))
         return F.array_join(tokens, " ")
 
     out = tx.protect_patterns(F.coalesce(F.col(c), F.lit("")), s.preserve_patterns, clean, s.ignore_case)

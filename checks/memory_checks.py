@@ -67,7 +67,7 @@ def _upsert(spark, sf_dir):
 def _corrections(spark, sf_dir):
     base = d.feedback(spark, sf_dir)
     known = base.filter(F.col("source") == fb.CORRECTED).select(
-        "question", F.upper(F.left("base_answer", F.lit(50))).alias("user_correction"),
+        "question", F.concat(F.lit("fixed "), F.left("base_answer", F.lit(50))).alias("user_correction"),
         F.lit("seen").alias("reflection"), (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("created_at"))
     unknown = d.table(spark, sf_dir, "benchmark").select(
         F.col("text").alias("question"), F.lit("unknown so far").alias("user_correction"),
@@ -78,7 +78,7 @@ def _corrections(spark, sf_dir):
 
 
 CORRECTIONS = q.FEEDBACK + f""" SELECT id, question_hash, CASE WHEN source = 'user-correction' THEN
-  upper(left(base_answer, 50)) ELSE improvement END AS improvement, source, CASE WHEN source = 'user-correction' THEN 1.0
+  'fixed ' || left(base_answer, 50) ELSE improvement END AS improvement, source, CASE WHEN source = 'user-correction' THEN 1.0
   ELSE confidence_score END::DOUBLE AS confidence_score, CASE WHEN source = 'user-correction' THEN 'user-feedback' ELSE
   'conversation' END AS improvement_type, CASE WHEN source = 'user-correction' THEN 'seen' ELSE reflection END AS
   reflection, strftime(CASE WHEN source = 'user-correction' THEN created_at + INTERVAL 1 HOUR ELSE created_at END,
@@ -144,7 +144,8 @@ def _document_recall(spark, sf_dir):
         "doc_id", "match_id", F.round("similarity", 6).alias("similarity"))
 
 
-DOCUMENT_RECALL = rf"""WITH x AS (SELECT doc_id, list_distinct({q.words(q.norm("regexp_replace(text, '^\s*\S+', '')"))}) AS
+_REST = r"regexp_replace(text, '^\s*\S+', '')"
+DOCUMENT_RECALL = f"""WITH x AS (SELECT doc_id, list_distinct({q.words(q.norm(_REST))}) AS
   w FROM documents), m AS (SELECT doc_id, list_distinct({q.words(q.norm('text'))}) AS w FROM documents),
   xe AS (SELECT doc_id, unnest(w) AS t FROM x), me AS (SELECT doc_id, unnest(w) AS t FROM m),
   c AS (SELECT xe.doc_id, me.doc_id AS mid, count(*) AS n FROM xe JOIN me USING (t) GROUP BY ALL),
@@ -160,7 +161,7 @@ def _qa_recall(spark, sf_dir, recent):
 
 
 def _stub_answer():
-    return lambda prompts: [p.upper() for p in prompts]
+    return lambda prompts: ["echo " + p for p in prompts]
 
 
 def _stub_critic():
@@ -194,8 +195,7 @@ def _reflected_sql():
     return f"""WITH v AS ({gate}), x AS (SELECT doc_id, text, {q.norm('text')} AS t FROM documents),
       m AS (SELECT * FROM x ORDER BY doc_id DESC LIMIT 50), p AS (SELECT x.doc_id, m.doc_id AS mid, {EC} AS sim FROM x, m),
       b AS (SELECT doc_id, mid FROM p WHERE sim >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC,
-      mid DESC) = 1), a AS (SELECT x.doc_id, text, domain, relevant, mid, upper(trim('Answer clearly and completely.' || chr(10)
-      || 'Question: ' || text)) AS ans FROM x JOIN v USING (doc_id) LEFT JOIN b USING (doc_id)),
+      mid DESC) = 1), a AS (SELECT x.doc_id, text, domain, relevant, mid, 'echo ' || {q.strip("'Answer clearly and completely.' || chr(10) || 'Question: ' || text")} AS ans FROM x JOIN v USING (doc_id) LEFT JOIN b USING (doc_id)),
       c AS (SELECT *, 'accurate ' || length('Name errors and gaps of this answer.' || chr(10) || 'Question: ' || text ||
       chr(10) || 'Answer: ' || ans) AS crit FROM a)
       SELECT doc_id AS id, CASE WHEN NOT relevant THEN 'declined' WHEN mid IS NOT NULL THEN 'reused' ELSE 'answered' END AS
@@ -216,7 +216,7 @@ def _evaluated(spark, sf_dir):
     return rows.select("row_id", "generated", F.round("length_ratio", 6).alias("length_ratio"), "contains_terms")
 
 
-EVALUATED = f"""{q.QA}, x AS (SELECT row_id, upper(trim('Constitutional Legal Analysis: ' || question || chr(10) || chr(10) ||
+EVALUATED = f"""{q.QA}, x AS (SELECT row_id, 'echo ' || (('Constitutional Legal Analysis: ' || question || chr(10) || chr(10) ||
   'Give a full legal response:')) AS generated, answer FROM qa ORDER BY substr(md5('42:' || row_id), 1, 8), row_id LIMIT 20)
   SELECT row_id, generated, round(length(generated) / length(answer), 6) AS length_ratio, contains(lower(generated), 'law')
   OR contains(lower(generated), 'tion') AS contains_terms FROM x"""
@@ -260,8 +260,8 @@ LEGACY = f"""{q.FEEDBACK} SELECT question_hash, improvement, source, CASE WHEN s
 
 
 def _stream(spark, sf_dir, name):
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = d.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _events(spark, sf_dir):
@@ -386,7 +386,7 @@ CHECKS = {
         lambda: f"SELECT count(*) AS queries, count(match_id) AS reuse_count, count(*) - count(match_id) AS misses FROM "
                 f"({BENCHMARK_RECALL})"),
     "apply_generator": (
-        _generated, lambda: _with(q.QA, f"SELECT row_id, upper({q.strip(chr(39) + 'Question: ' + chr(39) + ' || question')}) AS "
+        _generated, lambda: _with(q.QA, f"SELECT row_id, 'echo ' || {q.strip(chr(39) + 'Question: ' + chr(39) + ' || question')} AS "
                                         "text, 'ok' AS status, NULL::VARCHAR AS error FROM qa")),
     "reflect_job": (_reflected, _reflected_sql),
     "evaluate_answers": (_evaluated, lambda: _with(EVALUATED, "")),

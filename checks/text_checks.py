@@ -17,15 +17,16 @@ TERMS = ("the", "hand", "ing", "tion", "dans", "nicht")
 CLOSED = lx.CLOSED_CLASS
 
 
-def docs(column, name="out", *more):
-    """A query that projects one expression of the documents."""
+def docs(column, **more):
+    """A query that projects expressions of the documents."""
     def run(spark, sf_dir):
-        return d.documents(spark, sf_dir).select("doc_id", column().alias(name), *more)
+        columns = {"out": column, **more}
+        return d.documents(spark, sf_dir).select("doc_id", *[c().alias(n) for n, c in columns.items()])
     return run
 
 
-def docs_sql(expression, name="out"):
-    return f"SELECT doc_id, {expression} AS {name} FROM documents"
+def docs_sql(expression):
+    return f"SELECT doc_id, {expression} AS out FROM documents"
 
 
 def token_class_sql(t, lexicon, closed):
@@ -257,7 +258,7 @@ CHECKS = {
         docs(lambda: tx.first_words("text", 150, "…")),
         lambda: docs_sql(f"array_to_string(({q.words('text')})[1:150], ' ') || "
                          f"CASE WHEN {q.wc('text')} > 150 THEN '…' ELSE '' END")),
-    "question_hash": (docs(lambda: tx.question_hash("text"), "out", tx.question_key("text").alias("key")),
+    "question_hash": (docs(lambda: tx.question_hash("text"), key=lambda: tx.question_key("text")),
                       lambda: f"SELECT doc_id, substr(md5({q.norm('text')}), 1, 8) AS out, md5({q.norm('text')}) AS key "
                               "FROM documents"),
     "build_prompt": (

@@ -62,7 +62,8 @@ def recall_recent(queries: DataFrame, memory: DataFrame, threshold: float = 0.7,
         return F.filter(F.transform(v["m"], lambda m: facts(v["q"], m)), lambda c: (
             c["bound"] >= threshold - _EPS) & _not_empty(v["q"]["text"], c["text"]))
 
-    out = queries.withColumn("_c", let(F.struct(asked.alias("q"), array.scalar().alias("m")), candidates))
+    out = queries.withColumn("_m", array.scalar())
+    out = out.withColumn("_c", let(F.struct(asked.alias("q"), F.col("_m").alias("m")), candidates)).drop("_m")
     if score == "full":
         open_ = F.filter("_c", lambda c: c["value"] == 0)
         need = F.transform(open_, lambda c: (F.lit(threshold) - sim.WORD_WEIGHT * c["jaccard"])

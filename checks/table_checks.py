@@ -9,6 +9,7 @@ from checks.text_checks import TERMS, clean_sql, stop, stop_sql
 from corpusmill.functions import scores as sc, sequences as seq, similarity as sim, text as tx
 from corpusmill.operators import dedupe, filters, ordering, profile, splits, vocab
 from corpusmill.plans import curate, reflect, report
+from corpusmill.session import compute_once
 from corpusmill.sources import derived as d
 
 POSITIVE, NEGATIVE = ("th the", "hand", "tion"), ("with", "and the", "les", "sch")
@@ -49,7 +50,7 @@ CATEGORY = "CASE WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE
 
 def _quality(spark, sf_dir):
     pairs = d.document_pairs(spark, sf_dir)
-    return pairs.withColumn("quality", sc.qa_quality_score("question", "answer", "remarks", "improvements", TERMS))
+    return compute_once(pairs, {"quality": sc.qa_quality_score("question", "answer", "remarks", "improvements", TERMS)})
 
 
 def _quality_rows(spark, sf_dir):
@@ -63,7 +64,7 @@ def _quality_rows(spark, sf_dir):
 
 def _cleaned(spark, sf_dir):
     """The first slice of the corpus job: document pairs, cleaned, filtered, scored."""
-    pairs = d.document_pairs(spark, sf_dir).withColumns({
+    pairs = compute_once(d.document_pairs(spark, sf_dir), {
         "question_clean": tx.clean_qa_text("question", "question", TERMS),
         "answer_clean": tx.clean_qa_text("answer", "general", TERMS)})
     kept = filters.min_size_filter(filters.drop_empty_clean(filters.drop_missing(pairs, ["question", "answer"]),
@@ -261,7 +262,7 @@ def _report(spark, sf_dir):
 
 
 def _steps(spark, sf_dir):
-    pairs = d.document_pairs(spark, sf_dir).withColumns({"question_clean": tx.strip_noise("question"),
+    pairs = compute_once(d.document_pairs(spark, sf_dir), {"question_clean": tx.strip_noise("question"),
                                                          "answer_clean": tx.strip_noise("answer")})
     return profile.step_counts(pairs, curate.cleaning_steps()).select(F.col("position").cast("long").alias("position"),
                                                                       "step", "rows")

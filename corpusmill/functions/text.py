@@ -146,14 +146,26 @@ def preserve_terms(c: Column | str, lexicon: Sequence[str] = lx.TECHNICAL_TERMS)
 
 def expand_contractions(c: Column | str, table: Mapping[str, str] = lx.CONTRACTIONS,
                         suffixes: Mapping[str, str] = lx.CONTRACTION_SUFFIXES, possessive: bool = False) -> Column:
-    """Whole contractions first, then suffixes; possessive 's only on request."""
-    out = _col(c)
-    for short, full in sorted(table.items(), key=lambda kv: (-len(kv[0]), kv[0])):
-        out = F.regexp_replace(out, "(?iu)" + bounded(re.escape(short)), full)
+    """Whole contractions first, then suffixes; possessive 's only on request.
+
+    Only words with an apostrophe are looked at, so text without any passes through.
+    """
     tails = {**suffixes, **(lx.POSSESSIVE_SUFFIX if possessive else {})}
-    for short, full in sorted(tails.items(), key=lambda kv: (-len(kv[0]), kv[0])):
-        out = F.regexp_replace(out, rf"(?iu)(?<={WORD}){re.escape(short)}(?!{WORD})", full)
-    return out
+
+    def expand(word):
+        for short, full in sorted(table.items(), key=lambda kv: (-len(kv[0]), kv[0])):
+            word = F.regexp_replace(word, "(?iu)" + bounded(re.escape(short)), full)
+        for short, full in sorted(tails.items(), key=lambda kv: (-len(kv[0]), kv[0])):
+            word = F.regexp_replace(word, rf"(?iu)(?<={WORD}){re.escape(short)}(?!{WORD})", full)
+        return word
+
+    def by_word(t):
+        # A word with apostrophes, or anything up to the next one.
+        pieces = F.split(F.regexp_replace(t, rf"{WORD}+(?:'{WORD}+)+", f"{OPEN}$0{CLOSE}"), OPEN)
+        return F.array_join(F.transform(pieces, lambda p: F.when(F.contains(p, F.lit(CLOSE)), F.concat(
+            expand(F.substring_index(p, CLOSE, 1)), F.substring_index(p, CLOSE, -1))).otherwise(p)), "")
+
+    return let(_col(c), lambda t: F.when(F.contains(t, F.lit("'")), by_word(t)).otherwise(t))
 
 
 def mask_urls_emails(c: Column | str) -> Column:
@@ -178,7 +190,7 @@ def token_class(t: Column, lexicon: Sequence[str] = lx.TECHNICAL_TERMS,
     low = F.lower(t)
     return (
         F.when(low.isin(list(lexicon)), "term")
-        .when(t.rlike(r"^<(?:URL|EMAIL|CODE\d*)>$"), "placeholder")
+        .when(t.startswith("<") & t.rlike(r"^<(?:URL|EMAIL|CODE\d*)>$"), "placeholder")
         .when(t.isin(list(lx.KEPT_PUNCTUATION)), "punct")
         .when(t.rlike(r"^\p{Nd}+$"), "digits")
         .when(low.isin(list(lx.MODAL_CLASS)), "modal")
@@ -211,7 +223,7 @@ def lemma(t: Column, exceptions: Mapping[str, str] | None = None) -> Column:
     out = None
     for word, form in (exceptions or {}).items():
         out = F.when(t == word, form) if out is None else out.when(t == word, form)
-    keep = t.rlike("(?:ss|us|is)$") | (F.length(t) <= 3)
+    keep = t.endswith("ss") | t.endswith("us") | t.endswith("is") | (F.length(t) <= 3)
     out = F.when(keep, t) if out is None else out.when(keep, t)
     for ending, form in LEMMA_RULES:
         out = out.when(t.endswith(ending), F.concat(F.left(t, F.length(t) - len(ending)), F.lit(form)))

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from corpusmill.functions.text import let
 from corpusmill.operators.profile import count_duplicates
-from corpusmill.session import cut_lineage
+from corpusmill.session import compute_once, cut_lineage
 
 DUPLICATE_MODES = ("remove", "keep_first", "keep_last", "keep_all")
 _BUCKETS = 64
@@ -222,7 +222,7 @@ def distinct_vectors(df: DataFrame, column: str, key: str, max_features: int | N
     those of the whole table. ``best`` are columns by which the first of a group is chosen (descending).
     """
     order = F.struct(*[(-F.col(b)).alias(f"_{b}") for b in best], F.col(key).alias("first"))
-    tagged = df.select(key, *best, _terms_digest(column, stopwords).alias("digest"))
+    tagged = compute_once(df.select(key, *best, column), {"digest": _terms_digest(column, stopwords)}).drop(column)
     firsts = cut_lineage(tagged.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
         F.min(order).alias("o"), F.count(F.lit(1)).alias("copies")))
     chosen = firsts.select(F.col("o.first").alias(key), "o", "copies")
@@ -295,7 +295,8 @@ def near_duplicates(df: DataFrame, column: str, key: str = "row_id", threshold:
     # Texts left without a kept term resemble nothing, not even their copies.
     without_vector = firsts.join(ranked.select(F.col(key).alias("first")), F.col("o.first") == F.col("first"),
                                  "left_anti").select("digest")
-    repeats = (df.select(key, _terms_digest(column, stopwords).alias("digest")).filter(F.col("digest").isNotNull())
+    digests = compute_once(df.select(key, column), {"digest": _terms_digest(column, stopwords)}).drop(column)
+    repeats = (digests.filter(F.col("digest").isNotNull())
                .join(firsts.select(F.col("o.first").alias(key)), key, "left_anti")
                .join(without_vector, "digest", "left_anti").select(key))
 

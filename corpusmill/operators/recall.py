@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusmill.functions import similarity as sim
 from corpusmill.functions.text import let, words
 from corpusmill.operators.feedback import latest_per_key
-from corpusmill.session import cut_lineage
+from corpusmill.session import broadcast_if_small, compute_once, cut_lineage
 
 SCORES = ("full", "jaccard", "exact_contains")
 _EPS = 1e-9
@@ -48,7 +48,7 @@ def recall_recent(queries: DataFrame, memory: DataFrame, threshold: float = 0.7,
     asked = F.struct(sim.normalized(question).alias("text"), sim.word_set(sim.normalized(question)).alias("words"))
 
     def facts(q, m):
-        jaccard = sim.jaccard_of_sets(q["words"], m["words"])
+        jaccard = sim.jaccard_of_sets(q["words"], m["words"]) if score != "exact_contains" else F.lit(0.0)
         if score == "jaccard":
             value = bound = jaccard
         else:
@@ -107,7 +107,7 @@ def _salted(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id:
 
 
 def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
-    """(s, l): candidates for small text inside large text; both sides carry (key, text, all)."""
+    """(s, l): candidates for small text inside large text; both sides carry (key, text)."""
     def grams(c):
         def with_pairs(w):
             rest = F.greatest(F.size(w) - 1, F.lit(0))
@@ -115,16 +115,24 @@ def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
             return F.array_distinct(F.concat(w, pairs))
         return let(c, with_pairs)
 
+    # A text holds no longer one; both bounds are single numbers.
+    longest = large.agg(F.max(F.length("text"))).first()[0]
+    small = small.filter(F.length("text") <= F.lit(longest))
+    least = small.agg(F.min(F.length("text"))).first()[0]
+    large = large.filter(F.length("text") >= F.lit(least))
+    pieces = F.split("text", " ")
+    small, large = small.withColumn("all", pieces), large.withColumn("all", pieces)
     # Texts of three and more words: their inner words stand whole, with equal spacing, in any text around them.
     inner = F.slice("all", 2, F.greatest(F.size("all") - 2, F.lit(0)))
     s_grams = small.filter(F.size("all") >= 3).select(F.col("key").alias("s"), F.explode(grams(inner)).alias("gram"))
     l_grams = large.select(F.col("key").alias("l"), F.explode(grams(F.col("all"))).alias("gram"))
-    l_grams = l_grams.join(s_grams.select("gram").distinct(), "gram", "left_semi")
+    l_grams = cut_lineage(l_grams.join(
+        broadcast_if_small(s_grams.select("gram").distinct()), "gram", "left_semi"))
     counts = l_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = (s_grams.join(counts, "gram", "left").groupBy("s")
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
               .filter(F.col("g.n") > 0).select("s", F.col("g.gram").alias("gram")))
-    found = _salted(rarest, l_grams, "gram", "s", "l", block).select("s", "l")
+    found = _salted(cut_lineage(rarest), l_grams, "gram", "s", "l", block).select("s", "l")
 
     # Texts of one or two words may sit inside words: match them by their first characters.
     short = small.filter(F.size("all").between(1, 2))
@@ -137,21 +145,23 @@ def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
         F.sequence(F.lit(1), F.length("text") - n + 1), lambda i, n=n: F.substr(F.col("text"), i, F.lit(n))))
         .otherwise(F.array().cast("array<string>")) for n in sizes]
     l_pieces = large.select(F.col("key").alias("l"), F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"))
-    l_pieces = l_pieces.join(lead.select("gram").distinct(), "gram", "left_semi")
+    l_pieces = cut_lineage(l_pieces.join(
+        broadcast_if_small(lead.select("gram").distinct()), "gram", "left_semi"))
     return found.unionByName(_salted(lead, l_pieces, "gram", "s", "l", block).select("s", "l"))
 
 
 def _overlapping(asked: DataFrame, stored: DataFrame, least: float, block: int) -> DataFrame:
     """(q, m) that can have a word Jaccard of ``least``: prefix, size and position filters on rare-first words."""
-    both = asked.select("words").unionByName(stored.select("words"))
-    frequency = both.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array_distinct(words("text"))).alias("w")
+    both = asked.select("text").unionByName(stored.select("text"))
+    frequency = both.select(each).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
     def prefix(df, ident, size, place):
-        ordered = (df.select(F.col("key").alias(ident), F.explode("words").alias("w")).join(frequency, "w")
+        ordered = (df.select(F.col("key").alias(ident), each).join(frequency, "w")
                    .groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("o")))
         keep = F.size("o") - F.ceil(F.size("o") * least - _EPS).cast("int") + 1
-        return ordered.select(ident, F.size("o").alias(size), F.posexplode(F.slice("o", 1, keep)).alias(
-            place, "e")).select(ident, size, place, F.col("e.w").alias("w"))
+        return cut_lineage(ordered.select(ident, F.size("o").alias(size), F.posexplode(F.slice("o", 1, keep)).alias(
+            place, "e")).select(ident, size, place, F.col("e.w").alias("w")))
 
     q, m = prefix(asked, "q", "qn", "qp"), prefix(stored, "m", "mn", "mp")
     need = (F.col("qn") + F.col("mn")) * (least / (1 + least)) - _EPS
@@ -173,12 +183,10 @@ def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, sc
         return (df.withColumn("text", sim.normalized(column)).filter(F.length("text") > 0)
                 .select(F.md5("text").alias("key"), "text", *extra))
 
-    asked = texts(queries, question).groupBy("key").agg(F.first("text").alias("text"))
+    asked = texts(queries, question).groupBy("key", "text").agg(F.count(F.lit(1)).alias("times"))
     stored = latest_per_key(texts(memory, "question", "created_at", "id", F.col("question").alias("raw")), ["key"],
                             ["created_at", "id"])
-    # Spacing inside a text matters for containment, so inner words are cut at single blanks.
-    more = {"all": F.split("text", " "), "words": F.array_distinct(words("text"))}
-    asked, stored = cut_lineage(asked.withColumns(more)), cut_lineage(stored.withColumns(more))
+    asked, stored = cut_lineage(asked), cut_lineage(stored)
 
     found = []
     if score != "jaccard":
@@ -194,16 +202,16 @@ def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, sc
         pairs = pairs.unionByName(more_pairs)
     pairs = pairs.distinct()
 
-    full = (pairs.join(asked.select(F.col("key").alias("q"), F.col("text").alias("qt"), F.col("words").alias("qw")), "q")
-            .join(stored.select(F.col("key").alias("m"), F.col("text").alias("mt"), F.col("words").alias("mw"),
-                                "id", "raw", "created_at"), "m"))
-    jaccard, quick = sim.jaccard_of_sets(F.col("qw"), F.col("mw")), _quick(F.col("qt"), F.col("mt"))
+    full = (pairs.join(asked.select(F.col("key").alias("q"), F.col("text").alias("qt")), "q")
+            .join(stored.select(F.col("key").alias("m"), F.col("text").alias("mt"), "id", "raw", "created_at"), "m"))
+    sets = F.struct(sim.word_set("qt").alias("q"), sim.word_set("mt").alias("m"))
+    jaccard, quick = let(sets, lambda v: sim.jaccard_of_sets(v["q"], v["m"])), _quick(F.col("qt"), F.col("mt"))
     if score == "jaccard":
-        scored = full.withColumn("similarity", jaccard)
+        scored = compute_once(full, {"similarity": jaccard})
     elif score == "exact_contains":
-        scored = full.withColumn("similarity", quick)
+        scored = compute_once(full, {"similarity": quick})
     else:
-        full = full.withColumns({"value": quick, "jaccard": jaccard})
+        full = compute_once(full, {"value": quick, "jaccard": jaccard})
         bound = sim.blended(sim.ratio_bound(F.col("qt"), F.col("mt")), F.col("jaccard"))
         known = full.filter(F.col("value") > 0).withColumn("similarity", F.col("value"))
         open_ = full.filter((F.col("value") == 0) & (bound >= threshold - _EPS))

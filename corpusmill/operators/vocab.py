@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from corpusmill.functions import sequences as seq
 from corpusmill.functions.text import strip
 from corpusmill.operators.ordering import global_rank
+from corpusmill.session import broadcast_if_small
 
 # The characters that part words, and the first id of a word.
 FILTERED = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
@@ -56,12 +57,6 @@ def vocab_size(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.agg((F.count(F.lit(1)) + FIRST_ID).alias("vocab_size"))
 
 
-def _sized(vocabulary: DataFrame) -> DataFrame:
-    """Broadcast hint only after counting no more than the allowed number of words."""
-    small = vocabulary.select("word", "id")
-    return F.broadcast(small) if vocabulary.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else small
-
-
 def encode_tokens(df: DataFrame, vocabulary: DataFrame, column: str, key: str = "row_id", maxlen: int | None = None,
                   out: str = "ids") -> DataFrame:
     """(key, ids): the whole text's word ids in order, unknown words as 1, no words as an empty array.
@@ -72,7 +67,8 @@ def encode_tokens(df: DataFrame, vocabulary: DataFrame, column: str, key: str =
     if maxlen is not None:
         tokens = F.slice(tokens, 1, maxlen)
     exploded = df.select(key, F.posexplode_outer(tokens).alias("pos", "word"))
-    found = exploded.join(_sized(vocabulary), "word", "left").select(
+    found = exploded.join(
+        broadcast_if_small(vocabulary.select("word", "id"), BROADCAST_WORDS), "word", "left").select(
         key, F.when(F.col("word").isNotNull(), F.struct(
             "pos", F.coalesce("id", F.lit(seq.UNKNOWN)).alias("id"))).alias("x"))
     ids = found.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("x")).select(

@@ -11,7 +11,7 @@ from corpusmill.functions import lexicons as lx, scores, text as tx
 from corpusmill.operators import dedupe, filters, profile, splits, vocab
 from corpusmill.operators.schema import require_columns
 from corpusmill.plans.report import metrics_frame
-from corpusmill.session import cut_lineage
+from corpusmill.session import compute_once, cut_lineage
 from corpusmill.sources import files
 
 TEXT_TYPES = {"question": "question", "answer": "answer", "remarks": "remarks", "improvements": "improvements"}
@@ -19,7 +19,7 @@ TEXT_TYPES = {"question": "question", "answer": "answer", "remarks": "remarks",
 
 def clean_pairs(df: DataFrame, lexicon: Sequence[str] = lx.TECHNICAL_TERMS) -> DataFrame:
     """Adds *_clean to a QA table in one projection."""
-    return df.withColumns({f"{c}_clean": tx.clean_qa_text(c, kind, lexicon) for c, kind in TEXT_TYPES.items()})
+    return compute_once(df, {f"{c}_clean": tx.clean_qa_text(c, kind, lexicon) for c, kind in TEXT_TYPES.items()})
 
 
 def cleaning_steps() -> dict[str, Column]:
@@ -43,7 +43,7 @@ def curate_qa(pairs: DataFrame, path: str | None = None, lexicon: Sequence[str]
     kept = filters.min_size_filter(filters.drop_empty_clean(
         filters.drop_missing(cleaned, ["question", "answer"]), ["question_clean", "answer_clean"]))
     quality = scores.qa_quality_score("question", "answer", "remarks", "improvements", lexicon)
-    scored = kept.withColumn("quality", quality).withColumns(
+    scored = compute_once(kept, {"quality": quality}).withColumns(
         {"score": F.col("quality.score"), "category": F.col("quality.category")})
     unique = dedupe.near_dedupe(scored, "question_clean", threshold=threshold, keep="best_score", score="score",
                                 stopwords=stopwords)
@@ -138,7 +138,7 @@ def curate_text(df: DataFrame, settings: TextSettings, key: str = "row_id", path
     require_columns(df, [key, s.text] + ([s.label] if s.label else []))
     raw = cut_lineage(df)
     unique = filters.drop_missing(dedupe.dedupe_rows(raw, key, s.duplicates), [s.text])
-    cleaned = cut_lineage(filters.drop_empty_clean(unique.withColumn(s.text, clean_text(s.text, s)), [s.text]))
+    cleaned = cut_lineage(filters.drop_empty_clean(compute_once(unique, {s.text: clean_text(s.text, s)}), [s.text]))
     if s.label and s.stratify:
         data = splits.split_stratified(cleaned, s.label, s.test_size, s.validation_size, s.seed, key,
                                        s.min_samples_per_class)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "corpusmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,3 +56,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-repartition an input that has fewer partitions than cores (one small file); large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Like ``withColumns`` for costly expressions that filters or several columns refer to.
+
+    Catalyst moves filters below a projection and repeats the expression there; it cannot move them below a generator.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.drop(*columns).select("*", F.inline(F.array(row)))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """The checkpointed frame, with a broadcast hint only after counting at most ``max_rows`` (narrow) rows."""
+    table = cut_lineage(df)
+    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table

@@ -106,6 +106,13 @@ def _salted(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id:
     return l.join(r, [key, "_kl", "_kr"]).drop("_kl", "_kr")
 
 
+def _substrings(text: Column, n: int) -> Column:
+    """All substrings of n characters."""
+    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
     """(s, l): candidates for small text inside large text; both sides carry (key, text)."""
     def grams(c):
@@ -141,9 +148,7 @@ def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
     size = F.least(F.length("text"), F.lit(_LEAD))
     sizes = sorted(r[0] for r in short.select(size).distinct().collect())  # at most _LEAD numbers
     lead = short.select(F.col("key").alias("s"), F.left("text", size).alias("gram"))
-    pieces = [F.when(F.length("text") >= n, F.transform(
-        F.sequence(F.lit(1), F.length("text") - n + 1), lambda i, n=n: F.substr(F.col("text"), i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in sizes]
+    pieces = [_substrings(F.col("text"), n) for n in sizes]
     l_pieces = large.select(F.col("key").alias("l"), F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"))
     l_pieces = cut_lineage(l_pieces.join(
         broadcast_if_small(lead.select("gram").distinct()), "gram", "left_semi"))

@@ -64,7 +64,8 @@ def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     Catalyst moves filters below a projection and repeats the expression there; it cannot move them below a generator.
     """
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.drop(*columns).select("*", F.inline(F.array(row)))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:

@@ -3,7 +3,8 @@
 Near duplicates at scale:
 * equal term vectors are collapsed first, so copies cost one row;
 * pairs come from an equi-join on the rare terms of each vector (its prefix): two vectors above the threshold share
-  a term in both prefixes. Long posting lists are cut into blocks, so no task meets a whole hot term;
+  a term in both prefixes. Long posting lists are cut into blocks, so no task meets a whole hot term, and blocks are
+  compared as matrices;
 * the greedy rule (a row goes if it resembles an earlier kept row) is applied batch by batch in rank order. Rows
   that resemble what an earlier batch kept are gone before their own batch, so a big group of look-alikes
   is compared with its few kept rows and not with itself.
@@ -23,7 +24,7 @@ from corpusmill.operators.profile import count_duplicates
 from corpusmill.session import compute_once, cut_lineage
 
 DUPLICATE_MODES = ("remove", "keep_first", "keep_last", "keep_all")
-_BUCKETS = 64
+_CHUNK = 1024  # terms per matrix product
 _GUARD = 1e-5  # float noise of the bounds; it only adds candidates
 
 
@@ -95,32 +96,22 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, entries.field("i").to_numpy().astype(np.int64), entries.field("w").to_numpy()
 
 
-def _sketches(owner: np.ndarray, rank: np.ndarray, w: np.ndarray, rows: int, terms: int) -> np.ndarray:
-    """Per vector the length of its entries in each bucket; the commonest terms have a bucket each.
-
-    The product of two sketches is never below the product of the vectors (Cauchy-Schwarz per bucket).
-    """
-    own = _BUCKETS // 2
-    from_top = terms - rank
-    bucket = np.where(from_top < own, from_top, own + rank % (_BUCKETS - own))
-    squares = np.bincount(owner * _BUCKETS + bucket, weights=w * w, minlength=rows * _BUCKETS)
-    return np.sqrt(squares).reshape(rows, _BUCKETS).astype(np.float32)
-
-
-def _prefixes(threshold: float, terms: int):
+def _prefixes(threshold: float):
     def run(batches):
         for batch in batches:
             owner, rank, w = _flat(batch.column("vec"))
             total = np.append(0.0, np.cumsum(w * w))
-            ends = np.cumsum(np.bincount(owner, minlength=batch.num_rows))[owner]
-            here = np.sqrt(np.maximum(total[ends] - total[:-1], 0.0))
-            rest = np.sqrt(np.maximum(total[ends] - total[1:], 0.0))
-            keep = here >= threshold - _GUARD
-            sketch = pa.array([r.tobytes() for r in _sketches(owner, rank, w, batch.num_rows, terms)], pa.binary())
+            lengths = np.bincount(owner, minlength=batch.num_rows)
+            ends = np.cumsum(lengths)
+            left = np.sqrt(np.maximum(total[ends][owner] - total[:-1], 0.0))
+            keep = left >= threshold - _GUARD
+            parts = list(zip(ends - lengths, ends))
+            ranks = pa.array([rank[i:j].astype(np.int32).tobytes() for i, j in parts], pa.binary())
+            weights = pa.array([w[i:j].tobytes() for i, j in parts], pa.binary())
             mine = pa.array(owner[keep])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rk").take(mine), pa.array(rank[keep]), pa.array(w[keep]), pa.array(rest[keep]),
-                 sketch.take(mine)], names=["rk", "rank", "w", "rest", "sketch"])
+                [batch.column("rk").take(mine), pa.array(rank[keep]), ranks.take(mine), weights.take(mine)],
+                names=["rk", "rank", "ranks", "weights"])
     return run
 
 
@@ -130,11 +121,14 @@ def _narrow(vectors: DataFrame) -> DataFrame:
         x["rank"].cast("long").alias("i"), x["w"].alias("w"))).alias("vec"))
 
 
-def _postings(vectors: DataFrame, threshold: float, terms: int) -> DataFrame:
-    """(rk, rank, w, rest, sketch): the prefix of each vector; ``rest`` is the length of what follows the term."""
+def _postings(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(rk, rank, ranks, weights): every term of a vector's prefix with the whole vector as packed arrays.
+
+    The prefix of a vector ends where what follows is shorter than the threshold.
+    """
     kind = dict(vectors.dtypes)["rk"]
     return cut_lineage(_narrow(vectors).mapInArrow(
-        _prefixes(threshold, terms), f"rk {kind}, rank long, w double, rest double, sketch binary"))
+        _prefixes(threshold), f"rk {kind}, rank long, ranks binary, weights binary"))
 
 
 def _blocks(postings: DataFrame, block: int, name: str) -> DataFrame:
@@ -142,36 +136,46 @@ def _blocks(postings: DataFrame, block: int, name: str) -> DataFrame:
 
 
 def _compare_blocks(threshold: float, same: bool, kind: pa.DataType):
-    names = pa.schema([("a", kind), ("b", kind)])
-
-    def columns(table: pa.Table):
-        raw = b"".join(table.column("sketch").to_pylist())
-        return (table.column("rk").to_numpy(), table.column("w").to_numpy(), table.column("rest").to_numpy(),
-                np.frombuffer(raw, np.float32).reshape(-1, _BUCKETS))
+    out = pa.schema([("a", kind), ("b", kind), ("cosine", pa.float64())])
+
+    def unpack(table: pa.Table):
+        """Keys, and owner row, rank and weight of every entry."""
+        packed = table.column("ranks").to_pylist()
+        owner = np.repeat(np.arange(len(packed)), [len(p) // 4 for p in packed])
+        return (table.column("rk").to_numpy(), owner, np.frombuffer(b"".join(packed), np.int32),
+                np.frombuffer(b"".join(table.column("weights").to_pylist()), np.float64))
+
+    def dense(side, rows, first):
+        _, owner, rank, w = side
+        mine = (rank >= first) & (rank < first + _CHUNK)
+        matrix = np.zeros((rows, _CHUNK))
+        matrix[owner[mine], rank[mine] - first] = w[mine]
+        return matrix
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return names.empty_table()
-        (a, wa, ra, sa), (b, wb, rb, sb) = columns(left), columns(right)
-        near = sa @ sb.T >= threshold - 1e-4  # single precision
-        # At the first shared term nothing before it is shared, so this bounds the whole product.
-        near &= np.outer(wa, wb) + np.outer(ra, rb) >= threshold - _GUARD
+            return out.empty_table()
+        a, b = unpack(left), unpack(right)
+        cosine = np.zeros((left.num_rows, right.num_rows))
+        for first in range(0, int(min(a[2].max(), b[2].max())) + 1, _CHUNK):
+            cosine += dense(a, left.num_rows, first) @ dense(b, right.num_rows, first).T
+        near = cosine > threshold
         if same:
-            near &= a[:, None] < b[None, :]
+            near &= a[0][:, None] < b[0][None, :]
         i, j = np.nonzero(near)
-        return pa.table({"a": pa.array(a[i], kind), "b": pa.array(b[j], kind)})
+        return pa.table({"a": pa.array(a[0][i], kind), "b": pa.array(b[0][j], kind), "cosine": cosine[i, j]})
     return run
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool, max_features: int,
-                    block: int = 2000) -> DataFrame:
-    """Distinct (a, b) that can exceed the threshold; ``same`` pairs one set with itself as a < b.
+def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool, block: int = 1000) -> DataFrame:
+    """(a, b, cosine) above the threshold; ``same`` pairs one set with itself as a < b.
 
-    Rows meet under the terms of their prefixes. Both sides of a long posting list are cut into blocks and every block
-    meets every other one under its own key, so a task compares two blocks at most.
+    Two vectors above the threshold share a term in both their prefixes, so rows meet under these terms with their
+    vectors. Both sides of a long posting list are cut into blocks and every block meets every other one under its
+    own key: a task multiplies two bounded matrices, and only true pairs leave it.
     """
-    lp = _postings(left, threshold, max_features)
-    rp = lp if same else _postings(right, threshold, max_features)
+    lp = _postings(left, threshold)
+    rp = lp if same else _postings(right, threshold)
     rp = rp.select(*[F.col(c).alias(c) for c in rp.columns])  # own column ids for the self-join
     cut = F.broadcast(_blocks(lp, block, "na").join(_blocks(rp, block, "nb"), "rank"))  # one row per kept term
     first = F.lit(0)
@@ -182,30 +186,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float, same: b
     kind = dict(lp.dtypes)["rk"]
     compare = _compare_blocks(threshold, same, pa.int64() if kind == "bigint" else pa.int32())
     cells = ["rank", "ka", "kb"]
-    return a.groupBy(*cells).cogroup(b.groupBy(*cells)).applyInArrow(compare, f"a {kind}, b {kind}").distinct()
-
-
-def _dot_products(batches):
-    """Arrow batches of (a, b, va, vb) to (a, b, cosine); the ranks of a vector ascend."""
-    for batch in batches:
-        (oa, ia, wa), (ob, ib, wb) = _flat(batch.column("va")), _flat(batch.column("vb"))
-        width = int(max(ia.max(initial=0), ib.max(initial=0))) + 1
-        ka, kb = oa * width + ia, ob * width + ib
-        at = np.minimum(np.searchsorted(kb, ka), max(len(kb) - 1, 0))
-        hit = kb[at] == ka if len(kb) else np.zeros(len(ka), bool)
-        total = np.bincount(oa[hit], weights=wa[hit] * wb[at[hit]], minlength=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(total)],
-                                         names=["a", "b", "cosine"])
-
-
-def exact_cosines(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, cosine) of the candidates above the threshold, from the full vectors."""
-    joined = (pairs.join(_narrow(left).withColumnsRenamed({"rk": "a", "vec": "va"}), "a")
-              .join(_narrow(right).withColumnsRenamed({"rk": "b", "vec": "vb"}), "b"))
-    kind = dict(pairs.dtypes)
-    cosines = joined.select("a", "b", "va", "vb").mapInArrow(
-        _dot_products, f"a {kind['a']}, b {kind['b']}, cosine double")
-    return cosines.filter(F.col("cosine") > threshold)
+    found = a.groupBy(*cells).cogroup(b.groupBy(*cells)).applyInArrow(compare, f"a {kind}, b {kind}, cosine double")
+    return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))  # a pair may share several prefix terms
 
 
 def _terms_digest(column: str, stopwords: Sequence[str]) -> Column:
@@ -234,7 +216,7 @@ def distinct_vectors(df: DataFrame, column: str, key: str, max_features: int | N
 
 def cosine_self_join(df: DataFrame, column: str, key: str = "row_id", threshold: float = 0.85,
                      max_features: int | None = 1000, stopwords: Sequence[str] = (),
-                     block: int = 2000) -> DataFrame:
+                     block: int = 1000) -> DataFrame:
     """(a, b, cosine, copies_a, copies_b): pairs of distinct texts above the threshold, a < b.
 
     Copies of a text are counted, not paired: a text stands for its copies under its lowest key.
@@ -243,8 +225,7 @@ def cosine_self_join(df: DataFrame, column: str, key: str = "row_id", threshold:
         raise ValueError("max_features bounds the term table; pass a number")
     _, vectors = distinct_vectors(df, column, key, max_features, stopwords)
     vectors = cut_lineage(vectors.withColumnRenamed(key, "rk"))
-    pairs = candidate_pairs(vectors, vectors, threshold, True, max_features, block)
-    found = exact_cosines(pairs, vectors, vectors, threshold)
+    found = cosine_pairs(vectors, vectors, threshold, True, block)
     copies = vectors.select("rk", "copies")
     return (found.join(copies.withColumnsRenamed({"rk": "a", "copies": "copies_a"}), "a")
             .join(copies.withColumnsRenamed({"rk": "b", "copies": "copies_b"}), "b"))
@@ -272,7 +253,7 @@ def resolve_greedy(pairs: DataFrame) -> DataFrame:
 
 def near_dedupe(df: DataFrame, column: str, key: str = "row_id", threshold: float = 0.85, keep: str = "first",
                 score: str | None = None, max_features: int = 1000, stopwords: Sequence[str] = (),
-                first_batch: int = 5_000, growth: int = 8, block: int = 2000) -> DataFrame:
+                first_batch: int = 5_000, growth: int = 8, block: int = 1000) -> DataFrame:
     """The input without the rows that resemble an earlier kept row.
 
     ``keep='first'`` ranks by key, ``'best_score'`` by the score column (descending) and key. Texts without any
@@ -284,7 +265,7 @@ def near_dedupe(df: DataFrame, column: str, key: str = "row_id", threshold: floa
 
 def near_duplicates(df: DataFrame, column: str, key: str = "row_id", threshold: float = 0.85, keep: str = "first",
                     score: str | None = None, max_features: int = 1000, stopwords: Sequence[str] = (),
-                    first_batch: int = 5_000, growth: int = 8, block: int = 2000) -> DataFrame:
+                    first_batch: int = 5_000, growth: int = 8, block: int = 1000) -> DataFrame:
     """(key) of the rows that ``near_dedupe`` removes."""
     if keep not in ("first", "best_score") or (keep == "best_score") != (score is not None):
         raise ValueError("keep is 'first', or 'best_score' with a score column")
@@ -308,14 +289,13 @@ def near_duplicates(df: DataFrame, column: str, key: str = "row_id", threshold:
         cut = None if size >= total else rest.agg(
             F.percentile_approx("rk", size / total, 10_000).alias("c")).first()["c"]
         batch = rest if cut is None else rest.filter(F.col("rk") <= cut)
-        pairs = exact_cosines(candidate_pairs(batch, batch, threshold, True, max_features, block), batch, batch, threshold)
-        gone = resolve_greedy(pairs)
+        gone = resolve_greedy(cosine_pairs(batch, batch, threshold, True, block))
         removed = gone if removed is None else removed.unionByName(gone)
         if cut is None:
             break
         kept = batch.join(gone, "rk", "left_anti")
         later = cut_lineage(rest.filter(F.col("rk") > cut))
-        hit = exact_cosines(candidate_pairs(kept, later, threshold, False, max_features, block), kept, later, threshold)
+        hit = cosine_pairs(kept, later, threshold, False, block)
         hit = cut_lineage(hit.select(F.col("b").alias("rk")).distinct())
         removed = removed.unionByName(hit)
         rest = cut_lineage(later.join(hit, "rk", "left_anti"))

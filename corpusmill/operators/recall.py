@@ -156,7 +156,7 @@ def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
 
 
 def _overlapping(asked: DataFrame, stored: DataFrame, least: float, block: int) -> DataFrame:
-    """(q, m) that can have a word Jaccard of ``least``: prefix, size and position filters on rare-first words."""
+    """(q, m) that can have a word Jaccard of ``least``: prefix, size and shared-count filters on rare-first words."""
     each = F.explode(F.array_distinct(words("text"))).alias("w")
     both = asked.select("text").unionByName(stored.select("text"))
     frequency = both.select(each).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
@@ -169,10 +169,12 @@ def _overlapping(asked: DataFrame, stored: DataFrame, least: float, block: int)
             place, "e")).select(ident, size, place, F.col("e.w").alias("w")))
 
     q, m = prefix(asked, "q", "qn", "qp"), prefix(stored, "m", "mn", "mp")
-    need = (F.col("qn") + F.col("mn")) * (least / (1 + least)) - _EPS
-    reach = F.least(F.col("qn") - F.col("qp"), F.col("mn") - F.col("mp"))
-    fits = (F.col("qn") >= F.col("mn") * least - _EPS) & (F.col("mn") >= F.col("qn") * least - _EPS) & (reach >= need)
-    return _salted(q, m, "w", "q", "m", block).filter(fits).select("q", "m")
+    fits = (F.col("qn") >= F.col("mn") * least - _EPS) & (F.col("mn") >= F.col("qn") * least - _EPS)
+    shared = _salted(q, m, "w", "q", "m", block).filter(fits).groupBy("q", "m", "qn", "mn").agg(
+        F.count(F.lit(1)).alias("n"), F.max("qp").alias("qp"), F.max("mp").alias("mp"))
+    # Both sides are ordered alike, so every word shared before the last one found is counted already.
+    most = F.col("n") + F.least(F.col("qn") - F.col("qp"), F.col("mn") - F.col("mp")) - 1
+    return shared.filter(most >= (F.col("qn") + F.col("mn")) * (least / (1 + least)) - _EPS).select("q", "m")
 
 
 def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, score: str = "full",

@@ -177,7 +177,7 @@ def _generated(spark, sf_dir):
 
 def _reflected(spark, sf_dir):
     questions = d.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("question"))
-    memory = questions.orderBy(F.desc("id")).limit(50).withColumns({
+    memory = questions.withColumns({
         "improvement": F.concat(F.lit("stored "), F.col("id").cast("string")),
         "created_at": (F.lit(1704067200) + F.col("id")).cast("timestamp")})
     answers, saved = reflect.reflect_job(

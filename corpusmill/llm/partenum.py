@@ -6,9 +6,11 @@ is a signature both share. For few differences (``d`` up to 3) the subsets of th
 instead. A set also signs in the next band when a partner may lie there. Partitions that hold at most one
 element sign only in sets with more such partitions than spare ones; the spare ones keep the guarantee.
 
-Sets that are equal form a class (64-bit fingerprint). Round one compares every class with the smallest class of each
-signature, round two compares what shares a signature but is still in different components, so a group of m look-alikes costs
-m comparisons, and no link between components is lost. Comparing is exact on the 64-bit shingles.
+Sets that are equal form a class (64-bit fingerprint). Signatures with few classes give all their pairs. Of larger ones,
+round one compares every class with the smallest one, round two what shares the signature but is still in different
+components, so a group of m look-alikes costs m comparisons, and no link between components is lost. In a batch of
+rows only the first class of a signature travels; the others are tied to it at once. A lower bound on the difference (counts of elements in
+slots) drops most pairs, the rest is compared exactly on the 64-bit shingles.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.llm.graph import components
 from corpusmill.llm.words import mix, signed, small_batches, split_words, stored, window_hashes, word_hashes
@@ -26,6 +29,8 @@ from corpusmill.llm.words import mix, signed, small_batches, split_words, stored
 _FIRST, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 #: Bits of the map of candidate texts that is sent to the tasks: a fixed 1 MB at every input size.
 MAP_BITS = 1 << 23
+#: Slots of a sketch, of the one for pairs that pass it, and classes up to which a signature gives all its pairs (others go the exact way of two rounds).
+SLOTS, WIDE, FEW = 128, 1024, 16
 
 
 def shingle_set(words: list[bytes], n: int) -> np.ndarray:
@@ -77,26 +82,59 @@ def signatures(elements: np.ndarray, bands: list[tuple[int, int, int]], num: int
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _sketch(elements: np.ndarray, slots: int = SLOTS) -> bytes:
+    """Elements per slot, 255 at most: the sum of differences of two sketches is at most the difference of the sets."""
+    return np.minimum(np.bincount((elements & np.uint64(slots - 1)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
+
+
 def _sign(n: int, num: int, den: int):
+    """Per row its class; with the first row of a class in the task its sketch, its own signatures and those it met in the batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         bands = size_bands(1 << 31, num, den)
         for batch in batches:
-            sizes, keys, signs = [], [], []
+            sizes, keys, sketches, found, rows = [], [], [], [], []
             for text in batch.column("__text").to_pylist():
                 elements = shingle_set(split_words(text, lower=True), n)
                 size = len(elements)
                 key = int(signed(mix(elements).sum(keepdims=True, dtype=np.uint64) + np.uint64(size))[0]) if size else None
+                new = key is not None and key not in seen
                 sizes.append(size)
                 keys.append(key)
-                if key is None or key in seen:
-                    signs.append(None)
-                    continue
-                seen.add(key)
-                signs.append(signed(signatures(elements, bands, num, den)))
+                sketches.append(_sketch(elements) if new else None)
+                if new:
+                    seen.add(key)
+                    found.append(signed(signatures(elements, bands, num, den)))
+                    rows.append(len(keys) - 1)
+            own: list = [None] * len(keys)
+            met: list = [None] * len(keys)
+            if rows:
+                flat = np.concatenate(found)
+                _, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
+                owner = np.repeat(np.array([keys[r] for r in rows], np.int64), [len(x) for x in found])
+                is_first = first[inverse] == np.arange(len(flat))
+                at = 0
+                for r, x in zip(rows, found):
+                    mine = is_first[at:at + len(x)]
+                    own[r] = x[mine]
+                    met[r] = [{"sign": int(flat[i]), "center": int(owner[first[inverse[i]]])} for i in (at + np.flatnonzero(~mine)).tolist()]
+                    at += len(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), batch.column("__text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-                 pa.array(signs, pa.list_(pa.int64()))], ["__id", "__text_key", "n_shingles", "k", "signs"])
+                [batch.column("__id"), batch.column("__text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary()),
+                 pa.array(own, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.struct([("sign", pa.int64()), ("center", pa.int64())])))],
+                ["__id", "__text_key", "n_shingles", "k", "sketch", "own", "met"])
+    return run
+
+
+def _likely(num: int, den: int, slots: int):
+    """Pairs whose sizes and sketches allow the threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, slots).astype(np.int16) for c in ("sa", "sb"))
+            apart = np.abs(sa - sb).sum(axis=1, dtype=np.int64)
+            good = (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & ((den + num) * apart <= (den - num) * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
     return run
 
 
@@ -104,13 +142,16 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, sets = [], []
+            keys, sets, sketches = [], [], []
             for key, text in zip(batch.column("__text_key").to_pylist(), batch.column("__text").to_pylist()):
                 if key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    sets.append(signed(shingle_set(split_words(text, lower=True), n)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["__text_key", "elements"])
+                    elements = shingle_set(split_words(text, lower=True), n)
+                    sets.append(signed(elements))
+                    sketches.append(_sketch(elements, WIDE))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                                             ["__text_key", "elements", "sketch"])
     return run
 
 
@@ -127,13 +168,25 @@ def _in_map(key: str, wanted: DataFrame, bits: int = MAP_BITS) -> Column:
     return F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT))").bitwiseAND(word) != 0
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough."""
+def _candidates(pairs: DataFrame, classes: DataFrame, num: int, den: int, slots: int = SLOTS) -> DataFrame:
+    b = classes.select(F.col("k").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    a = classes.select(F.col("k").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(num, den, slots), "a long, b long"), "likely")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose sets are similar enough; sets are made again for the classes that pairs name."""
+    wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    named = stored(texts.select("k", "__text_key").join(wanted, "k", "left_semi"), "texts")
+    sets = (rows.where(_in_map("__text_key", named)).mapInArrow(_sets(n), "__text_key long, elements array<long>, sketch binary")
+            .join(named, "__text_key").dropDuplicates(["k"]).select("k", F.size("elements").cast("long").alias("n_shingles"), "elements", "sketch"))
+    sets = stored(sets, "sets")
+    pairs = _candidates(pairs, sets, num, den, WIDE)
     b = sets.select(F.col("k").alias("b"), F.col("elements").alias("eb"))
     a = sets.select(F.col("k").alias("a"), F.col("elements").alias("ea"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", F.size("ea").alias("na"), F.size("eb").alias("nb"),
                                                   F.size(F.array_intersect("ea", "eb")).alias("common"))
-    return both.where(f"{den}L * common >= {num}L * (na + nb - common)").select("a", "b")
+    return stored(both.where(f"{den}L * common >= {num}L * (na + nb - common)").select("a", "b"), "links")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -145,28 +198,33 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("__id"), F.xxhash64(body).alias("__text_key"), body.alias("__text"))
-    signed_rows = stored(rows.mapInArrow(_sign(n, num, den), "__id long, __text_key long, n_shingles long, k long, signs array<long>"), "signs")
-    signs = signed_rows.select(F.explode("signs").alias("sign"), "k", "n_shingles")
-    shared = signs.groupBy("sign").agg(F.min("k").alias("center"), F.max("k").alias("last")).where("center < last").select("sign", "center")
-    members = stored(signs.join(shared, "sign").distinct(), "members")
-    wanted = members.select("k").distinct()
-    texts = stored(signed_rows.where("k IS NOT NULL").groupBy("k").agg(F.min("__text_key").alias("__text_key")).join(wanted, "k", "left_semi"), "texts")
-    sets = (rows.select("__text_key", "__text").where(_in_map("__text_key", texts)).mapInArrow(_sets(n), "__text_key long, elements array<long>")
-            .join(texts, "__text_key").dropDuplicates(["k"]).select("k", "elements"))
-    sets = stored(sets, "sets")
-    first = stored(members.where("k <> center").select(F.col("center").alias("a"), F.col("k").alias("b")).distinct(), "pairs")
-    links = stored(_links(first, sets, num, den), "links")
+    signed_rows = stored(rows.mapInArrow(_sign(n, num, den), "__id long, __text_key long, n_shingles long, k long, sketch binary, own array<long>, "
+                                         "met array<struct<sign: long, center: long>>"), "signs")
+    texts = stored(signed_rows.where("sketch IS NOT NULL").groupBy("k").agg(
+        F.min("__text_key").alias("__text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+    whole = Window.partitionBy("sign")
+    spread = signed_rows.select(F.explode("own").alias("sign"), "k").select(
+        "sign", "k", F.min("k").over(whole).alias("center"), F.max("k").over(whole).alias("last"), F.count("k").over(whole).alias("m"))
+    far = stored(spread.where("center < last").drop("last"), "members")
+    near = signed_rows.where("size(met) > 0").select(F.inline("met"), "k").where("k <> center").select("sign", "k", "center")
+    groups = far.where(f"m <= {FEW}").groupBy("sign").agg(F.sort_array(F.collect_set("k")).alias("g"))
+    every = groups.select(F.explode(F.expr("flatten(transform(g, (a, i) -> transform(slice(g, i + 2, size(g)), b -> struct(a, b))))")).alias("p")).select("p.a", "p.b")
+    star = far.where(f"m > {FEW} AND k <> center").select("center", "k").union(near.select("center", "k")).select(
+        F.least("center", "k").alias("a"), F.greatest("center", "k").alias("b"))
+    first = stored(every.union(star).where("a < b").distinct(), "pairs")
+    links = _links(_candidates(first, texts, num, den), texts, rows, n, num, den)
     found = components(links)
-    placed = stored(members.select("sign", "k", "n_shingles").join(found.withColumnRenamed("node", "k"), "k", "left")
-                    .withColumn("component", F.coalesce("component", "k")), "placed")
+    tied = near.select("sign").distinct()
+    local = near.select("sign", "k").union(near.select("sign", F.col("center").alias("k")))
+    many = far.where(f"m > {FEW}").select("sign", "k").union(local).union(far.select("sign", "k").join(tied, "sign", "left_semi")).distinct()
+    placed = stored(many.join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k")), "placed")
     mixed = (placed.groupBy("sign", "component").agg(F.count("*").alias("m")).groupBy("sign")
              .agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sign", "main"))
     there = placed.join(mixed, "sign")
-    strange = there.where("component <> main").select("sign", F.col("k").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"))
+    strange = there.where("component <> main").select("sign", F.col("k").alias("x"), F.col("component").alias("cx"))
     second = (there.join(strange, "sign").where("component <> cx AND (component = main OR k < x)")
-              .where(f"{den}L * least(n_shingles, nx) >= {num}L * greatest(n_shingles, nx)")
               .select(F.least("k", "x").alias("a"), F.greatest("k", "x").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = stored(_links(second, sets, num, den), "links")
+    more = _links(_candidates(second, texts, num, den), texts, rows, n, num, den)
     grouped = components(links.unionByName(more)).withColumnRenamed("node", "k")
     return signed_rows.select("__id", "__text_key", "n_shingles", "k").join(grouped, "k", "left").select(
         "__id", "__text_key", "n_shingles", "k", F.coalesce("component", "k").alias("component"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.llm.words import stored
+from corpusmill.llm.words import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,11 +24,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        large = stored(large, "links")
+        large, old = stored(large, "links"), links
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
         links = stored(small, "links")
+        discard(old)
+        discard(large)
         state = tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(xxhash64(v, u) >> 20)")).first())
         if state == before:
             break

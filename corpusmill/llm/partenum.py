@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.llm.graph import components
-from corpusmill.llm.words import mix, signed, small_batches, split_words, stored, window_hashes, word_hashes
+from corpusmill.llm.words import discard, mix, signed, small_batches, split_words, stored, window_hashes, word_hashes
 
 _FIRST, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 #: Bits of the map of candidate texts that is sent to the tasks: a fixed 1 MB at every input size.
 MAP_BITS = 1 << 23
 #: Slots of a sketch, of the one for pairs that pass it, and classes up to which a signature gives all its pairs (others go the exact way of two rounds).
-SLOTS, WIDE, FEW = 128, 1024, 16
+SLOTS, WIDE, FEW = 64, 1024, 16
 
 
 def shingle_set(words: list[bytes], n: int) -> np.ndarray:
@@ -138,20 +138,21 @@ def _likely(num: int, den: int, slots: int):
     return run
 
 
-def _sets(n: int):
+def _again(n: int, elements: bool):
+    """Sets of texts (as elements or wide sketches), once for each text in a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, sets, sketches = [], [], []
+            keys, made = [], []
             for key, text in zip(batch.column("__text_key").to_pylist(), batch.column("__text").to_pylist()):
                 if key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    elements = shingle_set(split_words(text, lower=True), n)
-                    sets.append(signed(elements))
-                    sketches.append(_sketch(elements, WIDE))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                                             ["__text_key", "elements", "sketch"])
+                    found = shingle_set(split_words(text, lower=True), n)
+                    made.append((len(found), signed(found) if elements else _sketch(found, WIDE)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array([m[0] for m in made], pa.int64()),
+                 pa.array([m[1] for m in made], pa.list_(pa.int64()) if elements else pa.binary())], ["__text_key", "n_shingles", "made"])
     return run
 
 
@@ -168,25 +169,35 @@ def _in_map(key: str, wanted: DataFrame, bits: int = MAP_BITS) -> Column:
     return F.expr(f"shiftleft(1L, CAST({key} & 63 AS INT))").bitwiseAND(word) != 0
 
 
-def _candidates(pairs: DataFrame, classes: DataFrame, num: int, den: int, slots: int = SLOTS) -> DataFrame:
+def _candidates(pairs: DataFrame, classes: DataFrame, num: int, den: int, slots: int) -> DataFrame:
     b = classes.select(F.col("k").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     a = classes.select(F.col("k").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(num, den, slots), "a long, b long"), "likely")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough; sets are made again for the classes that pairs name."""
+def _of_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, n: int, elements: bool) -> DataFrame:
+    """``(k, n_shingles, made)`` of the classes that the pairs name, made again from one text of each."""
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     named = stored(texts.select("k", "__text_key").join(wanted, "k", "left_semi"), "texts")
-    sets = (rows.where(_in_map("__text_key", named)).mapInArrow(_sets(n), "__text_key long, elements array<long>, sketch binary")
-            .join(named, "__text_key").dropDuplicates(["k"]).select("k", F.size("elements").cast("long").alias("n_shingles"), "elements", "sketch"))
-    sets = stored(sets, "sets")
-    pairs = _candidates(pairs, sets, num, den, WIDE)
-    b = sets.select(F.col("k").alias("b"), F.col("elements").alias("eb"))
-    a = sets.select(F.col("k").alias("a"), F.col("elements").alias("ea"))
+    kind = "array<long>" if elements else "binary"
+    return stored(rows.where(_in_map("__text_key", named)).mapInArrow(_again(n, elements), f"__text_key long, n_shingles long, made {kind}")
+                  .join(named, "__text_key").dropDuplicates(["k"]).select("k", "n_shingles", "made"), "sets")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose sets are similar enough: by sketch, by wide sketch, then by their elements."""
+    pairs = _candidates(pairs, texts, num, den, SLOTS)
+    wide = _of_pairs(pairs, texts, rows, n, False)
+    pairs = _candidates(pairs, wide.withColumnRenamed("made", "sketch"), num, den, WIDE)
+    discard(wide)
+    sets = _of_pairs(pairs, texts, rows, n, True)
+    b = sets.select(F.col("k").alias("b"), F.col("made").alias("eb"))
+    a = sets.select(F.col("k").alias("a"), F.col("made").alias("ea"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", F.size("ea").alias("na"), F.size("eb").alias("nb"),
                                                   F.size(F.array_intersect("ea", "eb")).alias("common"))
-    return stored(both.where(f"{den}L * common >= {num}L * (na + nb - common)").select("a", "b"), "links")
+    links = stored(both.where(f"{den}L * common >= {num}L * (na + nb - common)").select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -206,13 +217,15 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     spread = signed_rows.select(F.explode("own").alias("sign"), "k").select(
         "sign", "k", F.min("k").over(whole).alias("center"), F.max("k").over(whole).alias("last"), F.count("k").over(whole).alias("m"))
     far = stored(spread.where("center < last").drop("last"), "members")
-    near = signed_rows.where("size(met) > 0").select(F.inline("met"), "k").where("k <> center").select("sign", "k", "center")
+    near = stored(signed_rows.where("size(met) > 0").select(F.inline("met"), "k").where("k <> center").select("sign", "k", "center"), "members")
+    members = stored(signed_rows.select("__id", "__text_key", "n_shingles", "k"), "members")
+    discard(signed_rows)
     groups = far.where(f"m <= {FEW}").groupBy("sign").agg(F.sort_array(F.collect_set("k")).alias("g"))
     every = groups.select(F.explode(F.expr("flatten(transform(g, (a, i) -> transform(slice(g, i + 2, size(g)), b -> struct(a, b))))")).alias("p")).select("p.a", "p.b")
     star = far.where(f"m > {FEW} AND k <> center").select("center", "k").union(near.select("center", "k")).select(
         F.least("center", "k").alias("a"), F.greatest("center", "k").alias("b"))
     first = stored(every.union(star).where("a < b").distinct(), "pairs")
-    links = _links(_candidates(first, texts, num, den), texts, rows, n, num, den)
+    links = _links(first, texts, rows, n, num, den)
     found = components(links)
     tied = near.select("sign").distinct()
     local = near.select("sign", "k").union(near.select("sign", F.col("center").alias("k")))
@@ -224,9 +237,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     strange = there.where("component <> main").select("sign", F.col("k").alias("x"), F.col("component").alias("cx"))
     second = (there.join(strange, "sign").where("component <> cx AND (component = main OR k < x)")
               .select(F.least("k", "x").alias("a"), F.greatest("k", "x").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = _links(_candidates(second, texts, num, den), texts, rows, n, num, den)
+    more = _links(second, texts, rows, n, num, den)
     grouped = components(links.unionByName(more)).withColumnRenamed("node", "k")
-    return signed_rows.select("__id", "__text_key", "n_shingles", "k").join(grouped, "k", "left").select(
+    return members.join(grouped, "k", "left").select(
         "__id", "__text_key", "n_shingles", "k", F.coalesce("component", "k").alias("component"))
 
 

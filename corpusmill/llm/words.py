@@ -30,6 +30,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the files of a ``stored`` table that nothing reads any more."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """At most ``rows`` rows in an Arrow batch of this session: whole texts are large, and a batch must fit in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

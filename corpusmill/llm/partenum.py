@@ -87,13 +87,19 @@ def _sketch(elements: np.ndarray, slots: int = SLOTS) -> bytes:
     return np.minimum(np.bincount((elements & np.uint64(slots - 1)).astype(np.int64), minlength=slots), 255).astype(np.uint8).tobytes()
 
 
+def _parity(elements: np.ndarray) -> np.ndarray:
+    """Whether a slot holds an odd number of elements, in 256 bits: two sets differ in at least the bits that differ."""
+    odd = np.bincount((elements >> np.uint64(20) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sign(n: int, num: int, den: int):
     """Per row its class; with the first row of a class in the task its sketch, its own signatures and those it met in the batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         bands = size_bands(1 << 31, num, den)
         for batch in batches:
-            sizes, keys, sketches, found, rows = [], [], [], [], []
+            sizes, keys, sketches, parities, found, rows = [], [], [], [], [], []
             for text in batch.column("__text").to_pylist():
                 elements = shingle_set(split_words(text, lower=True), n)
                 size = len(elements)
@@ -102,6 +108,7 @@ def _sign(n: int, num: int, den: int):
                 sizes.append(size)
                 keys.append(key)
                 sketches.append(_sketch(elements) if new else None)
+                parities.append(_parity(elements) if new else None)
                 if new:
                     seen.add(key)
                     found.append(signed(signatures(elements, bands, num, den)))
@@ -121,8 +128,8 @@ def _sign(n: int, num: int, den: int):
                     at += len(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__id"), batch.column("__text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary()),
-                 pa.array(own, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.struct([("sign", pa.int64()), ("center", pa.int64())])))],
-                ["__id", "__text_key", "n_shingles", "k", "sketch", "own", "met"])
+                 pa.array(parities, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.struct([("sign", pa.int64()), ("center", pa.int64())])))],
+                ["__id", "__text_key", "n_shingles", "k", "sketch", "parity", "own", "met"])
     return run
 
 
@@ -209,10 +216,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("__id"), F.xxhash64(body).alias("__text_key"), body.alias("__text"))
-    signed_rows = stored(rows.mapInArrow(_sign(n, num, den), "__id long, __text_key long, n_shingles long, k long, sketch binary, own array<long>, "
+    signed_rows = stored(rows.mapInArrow(_sign(n, num, den), "__id long, __text_key long, n_shingles long, k long, sketch binary, parity array<long>, own array<long>, "
                                          "met array<struct<sign: long, center: long>>"), "signs")
     texts = stored(signed_rows.where("sketch IS NOT NULL").groupBy("k").agg(
-        F.min("__text_key").alias("__text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+        F.min("__text_key").alias("__text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"),
+        F.first("parity").alias("parity")), "classes")
     whole = Window.partitionBy("sign")
     spread = signed_rows.select(F.explode("own").alias("sign"), "k").select(
         "sign", "k", F.min("k").over(whole).alias("center"), F.max("k").over(whole).alias("last"), F.count("k").over(whole).alias("m"))
@@ -233,9 +241,15 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     placed = stored(many.join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k")), "placed")
     mixed = (placed.groupBy("sign", "component").agg(F.count("*").alias("m")).groupBy("sign")
              .agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sign", "main"))
-    there = placed.join(mixed, "sign")
-    strange = there.where("component <> main").select("sign", F.col("k").alias("x"), F.col("component").alias("cx"))
-    second = (there.join(strange, "sign").where("component <> cx AND (component = main OR k < x)")
+    # Sizes and parities are compared in the join, so it gives only pairs that may be similar.
+    there = stored(placed.join(mixed, "sign").join(
+        texts.select("k", F.col("n_shingles").alias("n"), *[F.col("parity")[i].alias(f"p{i}") for i in range(4)]), "k"), "placed")
+    strange = there.where("component <> main").select(
+        "sign", F.col("k").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *[F.col(f"p{i}").alias(f"x{i}") for i in range(4)])
+    differing = " + ".join(f"bit_count(p{i} ^ x{i})" for i in range(4))
+    second = (there.join(strange, "sign").where(
+        f"component <> cx AND (component = main OR k < x) AND {den}L * least(n, nx) >= {num}L * greatest(n, nx) "
+        f"AND {den + num}L * ({differing}) <= {den - num}L * (n + nx)")
               .select(F.least("k", "x").alias("a"), F.greatest("k", "x").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     more = _links(second, texts, rows, n, num, den)
     grouped = components(links.unionByName(more)).withColumnRenamed("node", "k")

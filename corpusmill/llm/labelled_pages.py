@@ -27,4 +27,8 @@ smelled of smoke and of the sea that we had left behind so many years ago.</p><p
 <div class="sidebar widget"><p>Most read this week: nine days of rain.</p><a href="/m">More</a></div><div class="related"><a href="/r1">Snow</a><a href="/r2">Wind</a></div>
 <div id="disqus_thread" class="replies comments"><p>I remember that flood well, we lost two cows and a barn.</p></div><form class="search" action="/s"><label>Search</label><input></form>
 <div class="popup modal subscribe"><p>Subscribe now and read on.</p></div><footer class="footer"><div><p>Made in the hills.</p></div></footer></body></html>""",
+    """<html data-main><body data-main><nav><ul><li><a href="/k">Start</a></li><li><a href="/l">Map</a></li></ul></nav><article data-main class="entry"><h1 data-main>What to pack</h1>
+<p data-main>For the huts you need little.</p><ul data-main><li data-main>A warm coat</li><li data-main>Two pairs of socks</li><li data-main>A knife</li><li data-main>Bread and
+<a href="/cheese">cheese</a></li></ul><p data-main>For the peaks you need more, and in the right order:</p><ol data-main><li data-main>Rope</li><li data-main>Axe</li><li data-main>Stove</li></ol>
+<dl data-main><dt data-main>Rope</dt><dd data-main>Forty metres, dry</dd></dl></article><div class="ad">Ropes at half price.</div><footer>Words of the house.</footer></body></html>""",
 )

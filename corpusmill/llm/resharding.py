@@ -64,11 +64,11 @@ def least_moves(held: Sequence[int], room: Sequence[int]) -> dict[tuple[int, int
     return {(i, ends[e] - n): left[e ^ 1] for i in range(n) for e in out[i] if not e & 1 and left[e ^ 1] > 0}
 
 
-def _moved(rows: DataFrame, shards: int, largest_first: bool) -> DataFrame:
-    """``rows`` (shard, size, serial, ...) with shards of near-equal bytes; of a shard's rows the first in size order leave."""
+def _moved(rows: DataFrame, shards: int, smallest_first: bool) -> DataFrame:
+    """``rows`` (shard, size, serial, ...) with shards of near-equal bytes; a shard's smallest rows leave it, or rows of all sizes."""
     spark = rows.sparkSession
-    step = F.floor(F.log2(F.col("size").cast("double")) * _STEPS).cast("int")
-    blocks_of = rows.withColumn("step", -step if largest_first else step).withColumn("part", F.pmod(F.xxhash64("serial"), F.lit(_PARTS)).cast("int"))
+    by_size = F.floor(F.log2(F.col("size").cast("double")) * _STEPS).cast("int")
+    blocks_of = rows.withColumn("step", by_size if smallest_first else F.pmod(F.xxhash64(F.lit(1), "serial"), F.lit(31 * _STEPS)).cast("int")).withColumn("part", F.pmod(F.xxhash64("serial"), F.lit(_PARTS)).cast("int"))
     blocks = blocks_of.groupBy("shard", "step", "part").agg(F.sum("size").alias("bytes")).orderBy("shard", "step", "part").collect()
     held = [0] * shards
     for b in blocks:
@@ -104,8 +104,9 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, key: str = "do
     """``key, size, text_crc32, old_shard, shard, slot`` per row under the law ``bytes``: shards of near-equal bytes.
 
     ``old_shard`` (0 to ``shards - 1``) says where a row lies now. Old sizes and equal capacities give the flow with the fewest moved bytes.
-    Blocks (a shard's rows of about one size, further cut by a hash) follow it whole; a block that two new
-    shards share is cut at a row. A second flow evens out what whole rows left over, with the smallest rows. The driver sees block totals only.
+    Blocks (a shard's rows by a hash) follow it whole; a block that two new
+    shards share is cut at a row. A second flow evens out what whole rows left over, with the smallest rows
+    (blocks of about one size). The driver sees block totals only.
     Size: UTF-8 bytes plus 1; a null text counts as empty. Null and repeated keys and copies are rows like others. A null old
     shard is shard 0. An empty table gives an empty result.
     """
@@ -113,8 +114,8 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, key: str = "do
     base = docs.select(F.col(f"`{key}`").alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"),
                        F.crc32(body).alias("crc"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old"))
     base = stored(base.withColumn("serial", F.monotonically_increasing_id()), "shards")  # numbered once, then read from files
-    first = stored(_moved(base.withColumn("shard", F.col("old")), shards, True), "shards")
-    last = stored(_moved(first, shards, False), "shards")
+    first = stored(_moved(base.withColumn("shard", F.col("old")), shards, False), "shards")
+    last = stored(_moved(first, shards, True), "shards")
     dealt = last.withColumn("part", F.pmod(F.xxhash64(F.col("serial")), F.lit(256)).cast("int"))
     counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import mmap
 import re
+import struct
 import tempfile
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -110,13 +111,18 @@ class _Codec:
 
         self.vocabulary, self.lexicon = Vocabulary(path), Lexicon(block)
         self.split = regex.compile(WORD_PATTERN).findall
-        self.words = Recent(self.word, 150_000)
+        self.words = Recent(self.word, 300_000)
         self.chunks = Recent(self.chunk, 250_000)
         self.odd = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space, the tokenizer does not
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
-        chunk = normal(chunk)
-        return self.words[chunk] if chunk.isalpha() else self.joined([self.words[w] for w in self.split(chunk)])
+        chunk = chunk.lower() if chunk.isascii() else normal(chunk)
+        if chunk.isalpha():
+            return self.words[chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in ",.":
+            (ids, tokens), (mark, token) = self.words[chunk[:-1]], self.words[chunk[-1]]
+            return ids + mark, tokens + " " + token
+        return self.joined([self.words[w] for w in self.split(chunk)])
 
     @staticmethod
     def joined(found: list[tuple[bytes, str]]) -> tuple[bytes, str]:
@@ -132,7 +138,7 @@ class _Codec:
         return self.packed(ids)
 
     def packed(self, ids: list[int]) -> tuple[bytes, str]:
-        return np.array(ids, "<u4").tobytes(), " ".join([self.vocabulary.tokens[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.vocabulary.tokens[i] for i in ids])
 
     def text(self, text: str) -> tuple[bytes, str]:
         found: list[tuple[bytes, str]] = []

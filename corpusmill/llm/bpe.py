@@ -84,6 +84,27 @@ class Vocabulary:
         return merges
 
 
+    def ids(self, word: bytes) -> list[int]:
+        """The ids of a word. Short words are merged by looking for the lowest rank in a list, long ones with the heap."""
+        symbols, rules, none = self.symbols(word), self.rules, 1 << 30
+        if len(symbols) > 32:
+            self.merge(symbols)
+            return [s for s in symbols if s >= 0]
+        ranks = [rules[a].get(b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
+                break
+            i = ranks.index(rank)
+            symbols[i] = made = self.made[rank]
+            del symbols[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rules[symbols[i - 1]].get(made, none)
+            if i < len(ranks):
+                ranks[i] = rules[made].get(symbols[i + 1], none)
+        return symbols
+
+
 class Recent(dict):
     """Finished words by text: misses are computed; when full the older half of what was not asked for again goes."""
 

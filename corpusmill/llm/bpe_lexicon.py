@@ -131,11 +131,7 @@ class _Codec:
     def word(self, word: str) -> tuple[bytes, str]:
         raw = word.encode("utf-8", "surrogatepass")
         ids = self.lexicon.find(raw)
-        if ids is None:
-            symbols = self.vocabulary.symbols(raw)
-            self.vocabulary.merge(symbols)
-            ids = [s for s in symbols if s >= 0]
-        return self.packed(ids)
+        return self.packed(self.vocabulary.ids(raw) if ids is None else ids)
 
     def packed(self, ids: list[int]) -> tuple[bytes, str]:
         return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.vocabulary.tokens[i] for i in ids])
@@ -184,12 +180,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", size: int = 50_
     small_batches(spark)
     rules = Vocabulary(vocabulary)
     words = sorted({normal(w).encode("utf-8", "surrogatepass") for w in frequent_words(docs, text, size)})
-    ids = []
-    for word in words:
-        symbols = rules.symbols(word)
-        rules.merge(symbols)
-        ids.append([s for s in symbols if s >= 0])
-    block = spark.sparkContext.broadcast(compile_lexicon(words, ids))
+    block = spark.sparkContext.broadcast(compile_lexicon(words, [rules.ids(w) for w in words]))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_tokens", "ids", "decoded")]
     rows = docs.select(*others, body.alias("__text"))

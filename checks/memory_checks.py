@@ -237,7 +237,8 @@ def _retrain_sql():
                  f"{pad_sql('l.ids', 256)} AS b FROM i JOIN l USING (row_id))",
                  "SELECT row_id, array_to_string(a, ',') AS input_ids, array_to_string(list_transform(a, lambda x: (x <> "
                  "0)::INT), ',') AS attention_mask, array_to_string(list_transform(b, lambda x: CASE WHEN x = 0 THEN -100 "
-                 "ELSE x END), ',') AS labels FROM p")
+                 "ELSE x END), ',') AS labels FROM p JOIN (SELECT md5(question || chr(1) || improvement) AS row_id FROM fb WHERE "
+                 "confidence_score > 0.5) USING (row_id)")
 
 
 def _legacy(spark, sf_dir):

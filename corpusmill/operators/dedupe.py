@@ -203,7 +203,8 @@ def distinct_vectors(df: DataFrame, column: str, key: str, max_features: int | N
     Texts with the same terms and counts are equal here. Document frequencies count every copy, so the vectors are
     those of the whole table. ``best`` are columns by which the first of a group is chosen (descending).
     """
-    order = F.struct(*[(-F.col(b)).alias(f"_{b}") for b in best], F.col(key).alias("first"))
+    # A null score is the lowest: it sorts after all others.
+    order = F.struct(*[x for b in best for x in (F.col(b).isNull().alias(f"_no_{b}"), (-F.col(b)).alias(f"_{b}"))], F.col(key).alias("first"))
     tagged = compute_once(df.select(key, *best, column), {"digest": _terms_digest(column, stopwords)}).drop(column)
     firsts = cut_lineage(tagged.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
         F.min(order).alias("o"), F.count(F.lit(1)).alias("copies")))

@@ -94,13 +94,19 @@ def summarize_answers(rows: DataFrame) -> DataFrame:
 
 def build_retrain_set(feedback: DataFrame, vocabulary: DataFrame, train: DataFrame | None = None, least: float = 0.5,
                       min_rows: int = 10, kind: str = "train_answer", length: int = 512) -> DataFrame:
-    """Model examples from confident feedback, or from training pairs and all feedback if ``train`` is given."""
+    """Model examples from confident feedback, or from training pairs and all feedback if ``train`` is given.
+
+    Repeated pairs are kept, as rows with the same ``row_id``.
+    """
     if train is None:
         pairs = confident_feedback(feedback, least, min_rows).select(
             F.col("question").alias("question_clean"), F.col("improvement").alias("answer_clean"))
     else:
         pairs = mix_feedback(train, feedback).select("question_clean", "answer_clean")
-    keyed = pairs.withColumn("row_id", F.md5(F.concat_ws("\u0001", "question_clean", "answer_clean"))).dropDuplicates(
-        ["row_id"])
-    return model_examples(keyed, vocabulary, build_prompt(kind, question="question_clean"), "answer_clean",
-                          input_len=length, label_len=length)
+    keyed = pairs.groupBy(F.md5(F.concat_ws("\u0001", "question_clean", "answer_clean")).alias("row_id")).agg(
+        F.first("question_clean").alias("question_clean"), F.first("answer_clean").alias("answer_clean"), F.count(F.lit(1)).alias("copies"))
+    examples = model_examples(keyed.drop("copies"), vocabulary, build_prompt(kind, question="question_clean"), "answer_clean",
+                              input_len=length, label_len=length)
+    # Equal pairs give equal examples: they are encoded once, and every repeat stays a row.
+    repeats = keyed.select("row_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return examples.join(repeats.select("row_id"), "row_id")

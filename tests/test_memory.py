@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import feedback as fb, recall
+from corpusmill.operators import feedback as fb, recall, vocab
 from corpusmill.operators.generate import apply_generator
 from corpusmill.plans import reflect
 from corpusmill.sources import files
@@ -195,3 +195,16 @@ def test_legacy_import(spark, tmp_path):
     assert out["Q?"]["confidence_score"] == 0.5 and out["Q?"]["improvement_type"] == "unknown"
     assert out["Q?"]["created_at"] == datetime(2023, 5, 1, 10) and out["Q2"]["created_at"] == START
     assert len(out["Q2"]["question_hash"]) == 8
+
+
+def test_recall_recent_names_its_scores(spark):
+    asked = spark.createDataFrame([("what is dns",)], "question string")
+    with pytest.raises(ValueError):
+        recall.recall_recent(asked, asked, score="ful")
+
+
+def test_retrain_set_keeps_repeated_pairs(spark):
+    table = [(i, "what is dns", "a name service", 0.9) for i in range(11)] + [(20, "what is tcp", "a protocol", 0.9), (21, "low", "low", 0.1)]
+    memory = spark.createDataFrame(table, "id long, question string, improvement string, confidence_score double")
+    made = reflect.build_retrain_set(memory, vocab.build_vocabulary(memory, "improvement", 50, 1), length=8)
+    assert sorted(r["count"] for r in made.groupBy("row_id").count().collect()) == [1, 11]

@@ -45,7 +45,7 @@ def _delta(spark, sf_dir):
         "created_at": F.col("created_at") + F.expr("INTERVAL 1 DAY"),
         "improvement": F.concat(F.lit("new "), "improvement")})
     fresh = d.document_memory(spark, sf_dir).withColumns({
-        "question_hash": tx.question_hash("question"), "improvement": F.left("question", F.lit(20)),
+        "question_hash": tx.question_hash("question"), "improvement": F.col("question"),
         "source": F.lit(fb.AUTO), "confidence_score": F.lit(0.6)})
     return base, newer.unionByName(fresh, allowMissingColumns=True)
 
@@ -53,7 +53,7 @@ def _delta(spark, sf_dir):
 UPSERT = q.FEEDBACK + f""", al AS (SELECT id, question, question_hash, improvement, source, confidence_score, created_at
   FROM fb UNION ALL SELECT id, question, question_hash, 'new ' || improvement, source, confidence_score,
   created_at + INTERVAL 1 DAY FROM fb WHERE source = 'user-correction' UNION ALL SELECT doc_id, text,
-  substr(md5({q.norm('text')}), 1, 8), left(text, 20), 'auto-reflection', 0.6, TIMESTAMP '2024-01-01' + doc_id * INTERVAL
+  substr(md5({q.norm('text')}), 1, 8), text, 'auto-reflection', 0.6, TIMESTAMP '2024-01-01' + doc_id * INTERVAL
   1 SECOND FROM documents)
   SELECT {SHOWN} FROM al QUALIFY row_number() OVER (PARTITION BY md5({q.norm('question')}) ORDER BY created_at DESC,
   id DESC) = 1"""
@@ -67,7 +67,7 @@ def _upsert(spark, sf_dir):
 def _corrections(spark, sf_dir):
     base = d.feedback(spark, sf_dir)
     known = base.filter(F.col("source") == fb.CORRECTED).select(
-        "question", F.concat(F.lit("fixed "), F.left("base_answer", F.lit(50))).alias("user_correction"),
+        "question", F.concat(F.lit("fixed "), "base_answer").alias("user_correction"),
         F.lit("seen").alias("reflection"), (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("created_at"))
     unknown = d.table(spark, sf_dir, "benchmark").select(
         F.col("text").alias("question"), F.lit("unknown so far").alias("user_correction"),
@@ -78,14 +78,26 @@ def _corrections(spark, sf_dir):
 
 
 CORRECTIONS = q.FEEDBACK + f""" SELECT id, question_hash, CASE WHEN source = 'user-correction' THEN
-  'fixed ' || left(base_answer, 50) ELSE improvement END AS improvement, source, CASE WHEN source = 'user-correction' THEN 1.0
+  'fixed ' || base_answer ELSE improvement END AS improvement, source, CASE WHEN source = 'user-correction' THEN 1.0
   ELSE confidence_score END::DOUBLE AS confidence_score, CASE WHEN source = 'user-correction' THEN 'user-feedback' ELSE
   'conversation' END AS improvement_type, CASE WHEN source = 'user-correction' THEN 'seen' ELSE reflection END AS
   reflection, strftime(CASE WHEN source = 'user-correction' THEN created_at + INTERVAL 1 HOUR ELSE created_at END,
-  '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM fb UNION ALL SELECT NULL, substr(md5({q.norm('text')}), 1, 8),
+  '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM fb UNION ALL SELECT ('0x' || substr(md5({q.norm('text')}), 1, 15))::BIGINT, substr(md5({q.norm('text')}), 1, 8),
   'unknown so far', 'user-correction', 1.0, 'user-feedback', NULL, '{AS_OF}.000000' FROM
   (SELECT DISTINCT text FROM benchmark)"""
 
+def _corrected_recall(spark, sf_dir):
+    """Corrections of unknown questions, then the same questions asked again: all are hits with an id."""
+    asked = d.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    corrections = asked.select("question", F.lit("known now").alias("user_correction"),
+                               F.lit(None).cast("string").alias("reflection"), as_of().alias("created_at"))
+    memory = fb.apply_corrections(d.feedback(spark, sf_dir), corrections)
+    return recall.recall_join(asked, memory, 1.0, None, "exact_contains").select("item_id", "match_id", "similarity")
+
+
+CORRECTED_RECALL = f"""SELECT item_id, ('0x' || substr(md5({q.norm('text')}), 1, 15))::BIGINT AS match_id,
+  1.0::DOUBLE AS similarity FROM benchmark"""
+
 USAGE = """us AS (SELECT ts AS event_time, CASE event_type WHEN 'click' THEN 'llm_answer' WHEN 'view' THEN 'reflection'
   WHEN 'purchase' THEN 'reuse' ELSE 'other' END AS kind FROM events)"""
 
@@ -242,20 +254,20 @@ def _retrain_sql():
 
 
 def _legacy(spark, sf_dir):
-    """Feedback written as an old JSON file, with optional keys left out, and imported again."""
+    """Feedback written as an old JSON file with its old keys, optional ones left out, and imported again."""
     path = scratch_path(spark, "legacy")
     memory = d.feedback(spark, sf_dir)
-    old = memory.select("question", "base_answer", "improvement", "source", F.when(
+    old = memory.select("question", F.col("base_answer").alias("groq_answer"), F.col("reflection").alias("t5_reflection"), "improvement", "source", F.when(
         F.col("source") == fb.CORRECTED, F.col("confidence_score")).alias("confidence_score"), F.date_format(
         "created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
     old.write.mode("overwrite").json(path)
     raw = spark.read.json(path)
     out = fb.upsert_feedback(files.legacy_feedback(raw, as_of()).limit(0), files.legacy_feedback(raw, as_of()))
-    return out.select("question_hash", "improvement", "source", "confidence_score", "improvement_type",
-                      at().alias("created_at"))
+    return out.select("question", "question_hash", "base_answer", "reflection", "improvement", "source", "confidence_score",
+                      "improvement_type", at().alias("created_at"))
 
 
-LEGACY = f"""{q.FEEDBACK} SELECT question_hash, improvement, source, CASE WHEN source = 'user-correction' THEN confidence_score
+LEGACY = f"""{q.FEEDBACK} SELECT question, question_hash, base_answer, reflection, improvement, source, CASE WHEN source = 'user-correction' THEN confidence_score
   ELSE 0.5 END::DOUBLE AS confidence_score, 'unknown' AS improvement_type, strftime(created_at, '%Y-%m-%d %H:%M:%S') ||
   '.000000' AS created_at FROM fb"""
 
@@ -323,7 +335,7 @@ def _stream_dedupe(spark, sf_dir):
 
 def _stream_recall(spark, sf_dir):
     base = scratch_path(spark, "recall")
-    d.document_memory(spark, sf_dir).write.parquet(f"{base}/store/batch=0")
+    d.document_memory(spark, sf_dir).write.parquet(f"{base}/store/stream=snapshot/batch=0")
     asked = _stream(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("question"))
     _run(st.stream_recall(asked, f"{base}/store", f"{base}/out", f"{base}/checkpoint", 0.7, 50, "exact_contains"))
     return spark.read.parquet(f"{base}/out").select("doc_id", "match_id", F.round("similarity", 6).alias("similarity"))
@@ -373,6 +385,7 @@ CHECKS = {
         lambda s, p: shown(fb.expire_feedback(d.feedback(s, p), as_of(), 29)[1]),
         lambda: _with(q.FEEDBACK, f"SELECT {SHOWN} FROM fb WHERE created_at < TIMESTAMP '{AS_OF}' - INTERVAL 29 DAY")),
     "apply_corrections": (_corrections, lambda: _with(CORRECTIONS, "")),
+    "corrected_recall": (_corrected_recall, lambda: CORRECTED_RECALL),
     "import_legacy_feedback": (_legacy, lambda: _with(LEGACY, "")),
     "recall_recent_jaccard": (lambda s, p: _recent(s, p, "jaccard", 0.2), lambda: _with(RECENT % (J, 0.2), "")),
     "recall_recent_contains": (lambda s, p: _recent(s, p, "exact_contains", 0.7), lambda: _with(RECENT % (EC, 0.7), "")),

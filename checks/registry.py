@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("text_checks", "table_checks", "memory_checks")
+_MODULES = ("text_checks", "table_checks", "memory_checks", "file_checks")
 
 
 def checks() -> dict:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions.scores import estimate_confidence
 from corpusmill.functions.text import question_key
-from corpusmill.operators.ordering import recent_listing
 
 SCHEMA = """id long, question string, question_hash string, base_answer string, improvement string, reflection string,
 source string, confidence_score double, improvement_type string, timestamp string, created_at timestamp"""
@@ -23,9 +22,16 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*key).agg(best).select(*key, "_best.*").select(df.columns)
 
 
+def new_id(key: Column | str) -> Column:
+    """The id of a question that comes in without one: 60 bits of its digest, so a repeated run gives the same id."""
+    return F.conv(F.left(key, F.lit(15)), 16, 10).cast("long")
+
+
 def upsert_feedback(base: DataFrame, delta: DataFrame, order: Sequence[str] = ("created_at", "id")) -> DataFrame:
-    """Insert or replace by the full question digest; the newest row of a question wins."""
+    """Insert or replace by the full question digest; the newest row of a question wins (D17). Rows without id get one."""
     rows = base.unionByName(delta, allowMissingColumns=True).withColumn("_key", question_key("question"))
+    if "id" in rows.columns:
+        rows = rows.withColumn("id", F.coalesce("id", new_id("_key")))
     return latest_per_key(rows, ["_key"], order).drop("_key")
 
 
@@ -65,10 +71,6 @@ def memory_overview(feedback: DataFrame, usage: DataFrame, as_of: Column) -> Dat
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def overview_listing(feedback: DataFrame, n: int = 5) -> DataFrame:
-    return recent_listing(feedback, n)
-
-
 def expire_feedback(feedback: DataFrame, as_of: Column, days: int = 90) -> tuple[DataFrame, DataFrame]:
     """(kept, expired): rows created before ``as_of - days`` expire."""
     old = F.col("created_at") < as_of - F.expr(f"INTERVAL {int(days)} DAYS")
@@ -85,7 +87,7 @@ def auto_feedback(answered: DataFrame, now: Column) -> DataFrame:
 
 
 def apply_corrections(feedback: DataFrame, corrections: DataFrame) -> DataFrame:
-    """A user's correction replaces the improvement of its question; unknown questions come in as new rows.
+    """A user's correction replaces the improvement of its question; unknown questions come in as new rows with a new id.
 
     The newest correction of a question counts. ``corrections``: question, user_correction, reflection, created_at.
     """
@@ -100,7 +102,7 @@ def apply_corrections(feedback: DataFrame, corrections: DataFrame) -> DataFrame:
         return F.when(hit, new).otherwise(F.col(old)).alias(old)
 
     return joined.select(
-        F.col("id"), F.coalesce("question", "_question").alias("question"),
+        F.coalesce("id", new_id(F.col("_key"))).alias("id"), F.coalesce("question", "_question").alias("question"),
         F.left("_key", F.lit(8)).alias("question_hash"), "base_answer",
         pick(F.col("user_correction"), "improvement"),
         F.when(hit, F.coalesce("_reflection", "reflection")).otherwise(F.col("reflection")).alias("reflection"),

@@ -243,6 +243,6 @@ def recall_join(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, r
 
 
 def mark_reuse(recalled: DataFrame) -> DataFrame:
-    """queries, hits and misses of a recall."""
-    return recalled.agg(F.count(F.lit(1)).alias("queries"), F.count("match_id").alias("reuse_count"),
-                        F.count_if(F.col("match_id").isNull()).alias("misses"))
+    """queries, hits and misses of a recall; a hit has a similarity, whether or not its row has an id."""
+    return recalled.agg(F.count(F.lit(1)).alias("queries"), F.count("similarity").alias("reuse_count"),
+                        F.count_if(F.col("similarity").isNull()).alias("misses"))

@@ -34,9 +34,10 @@ def reflect_job(questions: DataFrame, memory: DataFrame, answerer: Callable[[],
     allowed = scores.domain_gate(F.col("relevance"), accepted=names + ("general-educational",)) if gate else F.lit(True)
     asked = asked.withColumn("relevant", allowed)
     recalled = cut_lineage(recall_join(asked.filter("relevant"), memory, threshold, recent_n, score))
-    stored = memory.select(F.col("id").alias("match_id"), F.col("improvement").alias("stored"))
-    hits = recalled.filter(F.col("match_id").isNotNull()).join(stored, "match_id", "left")
-    misses = recalled.filter(F.col("match_id").isNull()).select("id", "question", F.col("relevance.domain").alias(
+    stored = memory.select(F.col("id").alias("_id"), F.col("question").alias("_question"), F.col("improvement").alias("stored"))
+    hits = recalled.filter(F.col("similarity").isNotNull()).join(
+        stored, F.col("_question").eqNullSafe(F.col("match_question")) & F.col("_id").eqNullSafe(F.col("match_id")), "left").drop("_id", "_question")
+    misses = recalled.filter(F.col("similarity").isNull()).select("id", "question", F.col("relevance.domain").alias(
         "domain"))
 
     work = misses.withColumn("_prompt", build_prompt("answer_general", question="question"))

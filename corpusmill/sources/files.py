@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -13,26 +14,44 @@ from corpusmill.operators.feedback import feedback_stats, upsert_feedback
 from corpusmill.operators.schema import require_columns, resolve_qa_columns, with_optional_columns
 from corpusmill.operators.splits import split3
 
-REPLACEMENT = "�"
 
+def _decoded(c: Column, fallback: str) -> Column:
+    """A value read as ISO-8859-1, which keeps every byte: as UTF-8 where its bytes fit, else in ``fallback``.
+
+    A file with a byte order mark has been decoded by the reader; what ISO-8859-1 lacks shows that.
+    """
+    raw = F.encode(c, "ISO-8859-1")
+    other = c if fallback.upper() == "ISO-8859-1" else F.decode(raw, fallback)
+    text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(other)
+    return F.when(c.rlike(r"[\x80-\xFF]") & ~c.rlike(r"[^\x00-\xFF]"), text).otherwise(c)
 
-def _csv(spark: SparkSession, path: str, header: bool, schema: T.StructType | str | None, encoding: str) -> DataFrame:
-    reader = spark.read.options(header=header, multiLine=True, escape='"', encoding=encoding)
-    return (reader.schema(schema) if schema else reader).csv(path)
+
+def _decoded_name(name: str, fallback: str) -> str:
+    try:
+        raw = name.encode("latin-1")
+    except UnicodeEncodeError:
+        return name
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return raw.decode(fallback)
 
 
 def read_text_csv(spark: SparkSession, path: str, header: bool = True, schema: T.StructType | str | None = None,
-                  encoding: str = "UTF-8", fallback: str = "ISO-8859-1") -> DataFrame:
-    """CSV with quoted line breaks; read again with ``fallback`` if the bytes do not fit the encoding.
+                  encoding: str = "UTF-8", fallback: str = "ISO-8859-1", multi_line: bool = True) -> DataFrame:
+    """CSV with quoted line breaks. Each value that is not UTF-8 is decoded with ``fallback``, in the same scan.
 
-    Spark replaces bad bytes instead of failing, so one scan looks for the replacement character.
+    One bad byte changes no other value. With another ``encoding`` that one holds for all. ``multi_line=False``
+    splits large files over tasks, for data without quoted line breaks.
     """
-    df = _csv(spark, path, header, schema, encoding)
-    strings = [f"`{f.name}`" for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not strings:
+    utf8 = encoding.upper().replace("_", "-") in ("UTF-8", "UTF8")
+    reader = spark.read.options(header=header, multiLine=multi_line, escape='"', encoding="ISO-8859-1" if utf8 else encoding)
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    if not utf8:
         return df
-    broken = F.contains(F.concat_ws("", *strings), F.lit(REPLACEMENT))
-    return _csv(spark, path, header, schema, fallback) if not df.filter(broken).isEmpty() else df
+    return df.select(*[
+        (_decoded(F.col(f"`{f.name}`"), fallback) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(
+            f.name if schema else _decoded_name(f.name, fallback)) for f in df.schema.fields])
 
 
 def read_qa(source: DataFrame | str, spark: SparkSession | None = None, **options) -> DataFrame:
@@ -42,9 +61,9 @@ def read_qa(source: DataFrame | str, spark: SparkSession | None = None, **option
     return with_optional_columns(require_columns(df, ["question", "answer"]))
 
 
-def read_qa_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON records; fails on a missing path or without any record."""
-    df = spark.read.json(path, multiLine=True)
+def read_qa_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON records (arrays, or with ``lines`` one a line, which splits); fails on a missing path or without any record."""
+    df = spark.read.json(path, multiLine=not lines)
     if not df.columns or df.isEmpty():
         raise ValueError(f"no records in {path}")
     return require_columns(df, ["question", "answer"])
@@ -118,19 +137,35 @@ def model_ready(tables: Mapping[str, DataFrame], key: str = "row_id") -> DataFra
     return out.join(tables["sequences"], key, "left")
 
 
-def export_feedback(feedback: DataFrame, path: str, as_of: Column) -> None:
-    """All feedback as CSV and JSON and its statistics as JSON."""
+def export_feedback(feedback: DataFrame, path: str, as_of: Column, stamp: datetime | None = None) -> str:
+    """All feedback as CSV and JSON and its statistics as JSON; with ``stamp`` a backup in a folder of that time.
+
+    Returns the folder written.
+    """
+    path = path if stamp is None else f"{path}/{stamp:%Y%m%d_%H%M%S}"
     ordered = feedback.repartitionByRange(F.desc("created_at"), F.desc("id")).sortWithinPartitions(
         F.desc("created_at"), F.desc("id"))
     ordered.write.mode("overwrite").options(header=True, quoteAll=True, escape='"').csv(f"{path}/csv")
     ordered.write.mode("overwrite").json(f"{path}/json")
     feedback_stats(feedback, as_of).write.mode("overwrite").json(f"{path}/stats")
+    return path
+
+
+#: today's field and the key that old files use for it; both names are understood.
+LEGACY_KEYS = {"base_answer": "groq_answer", "reflection": "t5_reflection"}
+LEGACY_COUNTERS = {"llm_answer": "groq_responses", "reflection": "t5_reflections", "reuse": "reuse_count"}
+#: The same counters under today's names.
+COUNTERS = {"llm_answer": "llm_answers", "reflection": "reflections", "reuse": "reuse_count"}
+
 
+def legacy_feedback(raw: DataFrame, imported_at: Column, keys: Mapping[str, str] = LEGACY_KEYS) -> DataFrame:
+    """Old JSON entries in today's schema; missing optional keys get their defaults.
 
-def legacy_feedback(raw: DataFrame, imported_at: Column) -> DataFrame:
-    """Old JSON entries in today's schema; missing optional keys get their defaults."""
+    ``keys`` names the old key of a field; today's name wins where an entry has both.
+    """
     def field(name, default=None):
-        c = F.col(name) if name in raw.columns else F.lit(None).cast("string")
+        named = [F.col(f"`{c}`") for c in (name, keys.get(name)) if c in raw.columns]
+        c = F.coalesce(*named) if named else F.lit(None).cast("string")
         return F.coalesce(c, default) if default is not None else c
 
     return raw.select(
@@ -144,27 +179,51 @@ def legacy_feedback(raw: DataFrame, imported_at: Column) -> DataFrame:
         F.coalesce(F.try_to_timestamp(field("timestamp")), imported_at).alias("created_at"))
 
 
-def import_legacy_feedback(base: DataFrame, path: str, imported_at: Column) -> DataFrame:
-    """The memory with the entries of an old JSON file (array of objects) upserted."""
-    raw = base.sparkSession.read.json(path, multiLine=True)
+def import_legacy_feedback(base: DataFrame, path: str, imported_at: Column, lines: bool = False) -> DataFrame:
+    """The memory with the entries of an old JSON file (array of objects, or with ``lines`` one a line) upserted."""
+    raw = base.sparkSession.read.json(path, multiLine=not lines)
     return upsert_feedback(base, legacy_feedback(raw, imported_at))
 
 
-LEGACY_COUNTERS = {"llm_answer": "llm_answers", "reflection": "reflections", "reuse": "reuse_count"}
-
-
 def import_legacy_counters(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, n): the counters of an old statistics file, to be added to derived usage counts."""
+    """(kind, n): the counters of an old statistics file, to be added to derived usage counts; 0 for a missing one."""
     raw = spark.read.json(path, multiLine=True)
-    return raw.select(F.inline(F.array(*[
-        F.struct(F.lit(kind).alias("kind"), (F.coalesce(F.col(c).cast("long"), F.lit(0)) if c in raw.columns else F.lit(
-            0).cast("long")).alias("n")) for kind, c in LEGACY_COUNTERS.items()])))
+
+    def count(kind):
+        named = [F.col(f"`{c}`").cast("long") for c in dict.fromkeys((COUNTERS[kind], LEGACY_COUNTERS[kind])) if c in raw.columns]
+        return F.coalesce(*named, F.lit(0).cast("long"))
+
+    return raw.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), count(k).alias("n")) for k in COUNTERS])))
 
 
 def catalog_files(spark: SparkSession, path: str, format: str = "csv", **options) -> DataFrame:
-    """(file, bytes, columns, rows) of every data file below a folder."""
+    """(file, bytes, columns, rows) of every data file below a folder, empty ones included.
+
+    A CSV file has the columns of its own first line (a header in one line); other formats share one schema.
+    ``pathGlobFilter`` restricts the files.
+    """
+    some = {"recursiveFileLookup": True, **{k: v for k, v in options.items() if k == "pathGlobFilter"}}
+    place = F.col("_metadata.file_path").alias("file")
+    found = spark.read.format("binaryFile").options(**some).load(path)
+    # Scans pass over files of zero bytes, the listing has them.
+    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string")
+    slashes = F.regexp_replace("file", "^([A-Za-z0-9+.-]+):/+", "$1:/").alias("file")
+    files = listed.select(slashes).join(
+        found.select(place, F.col("_metadata.file_size").alias("bytes")).select(slashes, "bytes"), "file", "left").fillna(0, ["bytes"])
     if format == "csv":
         options = {"header": True, "multiLine": True, "escape": '"', **options}
-    df = spark.read.format(format).options(recursiveFileLookup=True, **options).load(path)
-    return df.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(
-        F.lit(len(df.columns)).alias("columns"), F.count(F.lit(1)).alias("rows"))
+    # One wide enough string column: rows count whatever their number of fields.
+    reader = spark.read.format(format).options(**some, **{k: v for k, v in options.items() if k not in some})
+    df = reader.schema("line string").load(path) if format == "csv" else reader.load(path)
+    rows = df.select(place).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    if format == "csv":
+        separator = options.get("sep", options.get("delimiter", ","))
+        lines = spark.read.options(**some).text(path).where("_metadata.file_block_start = 0").select(
+            place, "value", F.monotonically_increasing_id().alias("at"))
+        bare = F.regexp_replace(F.min_by("value", "at"), r'"(?:[^"]|"")*"', "")
+        rows = rows.join(lines.groupBy("file").agg((F.size(F.split(bare, "\\Q" + separator + "\\E")).alias("columns"))), "file", "full")
+        columns = F.coalesce("columns", F.lit(0))
+    else:
+        columns = F.lit(len(df.columns))
+    rows = rows.withColumn("file", slashes)
+    return files.join(rows, "file", "left").select("file", "bytes", columns.alias("columns"), F.coalesce("rows", F.lit(0)).alias("rows"))

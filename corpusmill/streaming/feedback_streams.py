@@ -1,11 +1,14 @@
 """Feedback, counters, activity and recall over streams.
 
-A memory store is a folder with one Parquet directory per micro-batch. A batch that is replayed overwrites its own
-directory, and reading takes the newest row per question, so the result does not depend on retries.
+A memory store is a folder with one Parquet directory per stream and micro-batch, and one for a compacted snapshot. A batch
+that is replayed overwrites its own directory, a stream with a new checkpoint never one of another stream, and reading takes the newest
+row per question, so the result does not depend on retries.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +16,13 @@ from corpusmill.functions.text import question_key
 from corpusmill.operators.feedback import expire_feedback, latest_per_key
 from corpusmill.operators.recall import recall_join
 
-_ORDER = ["created_at", "id", "batch"]
+_ORDER = ["created_at", "id", "batch", "stream"]
+
+
+def _folder(batch: DataFrame, store: str, checkpoint: str, batch_id: int) -> str:
+    """The directory of one batch: the stream's id, which its checkpoint keeps over restarts, and the batch number."""
+    stream = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+    return f"{store}/stream={stream}/batch={batch_id}"
 
 
 def stream_upsert_feedback(stream: DataFrame, store: str, checkpoint: str, trigger: dict | None = None
@@ -22,7 +31,7 @@ def stream_upsert_feedback(stream: DataFrame, store: str, checkpoint: str, trigg
     def save(batch: DataFrame, batch_id: int) -> None:
         keyed = batch.withColumn("_key", question_key("question"))
         latest_per_key(keyed, ["_key"], ["created_at", "id"]).drop("_key").write.mode("overwrite").parquet(
-            f"{store}/batch={batch_id}")
+            _folder(batch, store, checkpoint, batch_id))
 
     return (stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -31,16 +40,21 @@ def stream_upsert_feedback(stream: DataFrame, store: str, checkpoint: str, trigg
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """The newest row per question over all batches."""
     rows = spark.read.parquet(store).withColumn("_key", question_key("question"))
-    return latest_per_key(rows, ["_key"], _ORDER).drop("_key", "batch")
+    return latest_per_key(rows, ["_key"], [c for c in _ORDER if c in rows.columns]).drop("_key", "batch", "stream")
 
 
 def compact_store(spark: SparkSession, store: str, target: str, as_of: Column | None = None,
                   days: int = 90) -> None:
-    """Write the store's current rows as batch 0 of a new store, with ``as_of`` only those of the last days."""
+    """Write the store's current rows as the snapshot of another store, with ``as_of`` only those of the last days.
+
+    A later snapshot replaces an earlier one; streams on the target write beside it.
+    """
+    if store.rstrip("/") == target.rstrip("/"):
+        raise ValueError("compact into another folder: the store is read while the snapshot is written")
     rows = read_store(spark, store)
     if as_of is not None:
         rows, _ = expire_feedback(rows, as_of, days)
-    rows.write.mode("overwrite").parquet(f"{target}/batch=0")
+    rows.write.mode("overwrite").parquet(f"{target}/stream=snapshot/batch=0")
 
 
 def stream_usage_counters(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
@@ -95,7 +109,7 @@ def stream_recall(questions: DataFrame, store: str, path: str, checkpoint: str,
     def save(batch: DataFrame, batch_id: int) -> None:
         memory = read_store(batch.sparkSession, store)
         recall_join(batch, memory, threshold, recent_n, score).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}")
+            _folder(batch, path, checkpoint, batch_id))
 
     return (questions.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -13,6 +13,16 @@ def test_bad_bytes_fall_back(spark, tmp_path):
     assert files.read_qa(str(tmp_path / "b.csv"), spark).first()["answer"] == "schön"
 
 
+def test_bad_bytes_change_no_other_value(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("größe,answer\nwarum,schön\n".encode())
+    (tmp_path / "b.csv").write_bytes("größe,answer\n".encode() + "wo,schön\n".encode("latin-1") + "wer,\ufffd é 漢\n".encode())
+    df = files.read_text_csv(spark, str(tmp_path))
+    assert df.columns == ["größe", "answer"]
+    assert {tuple(r) for r in df.collect()} == {("warum", "schön"), ("wo", "schön"), ("wer", "\ufffd é 漢")}
+    (tmp_path / "c.txt").write_bytes(b"\xef\xbb\xbfk,v\n1,\xc3\xa9\n")
+    assert [r.asDict() for r in files.read_text_csv(spark, str(tmp_path / "c.txt")).collect()] == [{"k": "1", "v": "é"}]
+
+
 def test_json_records(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"question": "q", "answer": "a"}]')
     assert files.read_qa_json(spark, str(tmp_path / "a.json")).count() == 1
@@ -51,8 +61,12 @@ def test_catalogue(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.csv").write_text("p,q\n1,2\n3,4\n")
     (tmp_path / "b.csv").write_text("p,q\n1,2\n")
+    (tmp_path / "c.csv").write_text('p,"q, ""r""",s,t\n1,"a\nb",3,4\n')
+    (tmp_path / "d.csv").write_text("p,q,r\n")
+    (tmp_path / "e.csv").write_text("")
     rows = files.catalog_files(spark, str(tmp_path)).collect()
-    assert sorted((r["file"].rsplit("/", 1)[-1], r["rows"], r["columns"]) for r in rows) == [("a.csv", 2, 2), ("b.csv", 1, 2)]
+    assert sorted((r["file"].rsplit("/", 1)[-1], r["rows"], r["columns"]) for r in rows) == [
+        ("a.csv", 2, 2), ("b.csv", 1, 2), ("c.csv", 1, 4), ("d.csv", 0, 3), ("e.csv", 0, 0)]
 
 
 def test_export(spark, tmp_path, sf_dir):

@@ -197,6 +197,49 @@ def test_legacy_import(spark, tmp_path):
     assert len(out["Q2"]["question_hash"]) == 8
 
 
+def test_legacy_keys_and_counters(spark, tmp_path):
+    (tmp_path / "old.json").write_text('[{"question": "Q?", "groq_answer": "a", "improvement": "i", "t5_reflection": "r"}]')
+    now = F.lit("2024-01-01").cast("timestamp")
+    base = spark.createDataFrame([], fb.SCHEMA)
+    out = files.import_legacy_feedback(base, str(tmp_path / "old.json"), now).first()
+    assert (out["base_answer"], out["reflection"], out["improvement"]) == ("a", "r", "i")
+    (tmp_path / "stats.json").write_text('{"groq_responses": 7, "t5_reflections": 3}')
+    assert dict(map(tuple, files.import_legacy_counters(spark, str(tmp_path / "stats.json")).collect())) == {
+        "llm_answer": 7, "reflection": 3, "reuse": 0}
+
+
+def test_corrected_questions_are_hits(spark):
+    base = spark.createDataFrame([(1, "Q1", "h", "b", "i", "r", fb.AUTO, 0.5, "t", "x", START)], fb.SCHEMA)
+    new = spark.createDataFrame([("what is dns", "a name service", None, START)],
+                                "question string, user_correction string, reflection string, created_at timestamp")
+    once = fb.apply_corrections(base, new)
+    assert {r["id"] for r in once.collect()} == {r["id"] for r in fb.apply_corrections(once, new).collect()}
+    asked = new.select("question")
+    found = recall.recall_join(asked, once, 0.7, 50, "exact_contains")
+    assert found.first()["match_id"] is not None
+    assert tuple(recall.mark_reuse(found).first()) == (1, 1, 0)
+    # A memory from elsewhere without ids still gives hits.
+    bare = recall.recall_join(asked, once.withColumn("id", F.lit(None).cast("long")), 0.7, 50, "exact_contains")
+    assert tuple(recall.mark_reuse(bare).first()) == (1, 1, 0)
+
+
+def test_new_stream_keeps_a_compacted_memory(spark, tmp_path):
+    def save(name, *entries):
+        spark.createDataFrame(rows(*entries), DDL).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(DDL).parquet(str(tmp_path / name))
+        st.stream_upsert_feedback(stream, store, str(tmp_path / f"{name}-checkpoint")).awaitTermination()
+
+    store = str(tmp_path / "store")
+    save("one", (1, "a", "x", "s", 1.0, 1), (2, "b", "x", "s", 1.0, 1))
+    st.compact_store(spark, store, str(tmp_path / "compact"))
+    with pytest.raises(ValueError):
+        st.compact_store(spark, store, store)
+    store = str(tmp_path / "compact")
+    save("two", (3, "c", "x", "s", 1.0, 2), (4, "A", "newer", "s", 1.0, 2))
+    got = {r["question"].lower(): r["improvement"] for r in st.read_store(spark, store).collect()}
+    assert got == {"a": "newer", "b": "x", "c": "x"}
+
+
 def test_recall_recent_names_its_scores(spark):
     asked = spark.createDataFrame([("what is dns",)], "question string")
     with pytest.raises(ValueError):

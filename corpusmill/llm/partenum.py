@@ -31,6 +31,8 @@ _FIRST, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 MAP_BITS = 1 << 23
 #: Slots of a sketch, of the one for pairs that pass it, and classes up to which a signature gives all its pairs (others go the exact way of two rounds).
 SLOTS, WIDE, FEW = 64, 1024, 16
+#: Bits of a parity: unrelated sets differ in half of them, which tells sets of up to about three times as many elements apart.
+PARITY = 1024
 
 
 def shingle_set(words: list[bytes], n: int) -> np.ndarray:
@@ -88,8 +90,8 @@ def _sketch(elements: np.ndarray, slots: int = SLOTS) -> bytes:
 
 
 def _parity(elements: np.ndarray) -> np.ndarray:
-    """Whether a slot holds an odd number of elements, in 256 bits: two sets differ in at least the bits that differ."""
-    odd = np.bincount((elements >> np.uint64(20) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """Whether a slot holds an odd number of elements: two sets differ in at least the bits that differ."""
+    odd = np.bincount((elements >> np.uint64(20) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -243,10 +245,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
              .agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sign", "main"))
     # Sizes and parities are compared in the join, so it gives only pairs that may be similar.
     there = stored(placed.join(mixed, "sign").join(
-        texts.select("k", F.col("n_shingles").alias("n"), *[F.col("parity")[i].alias(f"p{i}") for i in range(4)]), "k"), "placed")
+        texts.select("k", F.col("n_shingles").alias("n"), *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY // 64)]), "k"), "placed")
     strange = there.where("component <> main").select(
-        "sign", F.col("k").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *[F.col(f"p{i}").alias(f"x{i}") for i in range(4)])
-    differing = " + ".join(f"bit_count(p{i} ^ x{i})" for i in range(4))
+        "sign", F.col("k").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *[F.col(f"p{i}").alias(f"x{i}") for i in range(PARITY // 64)])
+    differing = " + ".join(f"bit_count(p{i} ^ x{i})" for i in range(PARITY // 64))
     second = (there.join(strange, "sign").where(
         f"component <> cx AND (component = main OR k < x) AND {den}L * least(n, nx) >= {num}L * greatest(n, nx) "
         f"AND {den + num}L * ({differing}) <= {den - num}L * (n + nx)")

@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import sys
+import textwrap
 import zlib
 
 import numpy as np
@@ -293,6 +294,65 @@ def test_license_rules(docs, rows, empty):
     assert one.licenses == ["MIT"] and len(one.sentence_ids) == 4  # binary before source is no BSD text
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2024 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+GPL_TEXT = """One line to give the program's name and a brief idea of what it does
+Copyright (C) 2024 Jane Doe
+
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+BSD_TEXT = """Copyright (c) 2024, Jane Doe
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+APACHE_TEXT = """Copyright 2024 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS."""
+
+
+@pytest.mark.parametrize("text, ids, want", [
+    (MIT_TEXT, ["mit-grant", "mit-warranty"], ["MIT"]),
+    (GPL_TEXT, ["gpl-free", "gpl-terms", "gpl-3.0-or-later"], ["GPL-3.0-or-later"]),
+    (BSD_TEXT, ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"], ["BSD-2-Clause", "BSD-3-Clause"]),
+    (APACHE_TEXT, ["apache-2.0-notice", "apache-2.0-terms", "apache-2.0-copy"], ["Apache-2.0"])])
+def test_license_texts_wrapped_and_on_one_line(spark, text, ids, want):
+    parts = text.split("\n\n")
+    forms = [text, " ".join(text.split())]
+    for width in (1, 20, 37, 60, 72, 80):
+        wrapped = [textwrap.fill(p, width, break_long_words=False) for p in parts]
+        forms += ["\n\n".join(wrapped), "\r\n\r\n".join(w.replace("\n", "\r\n") for w in wrapped), textwrap.indent("\n\n".join(wrapped), " * ", lambda _: True)]
+    got = license_rules.scan_licenses(spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")).orderBy("doc_id").collect()
+    # On one line nothing parts the copy sentence of the Apache notice from the address behind it.
+    assert [(r.doc_id, r.sentence_ids) for r in got] == [(i, ids[:-1] if i == 1 and want == ["Apache-2.0"] else ids) for i in range(len(forms))]
+    assert all(r.licenses == want for r in got)
+
+
+def test_license_sentences_must_fill_lines_and_repeat(spark):
+    texts = ["Not Released under the MIT License.", "a heading\nReleased under the MIT\nLicense\nand more", "Released under the MIT\n\nLicense", "released under the mit license",
+             "Released under the MIT License!\nlicensed under CC BY-NC\n4.0\nReleased under the MIT License. Released under the MIT License"]
+    got = license_rules.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.sentence_ids for r in got] == [[], ["mit-notice"], [], ["mit-notice"], ["mit-notice", "cc-by-nc-4.0-notice", "mit-notice", "mit-notice"]]
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = docs

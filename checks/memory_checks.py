@@ -312,16 +312,16 @@ def _stream_counters(spark, sf_dir):
 
 def _stream_activity(spark, sf_dir):
     base = scratch_path(spark, "activity")
-    _run(st.stream_to_parquet(st.activity(_usage_stream(spark, sf_dir)), f"{base}/windows", f"{base}/checkpoint"))
-    return spark.read.parquet(f"{base}/windows").select(at("window_start").alias("window_start"), at(
+    _run(st.stream_parts(_usage_stream(spark, sf_dir), st.activity, f"{base}/windows", f"{base}/checkpoint"))
+    return st.read_activity(spark, f"{base}/windows").select(at("window_start").alias("window_start"), at(
         "window_end").alias("window_end"), "kind", "n")
 
 
 def _stream_sessions(spark, sf_dir):
     base = scratch_path(spark, "sessions")
-    _run(st.stream_to_parquet(st.sessions(_usage_stream(spark, sf_dir), "10 minutes"), f"{base}/rows",
-                              f"{base}/checkpoint"))
-    return spark.read.parquet(f"{base}/rows").select("kind", at("session_start").alias("session_start"), at(
+    _run(st.stream_parts(_usage_stream(spark, sf_dir), lambda part: st.sessions(part, "10 minutes"), f"{base}/rows",
+                         f"{base}/checkpoint"))
+    return st.read_sessions(spark, f"{base}/rows").select("kind", at("session_start").alias("session_start"), at(
         "session_end").alias("session_end"), "n")
 
 

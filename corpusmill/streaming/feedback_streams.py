@@ -8,6 +8,7 @@ row per question, so the result does not depend on retries.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -91,6 +92,31 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour",
                     F.col("session_window.end").alias("session_end"), "n"))
 
 
+def stream_parts(stream: DataFrame, part: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, trigger: dict | None = None
+                 ) -> StreamingQuery:
+    """``part`` (``activity`` or ``sessions``) of each batch, finished or not; reading joins the parts of a window or session.
+
+    Nothing waits for a watermark, so open windows are in the store at once and late rows count.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        part(batch).write.mode("overwrite").parquet(_folder(batch, path, checkpoint, batch_id))
+
+    return (stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def read_activity(spark: SparkSession, path: str) -> DataFrame:
+    """Events per kind and window over all batches, as ``activity`` counts them in the whole table."""
+    return spark.read.parquet(path).groupBy("window_start", "window_end", "kind").agg(F.sum("n").alias("n"))
+
+
+def read_sessions(spark: SparkSession, path: str, key: str = "kind") -> DataFrame:
+    """Sessions over all batches: parts that overlap are one, as ``sessions`` finds them in the whole table."""
+    length = F.concat(F.unix_micros("session_end") - F.unix_micros("session_start"), F.lit(" microseconds"))
+    return (spark.read.parquet(path).groupBy(F.session_window("session_start", length), key).agg(F.sum("n").alias("n"))
+            .select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n"))
+
+
 def stream_to_parquet(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append finished rows; windows come out once the watermark has passed them."""
     return (stream.writeStream.outputMode("append").format("parquet").option("path", path)

@@ -185,6 +185,33 @@ def test_activity_matches_batch(spark, tmp_path):
     assert streamed == batch and streamed
 
 
+def test_open_windows_sessions_and_late_rows_count(spark, tmp_path):
+    rng = random.Random(3)
+    events = [(START + timedelta(minutes=rng.randrange(60 * 24 * 12)), rng.choice("kl")) for _ in range(900)]
+    events += [(START + timedelta(minutes=20 * i), "m") for i in range(3)]  # a pause as long as the gap parts two sessions
+    ddl = "event_time timestamp, kind string"
+    batches = [events[:400], events[400:700], events[700:]]
+    parts = {"windows": (st.activity, st.read_activity), "sessions": (lambda x: st.sessions(x, "20 minutes"), st.read_sessions)}
+    for batch in batches:
+        spark.createDataFrame(batch, ddl).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+        for name, (part, _) in parts.items():
+            st.stream_parts(stream, part, str(tmp_path / name), str(tmp_path / f"{name}_c")).awaitTermination()
+    whole = spark.read.parquet(str(tmp_path / "in"))
+    for name, (part, read) in parts.items():
+        streamed = sorted(tuple(r) for r in read(spark, str(tmp_path / name)).collect())
+        assert streamed == sorted(tuple(r) for r in part(whole).collect())
+    assert sum(r["n"] for r in st.read_sessions(spark, str(tmp_path / "sessions")).collect()) == len(events)
+
+
+def test_registered_streams_count_every_event(spark, sf_dir):
+    from checks import memory_checks as checks
+    events = checks.d.usage_events(spark, sf_dir)
+    counted = checks._stream_sessions(spark, sf_dir).agg(F.sum("n")).first()[0]
+    windows = checks._stream_activity(spark, sf_dir).agg(F.sum("n")).first()[0]
+    assert counted == events.count() and windows == 7 * counted
+
+
 def test_legacy_import(spark, tmp_path):
     (tmp_path / "old.json").write_text(
         '[{"question": "Q?", "improvement": "i", "source": "user-correction", "timestamp": "2023-05-01T10:00:00"},'

@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusmill.llm import bpe_lexicon, debruijn, html_tree, lattice, license_rules, packing, partenum, quality_llr, resharding, token_counts
+from corpusmill.llm.words import stored
+from corpusmill.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,18 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reshard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows lie in 16 shards by their source, which is uneven; the flow evens out the bytes."""
-    docs = _table(spark, sf_dir, "documents")
-    dealt = resharding.reshard(docs, F.pmod(F.xxhash64("source"), F.lit(16)))
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """Rows lie in 16 shards by their source, which is uneven; the flow evens out the bytes. Rows of rewritten shards come from their new files."""
+    docs = resharding.numbered(_table(spark, sf_dir, "documents"))
+    old = F.pmod(F.xxhash64("source"), F.lit(16)).cast("int")
+    plan = stored(resharding.reshard(docs, old), "plan")
+    folder = scratch_path(spark, "resharded")
+    touched = resharding.rewrite(docs, plan, folder)
+    rest = plan.where(~F.col("shard").isin(touched)).select("doc_id", "size", "text_crc32", "shard", "slot", "old_shard")
+    if touched:
+        body = F.coalesce("text", F.lit(""))
+        rest = rest.unionByName(spark.read.parquet(folder).select(
+            "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), "shard", "slot", F.coalesce(old, F.lit(0)).alias("old_shard")))
+    return rest.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def partenum_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ from corpusmill.llm.words import stored
 #: Size steps to each doubling, and hash parts of a size step: blocks are at most shards * 31 * 4 * 8, whatever the input.
 _STEPS, _PARTS = 4, 8
 
+#: The row's number, from ``numbered``.
+SERIAL = "__serial"
+
 
 def least_moves(held: Sequence[int], room: Sequence[int]) -> dict[tuple[int, int], int]:
     """``{(from, to): bytes}`` of a minimum-cost flow: old shards send all they hold, new shards take at most their room.
@@ -100,6 +103,11 @@ def _moved(rows: DataFrame, shards: int, smallest_first: bool) -> DataFrame:
     return known.where("target IS NOT NULL").select(*keep, F.col("target").alias("shard")).unionByName(cut)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column ``SERIAL``, numbered once and stored: the plan and the rewriting speak of the same rows."""
+    return stored(docs.withColumn(SERIAL, F.monotonically_increasing_id()), "rows")
+
+
 def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, size, text_crc32, old_shard, shard, slot`` per row under the law ``bytes``: shards of near-equal bytes.
 
@@ -108,12 +116,15 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, key: str = "do
     shards share is cut at a row. A second flow evens out what whole rows left over, with the smallest rows
     (blocks of about one size). The driver sees block totals only.
     Size: UTF-8 bytes plus 1; a null text counts as empty. Null and repeated keys and copies are rows like others. A null old
-    shard is shard 0. An empty table gives an empty result.
+    shard is shard 0. An empty table gives an empty result. Rows from ``numbered`` keep their ``SERIAL`` as a last column.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = docs.select(F.col(f"`{key}`").alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"),
-                       F.crc32(body).alias("crc"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old"))
-    base = stored(base.withColumn("serial", F.monotonically_increasing_id()), "shards")  # numbered once, then read from files
+                       F.crc32(body).alias("crc"), F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old"),
+                       *([F.col(SERIAL).alias("serial")] if SERIAL in docs.columns else []))
+    if SERIAL not in docs.columns:
+        base = base.withColumn("serial", F.monotonically_increasing_id())
+    base = stored(base, "shards")  # numbered once, then read from files
     first = stored(_moved(base.withColumn("shard", F.col("old")), shards, False), "shards")
     last = stored(_moved(first, shards, True), "shards")
     dealt = last.withColumn("part", F.pmod(F.xxhash64(F.col("serial")), F.lit(256)).cast("int"))
@@ -122,17 +133,28 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, key: str = "do
     number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("serial"))
     return dealt.withColumn("number", number).join(F.broadcast(before), ["shard", "part"]).select(
         F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard",
-        (F.col("before") + F.col("number") - 1).alias("slot"))
+        (F.col("before") + F.col("number") - 1).alias("slot"), *([F.col("serial").alias(SERIAL)] if SERIAL in docs.columns else []))
 
 
 def rewrite(docs: DataFrame, plan: DataFrame, folder: str, key: str = "doc_id") -> list[int]:
     """Writes the files of the affected shards (rows came or went) to ``folder/shard=N`` and returns their numbers.
 
-    Shards that neither gave nor took a row keep their old files and are not read again. ``key`` must be unique here.
+    Shards that neither gave nor took a row keep their old files and are not read again; an affected shard that has no row left loses
+    its files. Rows from ``numbered`` are met by their ``SERIAL``, so null and repeated keys are rows like others (and ``folder`` may be where the
+    rows came from); other rows are met by ``key``, and a null or repeated one raises.
     """
+    by = SERIAL if SERIAL in docs.columns else key
+    if by == key and not plan.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+        raise ValueError(f"{key} is null or repeated: take the rows from numbered()")
     moves = plan.where("old_shard <> shard")
     touched = sorted(r[0] for r in moves.select("old_shard").union(moves.select("shard")).distinct().collect())
-    wanted = plan.where(F.col("shard").isin(touched)).select(key, "shard", "slot")
-    docs.join(wanted, key).repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard").mode("overwrite").parquet(folder)
+    wanted = plan.where(F.col("shard").isin(touched)).select(by, "shard", "slot")
+    rows = docs.drop("shard", "slot").join(wanted, by).drop(SERIAL)
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option(
+        "partitionOverwriteMode", "dynamic").mode("overwrite").parquet(folder)
+    filled = {r[0] for r in wanted.select("shard").distinct().collect()}
+    jvm, conf = plan.sparkSession._jvm, plan.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for shard in set(touched) - filled:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
+        path.getFileSystem(conf).delete(path, True)
     return touched

@@ -104,6 +104,46 @@ def test_resharding(docs, rows, empty, spark, tmp_path):
     assert touched == [0, 1, 2, 3] and spark.read.parquet(str(tmp_path / "new")).count() == 4000
 
 
+def test_rewrite_keeps_null_and_repeated_keys_and_untouched_shards(spark, tmp_path):
+    folder = str(tmp_path / "shards")
+    # Shards 0 and 1 are uneven, shard 2 holds just its share; keys are null or repeated.
+    table = [(None, "a" * 9, 0)] * 8 + [(7, "b" * 9, 0)] * 7 + [(7, "c" * 9, 1)] * 4 + [(None, None, 1)] * 10 + [(9, "d" * 9, 2)] * 10
+    spark.createDataFrame(table, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(folder)
+    left = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "shards/shard=2").iterdir()}
+    docs = resharding.numbered(spark.read.parquet(folder))
+    plan = resharding.stored(resharding.reshard(docs, F.col("shard"), shards=3), "plan")
+    held = {r["shard"]: r["s"] for r in plan.groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    assert resharding.rewrite(docs, plan, folder) == [0, 1] and held[2] == 100
+    assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "shards/shard=2").iterdir()} == left
+    got = spark.read.parquet(folder)
+    assert in_order((r.doc_id, r.text) for r in got.collect()) == in_order((k, t) for k, t, _ in table)
+    sizes = {r["shard"]: r["s"] for r in got.groupBy("shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("s")).collect()}
+    assert sizes == held
+    with pytest.raises(ValueError):
+        resharding.rewrite(docs.drop(resharding.SERIAL), plan, folder)
+
+
+def test_rewrite_empties_a_shard_without_rows(spark, tmp_path):
+    folder = str(tmp_path / "shards")
+    spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, shard int").write.partitionBy("shard").parquet(folder)
+    docs = resharding.numbered(spark.read.parquet(folder))
+    plan = resharding.reshard(docs, F.col("shard"), shards=2).withColumn("shard", F.lit(1))
+    assert resharding.rewrite(docs, plan, folder) == [0, 1]
+    assert [tuple(r) for r in spark.read.parquet(folder).select("doc_id", "text", "shard").collect()] == [(1, "a", 1)]
+
+
+def test_reshard_query_reads_rewritten_rows(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = queries.reshard_query(spark, sf_dir)
+    rows = got.collect()
+    assert "resharded-" in str(got.inputFiles())
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted(
+        (r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in table)
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_flow_moves_the_fewest_bytes():
     flow = resharding.least_moves([100, 0, 20], [40, 40, 40])
     assert sum(v for (i, j), v in flow.items() if i != j) == 60

@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions.text import let
+from corpusmill.operators.ordering import global_rank
 from corpusmill.operators.profile import count_duplicates
-from corpusmill.session import compute_once, cut_lineage
+from corpusmill.session import broadcast_if_small, compute_once, cut_lineage
 
 DUPLICATE_MODES = ("remove", "keep_first", "keep_last", "keep_all")
 _CHUNK = 1024  # terms per matrix product
@@ -79,7 +80,7 @@ def tfidf(df: DataFrame, column: str, key: str = "row_id", max_features: int | N
         ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy("df", "term")))
         ranked = F.broadcast(ranked)  # max_features rows
     else:
-        ranked = terms.withColumn("rank", F.struct("df", "term"))
+        ranked = global_rank(terms, [F.asc("df"), F.asc("term")])  # as many rows as distinct terms: joined by shuffle
     idf = F.log((1 + rows) / (1 + F.col("df"))) + 1
     weighted = counts.join(ranked, "term").select(
         key, F.struct("rank", (F.col("tf") * idf).alias("w"), "term").alias("x"))
@@ -100,6 +101,8 @@ def _prefixes(threshold: float):
     def run(batches):
         for batch in batches:
             owner, rank, w = _flat(batch.column("vec"))
+            if rank.size and rank.max() > np.iinfo(np.int32).max:
+                raise OverflowError("more distinct terms than a packed rank can hold")
             total = np.append(0.0, np.cumsum(w * w))
             lengths = np.bincount(owner, minlength=batch.num_rows)
             ends = np.cumsum(lengths)
@@ -145,6 +148,12 @@ def _compare_blocks(threshold: float, same: bool, kind: pa.DataType):
         return (table.column("rk").to_numpy(), owner, np.frombuffer(b"".join(packed), np.int32),
                 np.frombuffer(b"".join(table.column("weights").to_pylist()), np.float64))
 
+    def among(side, common):
+        """Entries of the common ranks, with the place among them as rank."""
+        key, owner, rank, w = side
+        mine = np.isin(rank, common)
+        return key, owner[mine], np.searchsorted(common, rank[mine]), w[mine]
+
     def dense(side, rows, first):
         _, owner, rank, w = side
         mine = (rank >= first) & (rank < first + _CHUNK)
@@ -156,6 +165,11 @@ def _compare_blocks(threshold: float, same: bool, kind: pa.DataType):
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
         a, b = unpack(left), unpack(right)
+        if min(a[1].size, b[1].size) and min(a[2].max(), b[2].max()) >= _CHUNK:  # many terms: only the common ones are multiplied
+            common = np.intersect1d(a[2], b[2])
+            a, b = among(a, common), among(b, common)
+            if not common.size:
+                return out.empty_table()
         cosine = np.zeros((left.num_rows, right.num_rows))
         for first in range(0, int(min(a[2].max(), b[2].max())) + 1, _CHUNK):
             cosine += dense(a, left.num_rows, first) @ dense(b, right.num_rows, first).T
@@ -167,21 +181,28 @@ def _compare_blocks(threshold: float, same: bool, kind: pa.DataType):
     return run
 
 
-def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool, block: int = 1000) -> DataFrame:
+def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool, block: int = 1000, bounded: bool = True) -> DataFrame:
     """(a, b, cosine) above the threshold; ``same`` pairs one set with itself as a < b.
 
     Two vectors above the threshold share a term in both their prefixes, so rows meet under these terms with their
     vectors. Both sides of a long posting list are cut into blocks and every block meets every other one under its
-    own key: a task multiplies two bounded matrices, and only true pairs leave it.
+    own key: a task multiplies two bounded matrices, and only true pairs leave it. Without a bound of the terms
+    (``bounded``) only the long posting lists are in the table of blocks, and it is broadcast only when counted small.
     """
     lp = _postings(left, threshold)
     rp = lp if same else _postings(right, threshold)
     rp = rp.select(*[F.col(c).alias(c) for c in rp.columns])  # own column ids for the self-join
-    cut = F.broadcast(_blocks(lp, block, "na").join(_blocks(rp, block, "nb"), "rank"))  # one row per kept term
+    cut = _blocks(lp, block, "na").join(_blocks(rp, block, "nb"), "rank")
+    if bounded:
+        cut = F.broadcast(cut)  # one row per kept term
+        la, rb = lp.join(cut, "rank"), rp.join(cut, "rank")
+    else:
+        cut = broadcast_if_small(cut.filter("na > 1 OR nb > 1"))
+        la, rb = [x.join(cut, "rank", "left").fillna(1, ["na", "nb"]) for x in (lp, rp)]
     first = F.lit(0)
-    a = lp.join(cut, "rank").withColumn("ka", F.pmod(F.xxhash64("rk"), F.col("na")).cast("int")).withColumn(
+    a = la.withColumn("ka", F.pmod(F.xxhash64("rk"), F.col("na")).cast("int")).withColumn(
         "kb", F.explode(F.sequence(first, F.col("nb") - 1))).drop("na", "nb")
-    b = rp.join(cut, "rank").withColumn("kb", F.pmod(F.xxhash64("rk"), F.col("nb")).cast("int")).withColumn(
+    b = rb.withColumn("kb", F.pmod(F.xxhash64("rk"), F.col("nb")).cast("int")).withColumn(
         "ka", F.explode(F.sequence(first, F.col("na") - 1))).drop("na", "nb")
     kind = dict(lp.dtypes)["rk"]
     compare = _compare_blocks(threshold, same, pa.int64() if kind == "bigint" else pa.int32())
@@ -220,13 +241,12 @@ def cosine_self_join(df: DataFrame, column: str, key: str = "row_id", threshold:
                      block: int = 1000) -> DataFrame:
     """(a, b, cosine, copies_a, copies_b): pairs of distinct texts above the threshold, a < b.
 
-    Copies of a text are counted, not paired: a text stands for its copies under its lowest key.
+    Copies of a text are counted, not paired: a text stands for its copies under its lowest key. Vectors hold the
+    ``max_features`` most frequent terms; None keeps all terms (exact, with joins by shuffle).
     """
-    if max_features is None:
-        raise ValueError("max_features bounds the term table; pass a number")
     _, vectors = distinct_vectors(df, column, key, max_features, stopwords)
     vectors = cut_lineage(vectors.withColumnRenamed(key, "rk"))
-    found = cosine_pairs(vectors, vectors, threshold, True, block)
+    found = cosine_pairs(vectors, vectors, threshold, True, block, max_features is not None)
     copies = vectors.select("rk", "copies")
     return (found.join(copies.withColumnsRenamed({"rk": "a", "copies": "copies_a"}), "a")
             .join(copies.withColumnsRenamed({"rk": "b", "copies": "copies_b"}), "b"))
@@ -253,19 +273,20 @@ def resolve_greedy(pairs: DataFrame) -> DataFrame:
 
 
 def near_dedupe(df: DataFrame, column: str, key: str = "row_id", threshold: float = 0.85, keep: str = "first",
-                score: str | None = None, max_features: int = 1000, stopwords: Sequence[str] = (),
+                score: str | None = None, max_features: int | None = 1000, stopwords: Sequence[str] = (),
                 first_batch: int = 5_000, growth: int = 8, block: int = 1000) -> DataFrame:
     """The input without the rows that resemble an earlier kept row.
 
     ``keep='first'`` ranks by key, ``'best_score'`` by the score column (descending) and key. Texts without any
-    kept term are never removed.
+    kept term are never removed. Vectors hold the ``max_features`` most frequent terms of the corpus, so texts that differ only in rarer
+    words look equal and copies that share only such words are not compared; None keeps all terms.
     """
     return df.join(near_duplicates(df, column, key, threshold, keep, score, max_features, stopwords, first_batch,
                                    growth, block), key, "left_anti")
 
 
 def near_duplicates(df: DataFrame, column: str, key: str = "row_id", threshold: float = 0.85, keep: str = "first",
-                    score: str | None = None, max_features: int = 1000, stopwords: Sequence[str] = (),
+                    score: str | None = None, max_features: int | None = 1000, stopwords: Sequence[str] = (),
                     first_batch: int = 5_000, growth: int = 8, block: int = 1000) -> DataFrame:
     """(key) of the rows that ``near_dedupe`` removes."""
     if keep not in ("first", "best_score") or (keep == "best_score") != (score is not None):
@@ -290,13 +311,13 @@ def near_duplicates(df: DataFrame, column: str, key: str = "row_id", threshold:
         cut = None if size >= total else rest.agg(
             F.percentile_approx("rk", size / total, 10_000).alias("c")).first()["c"]
         batch = rest if cut is None else rest.filter(F.col("rk") <= cut)
-        gone = resolve_greedy(cosine_pairs(batch, batch, threshold, True, block))
+        gone = resolve_greedy(cosine_pairs(batch, batch, threshold, True, block, max_features is not None))
         removed = gone if removed is None else removed.unionByName(gone)
         if cut is None:
             break
         kept = batch.join(gone, "rk", "left_anti")
         later = cut_lineage(rest.filter(F.col("rk") > cut))
-        hit = cosine_pairs(kept, later, threshold, False, block)
+        hit = cosine_pairs(kept, later, threshold, False, block, max_features is not None)
         hit = cut_lineage(hit.select(F.col("b").alias("rk")).distinct())
         removed = removed.unionByName(hit)
         rest = cut_lineage(later.join(hit, "rk", "left_anti"))

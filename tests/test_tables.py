@@ -204,6 +204,23 @@ def test_near_dedupe_equals_the_sequential_rule(spark, seed, options):
     assert kept == greedy(texts, 0.8, sorted(texts))
 
 
+def test_all_terms_without_a_limit(spark):
+    rng = np.random.default_rng(8)
+    texts, frequent = {}, [f"f{i}" for i in range(30)]
+    for i in range(0, 480, 4):  # a text of rare words behind frequent ones, a near copy, a copy, and one with other rare words
+        rare, common = [f"r{i}x{j}" for j in range(14)], [str(w) for w in rng.choice(frequent, 4)]
+        texts |= {i: " ".join(common + rare), i + 1: " ".join(common + rare[:-1] + ["z%d" % i]), i + 2: " ".join(common + rare),
+                  i + 3: " ".join(common + ["o%dx%d" % (i, j) for j in range(14)])}
+    df = frame(spark, list(texts.items()), "row_id long, t string").repartition(3)
+    want = greedy(texts, 0.8, sorted(texts))
+    assert want == sorted(i for i in texts if i % 4 in (0, 3))
+    for options in ({"block": 2}, {"first_batch": 100, "growth": 3}):
+        assert sorted(r["row_id"] for r in dedupe.near_dedupe(df, "t", threshold=0.8, max_features=None, **options).collect()) == want
+    assert len(want) > dedupe.near_dedupe(df, "t", threshold=0.8, max_features=30).count()  # with few terms other texts look equal
+    pairs = dedupe.cosine_self_join(df, "t", threshold=0.8, max_features=None, block=2).collect()
+    assert sorted((r["a"], r["b"], r["copies_a"], r["copies_b"]) for r in pairs) == [(i, i + 1, 2, 1) for i in range(0, 480, 4)]
+
+
 def test_near_dedupe_by_score(spark):
     texts = corpus(4)
     rows = [(i, t, (i * 37) % 11) for i, t in texts.items()]

@@ -134,7 +134,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
     grams = F.concat(F.array(F.lit(None).cast("long")), *[F.col(f"__g{n}") for n in lengths])
     each = with_grams(rows, lengths).select("__row", "__doc", "__words", F.posexplode(grams).alias("__pos", "gram"))
     at, length, before = F.lit(-1), F.lit(0), F.lit(1)
-    for n in reversed(lengths):
+    for n in lengths:
         first = sum((_count(m) for m in lengths if m < n), before)
         at, length = F.when(F.col("__pos") >= first, F.col("__pos") - first).otherwise(at), F.when(F.col("__pos") >= first, n).otherwise(length)
     place = [at.cast("int").alias("at"), length.alias("size")]

@@ -140,7 +140,7 @@ def near_words(words: DataFrame, bits_per_word: int = 24, max_bytes: int = 64 <<
     Edits use the characters that occur in the words, so no pair is missed. ``words`` must be distinct and stored.
     """
     spark = words.sparkSession
-    counts = {r["size"]: r["n"] for r in words.groupBy(F.char_length("word").alias("size")).agg(F.count("*").alias("n")).collect() if r["size"]}
+    counts = {r["size"]: r["n"] for r in words.groupBy(F.char_length("word").alias("size")).agg(F.count("*").alias("n")).collect()}
     letters = sorted(ord(r["c"]) for r in words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct().collect())
     total = sum(counts.values())
     slices = max(1, -(-total * bits_per_word // (8 * max_bytes)))

@@ -158,8 +158,7 @@ def _touching(names: _Names, runs: np.ndarray, scale: int) -> list[tuple[int, in
                 if j >= s1 and np.array_equal(x[j:j + p], root):
                     low = (s2 - j) + p * max(0, -(-(scale - (s2 - j)) // p))
                     for d in range(low, min(2 * scale, min(e1 - s1, e2 - s2) + p), p):
-                        if s2 - d >= s1:
-                            out.append((s2 - d, d))
+                        out.append((max(s1, s2 - d), d))
                     break
     return out
 

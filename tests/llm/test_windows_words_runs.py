@@ -197,7 +197,11 @@ def brute_runs(x):
 
 def some_runs(rng):
     letters, n = rng.choice([1, 2, 2, 3, 5, 50]), rng.choice([0, 5, 30, 100, 300, 700])
-    kind = rng.randrange(6)
+    kind = rng.randrange(8)
+    if kind > 5:  # squares of words that are nearly periodic themselves
+        u = [rng.randrange(3) for _ in range(rng.randrange(1, 10))]
+        v = (u * 160)[:rng.randrange(20, 160)] + [rng.randrange(3) for _ in range(rng.choice([0, 0, 1, 2]))]
+        return ([rng.randrange(3)] + v * rng.randrange(2, 4) + v[:rng.randrange(len(v))]) * rng.choice([1, 1, 2])
     if kind == 0:
         return [rng.randrange(letters) for _ in range(n)]
     if kind == 1:  # the Fibonacci word has the most runs

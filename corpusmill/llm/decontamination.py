@@ -147,13 +147,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
             rows.withColumn("__pos", F.lit(0)), allowMissingColumns=True)
     true = F.slice("__words", F.col("at") + 1, F.col("size")) == F.col("window")
     hit = F.col("__pos") > 0
-    # One narrow row for each hit; the document's own columns ride on its first row only.
+    # One narrow row for each hit; the document's own columns ride on its first row only, one by one, so unused ones are pruned.
     met = met.where(~hit | ((F.size("window") == F.col("size")) & true)).select(
-        "__row", "__pos", "at", "size", "items", F.when(~hit, F.struct("__doc", F.size("__words").cast("long").alias("n"))).alias("d"))
+        "__row", "__pos", "at", "size", "items", F.when(~hit, F.size("__words").cast("long")).alias("n"),
+        *[F.when(~hit, F.col(f"__doc.`{c}`")).alias(f"__c{i}") for i, c in enumerate(held)])
     grouped = met.groupBy("__row").agg(
-        F.first("d", ignorenulls=True).alias("d"),
+        F.max("n").alias("n_words"), *[F.first(f"__c{i}", ignorenulls=True).alias(f"__c{i}") for i in range(len(held))],
         F.sort_array(F.collect_list(F.when(hit, F.struct("at", "size")))).alias("__hits"), F.collect_set(F.when(hit, F.col("items"))).alias("__items"))
-    marked = grouped.select(*[F.col(f"d.__doc.`{c}`") for c in held], F.col("d.n").alias("n_words"), _spans("__hits").alias("__spans"),
+    marked = grouped.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(held)], "n_words", _spans("__hits").alias("__spans"),
                             F.sort_array(F.array_distinct(F.flatten("__items"))).alias("item_ids"))
     counted = compute_once(marked, {"n_hit": F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + (s["upto"] - s["at"]))})
     out = counted.withColumns({"n_items": F.size("item_ids").cast("long"), "contaminated": F.col("n_hit") > 0})

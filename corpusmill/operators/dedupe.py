@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions.text import let
-from corpusmill.operators.ordering import global_rank
+from corpusmill.operators.ordering import global_rank, top_k
 from corpusmill.operators.profile import count_duplicates
 from corpusmill.session import broadcast_if_small, compute_once, cut_lineage
 
@@ -76,7 +76,7 @@ def tfidf(df: DataFrame, column: str, key: str = "row_id", max_features: int | N
                                        F.sum("_times").alias("df"))
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar() if rows is None else rows
     if max_features is not None:
-        kept = terms.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+        kept = top_k(terms, "total", "term", max_features)
         ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy("df", "term")))
         ranked = F.broadcast(ranked)  # max_features rows
     else:

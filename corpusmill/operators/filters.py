@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusmill.functions.text import strip, word_count
+from corpusmill.functions.text import word_count
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -14,7 +14,7 @@ def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def not_blank(c: str) -> Column:
-    return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
+    return F.coalesce(F.col(c).rlike(r"\S"), F.lit(False))
 
 
 def drop_empty_clean(df: DataFrame, columns: Sequence[str]) -> DataFrame:

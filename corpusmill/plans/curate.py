@@ -54,13 +54,13 @@ def curate_qa(pairs: DataFrame, path: str | None = None, lexicon: Sequence[str]
     lengths = profile.recommend_lengths(statistics, columns)
     limit = {r["column"]: r["max_length"] for r in lengths.collect()}  # four numbers
     tables = {"statistics": statistics, "lengths": lengths, "steps": steps}
-    sequences = unique.select("row_id")
+    coded = {}
     for c in columns:
         most, least = (sizes or vocab.VOCABULARY_SIZES)[c]
         words = vocab.or_dummy(cut_lineage(vocab.build_vocabulary(unique, c, most, least)))
         tables[f"vocabulary_{c.removesuffix('_clean')}"] = words
-        ids = vocab.encode_tokens(unique, words, c, maxlen=limit[c], out=f"{c.removesuffix('_clean')}_ids")
-        sequences = sequences.join(ids, "row_id", "left")
+        coded[f"{c.removesuffix('_clean')}_ids"] = (c, words, limit[c])
+    sequences = vocab.encode_columns(unique, coded)
     labelled = unique.withColumns({
         "label_onehot": scores.onehot_quality("category"),
         "has_remarks": scores.presence_flag("remarks_clean"),

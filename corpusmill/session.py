@@ -53,12 +53,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition an input that has fewer partitions than cores (one small file); large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """Like ``withColumns`` for costly expressions that filters or several columns refer to.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusmill.functions.text import first_words, question_hash
-from corpusmill.session import spread
 
 _TURNS = 1_000_000  # row_id = conv_id * _TURNS + turn
 
@@ -15,7 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    """All documents; a sample of fewer file parts than cores is dealt over them in turn, by no key, so that no later shuffle is saved."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

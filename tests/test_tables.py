@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -72,6 +73,35 @@ def test_vocabulary_and_encoding(spark):
     assert {(r["word"], r["id"]) for r in large.collect()} == {("a", 2), ("b", 3), ("c", 4)}
 
 
+def test_encoding_is_a_projection_and_equals_the_join(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the", "a", "b", "é", "rare%d" % rng.randrange(40), "X-y"]) for _ in range(rng.randrange(30)))) for i in range(300)] + [(900, None), (901, "")]
+    df = frame(spark, rows, "row_id int, t string").repartition(3)
+    words = vocab.build_vocabulary(df, "t", 20, 2)
+    for maxlen in (None, 7):
+        direct, joined = vocab.encode_tokens(df, words, "t", maxlen=maxlen), vocab.encode_tokens(df, words, "t", maxlen=maxlen, max_words=0)
+        assert sorted((r["row_id"], r["ids"]) for r in direct.collect()) == sorted((r["row_id"], r["ids"]) for r in joined.collect())
+    plan = vocab.encode_tokens(df, words, "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Join" not in plan and "Aggregate" not in plan
+    # Both sides of model examples come from one projection, cut before any word is looked up.
+    examples = vocab.model_examples(df, words, F.col("t"), "t", input_len=3, label_len=5)
+    assert "Join" not in examples._jdf.queryExecution().optimizedPlan().toString()
+    ids = {r["row_id"]: r["ids"] for r in vocab.encode_tokens(df, words, "t").collect()}
+    for r in examples.collect():
+        want = (ids[r["row_id"]] + [0] * 5)[:5]
+        assert (r["input_ids"], r["labels"]) == (want[:3], [x or -100 for x in want]) and r["attention_mask"] == [int(x != 0) for x in want[:3]]
+
+
+def test_top_k_orders_only_the_last_level(spark):
+    rng = random.Random(4)
+    rows = [("w%03d" % i, int(10 ** rng.uniform(0, 7)) if i % 3 else 2) for i in range(400)]
+    df = frame(spark, rows, "word string, n long").repartition(5)
+    for k in (1, 7, 150, 390, 400, 1000):
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+        assert [tuple(r) for r in ordering.top_k(df, "n", "word", k).collect()] == want
+    assert ordering.top_k(df.limit(0), "n", "word", 5).count() == 0
+
+
 def test_empty_corpus_gets_a_dummy_word(spark):
     words = vocab.or_dummy(vocab.build_vocabulary(frame(spark, [(1, " ")], "row_id int, t string"), "t"))
     assert [tuple(r) for r in words.collect()] == [("empty", 1, 2)]

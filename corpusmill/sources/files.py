@@ -13,6 +13,7 @@ from corpusmill.functions.text import question_hash, tag_question
 from corpusmill.operators.feedback import feedback_stats, upsert_feedback
 from corpusmill.operators.schema import require_columns, resolve_qa_columns, with_optional_columns
 from corpusmill.operators.splits import split3
+from corpusmill.sources.split_csv import parse_records, read_records
 
 
 def _decoded(c: Column, fallback: str) -> Column:
@@ -41,12 +42,16 @@ def read_text_csv(spark: SparkSession, path: str, header: bool = True, schema: T
                   encoding: str = "UTF-8", fallback: str = "ISO-8859-1", multi_line: bool = True) -> DataFrame:
     """CSV with quoted line breaks. Each value that is not UTF-8 is decoded with ``fallback``, in the same scan.
 
-    One bad byte changes no other value. With another ``encoding`` that one holds for all. ``multi_line=False``
-    splits large files over tasks, for data without quoted line breaks.
+    One bad byte changes no other value. A large file is cut at the line ends between its records and read by many tasks (see
+    ``split_csv``). With another ``encoding`` that one holds for all, and a file is read by one task. ``multi_line=False`` is for data
+    without quoted line breaks: it saves the look for them.
     """
     utf8 = encoding.upper().replace("_", "-") in ("UTF-8", "UTF8")
-    reader = spark.read.options(header=header, multiLine=multi_line, escape='"', encoding="ISO-8859-1" if utf8 else encoding)
+    options = {"header": header, "multiLine": multi_line, "escape": '"', "encoding": "ISO-8859-1" if utf8 else encoding}
+    reader = spark.read.options(**options)
     df = (reader.schema(schema) if schema else reader).csv(path)
+    if utf8 and multi_line:
+        df = parse_records(read_records(spark, path), df.schema, header, {"escape": '"'})
     if not utf8:
         return df
     return df.select(*[

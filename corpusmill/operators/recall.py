@@ -3,13 +3,16 @@
 Recent mode scores against the newest ``recent_n`` rows: they fit into one array, which comes in as a scalar subquery,
 so a question is scored in a projection without any shuffle.
 
-Whole-memory mode finds candidates exactly: equal texts by digest, contained texts by a rare inner word pair, and
-overlapping texts by a prefix of their rarest words. Only candidates whose upper bound reaches the threshold are
-compared character by character.
+Whole-memory mode finds candidates exactly: equal texts by digest, contained texts by an automaton over all short texts that reads
+every long text once (or, for very many short texts, by a rare inner word pair), and overlapping texts by a prefix of their
+rarest words. Only candidates whose upper bound reaches the threshold are compared character by character.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions import similarity as sim
@@ -22,6 +25,9 @@ _EPS = 1e-9
 _LEAD = 12  # characters that a short text is looked up by
 # Recent mode puts this many stored rows into every task.
 MAX_RECENT = 5000
+# An automaton holds this many characters of patterns (about a hundred bytes each); more are read in several passes, and beyond
+# that many passes patterns and texts meet in a join.
+AUTOMATON_CHARS, AUTOMATON_PASSES = 2_000_000, 4
 
 
 def _quick(asked: Column, stored: Column) -> Column:
@@ -115,8 +121,82 @@ def _substrings(text: Column, n: int) -> Column:
         F.array().cast("array<string>"))
 
 
+def _automaton(held: dict):
+    """The automaton of a broadcast list of patterns, built once in a Python worker."""
+    if "automaton" not in held:
+        import ahocorasick
+
+        built = ahocorasick.Automaton()
+        for i, text in enumerate(held["texts"]):
+            built.add_word(text, i)
+        built.make_automaton()
+        held["automaton"] = built
+    return held["automaton"]
+
+
+def _scan(shared, best_pattern: bool):
+    """Patterns in texts: (q, m, created_at, id) for each pattern met in a text, or only for the text's newest pattern."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            found = [[], [], [], []]
+            found_q, found_m, found_at, found_id = found
+            keys, at, ids = (batch.column(n).to_pylist() for n in ("key", "at", "id"))
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                met = {n for _, n in _automaton(held).iter(text)}
+                if best_pattern and met:
+                    n = max(met, key=lambda n: held["order"][n])
+                    met = ()
+                    found_q.append(keys[i])
+                    found_m.append(held["keys"][n])
+                    found_at.append(held["at"][n])
+                    found_id.append(held["ids"][n])
+                for n in met:
+                    found_q.append(held["keys"][n])
+                    found_m.append(keys[i])
+                    found_at.append(at[i])
+                    found_id.append(ids[i])
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], ["q", "m", "at", "id"])
+    return run
+
+
+def _fitting(small: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts that can lie in one of the others, and texts that can hold one; both bounds are single numbers."""
+    longest = large.agg(F.max(F.length("text"))).first()[0]
+    small = small.filter(F.length("text") <= F.lit(longest))
+    least = small.agg(F.min(F.length("text"))).first()[0]
+    return small, large.filter(F.length("text") >= F.lit(least))
+
+
+def _newest_holding(small: DataFrame, large: DataFrame, asked_is_small: bool, block: int, max_chars: int, max_passes: int) -> DataFrame:
+    """(q, m, at, id): stored texts that hold an asked one or lie in it; at least the newest of each asked text is among them.
+
+    Both sides are (key, text, at, id); the automaton's side is counted first. Nothing but keys leaves a task, and rows of one asked
+    text are reduced before they are shuffled.
+    """
+    small, large = _fitting(small, large)
+    chars = small.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    passes = -(-chars // max_chars)
+    if passes > max_passes:
+        pairs = _contained(small, large, block)
+        meta = (large if asked_is_small else small).select(F.col("key").alias("m"), "at", "id")
+        return pairs.select(F.col("s" if asked_is_small else "l").alias("q"), F.col("l" if asked_is_small else "s").alias("m")).join(meta, "m").select(
+            "q", "m", "at", "id")
+    spark, found = small.sparkSession, None
+    for number in range(passes):
+        rows = small.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == number).select("key", "text", "at", "id").toArrow()
+        keys, texts, at, ids = (rows.column(n).to_pylist() for n in ("key", "text", "at", "id"))
+        # Nulls come last among the newest, as in a maximum of structs.
+        order = [tuple((x is not None, x or 0) for x in pair) for pair in zip(at, ids)]
+        shared = spark.sparkContext.broadcast({"keys": keys, "texts": texts, "at": at, "ids": ids, "order": order})
+        met = large.select("key", "text", "at", "id").mapInArrow(_scan(shared, not asked_is_small), "q string, m string, at long, id long")
+        found = met if found is None else found.unionByName(met)
+    return found if found is not None else spark.createDataFrame([], "q string, m string, at long, id long")
+
+
 def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
-    """(s, l): candidates for small text inside large text; both sides carry (key, text)."""
+    """(s, l): candidates for small text inside large text by joins; both sides carry (key, text) and fit each other."""
     def grams(c):
         def with_pairs(w):
             rest = F.greatest(F.size(w) - 1, F.lit(0))
@@ -124,11 +204,6 @@ def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
             return F.array_distinct(F.concat(w, pairs))
         return let(c, with_pairs)
 
-    # A text holds no longer one; both bounds are single numbers.
-    longest = large.agg(F.max(F.length("text"))).first()[0]
-    small = small.filter(F.length("text") <= F.lit(longest))
-    least = small.agg(F.min(F.length("text"))).first()[0]
-    large = large.filter(F.length("text") >= F.lit(least))
     pieces = F.split("text", " ")
     small, large = small.withColumn("all", pieces), large.withColumn("all", pieces)
     # Texts of three and more words: their inner words stand whole, with equal spacing, in any text around them.
@@ -179,8 +254,8 @@ def _overlapping(asked: DataFrame, stored: DataFrame, least: float, block: int)
     return shared.filter(most >= (F.col("qn") + F.col("mn")) * (least / (1 + least)) - _EPS).select("q", "m")
 
 
-def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, score: str = "full",
-               question: str = "question", block: int = 5000) -> DataFrame:
+def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, score: str = "full", question: str = "question",
+               block: int = 5000, max_chars: int = AUTOMATON_CHARS, max_passes: int = AUTOMATON_PASSES) -> DataFrame:
     """As ``recall_recent`` against the whole memory. The full score needs a threshold above 0.6: below it, texts
     without any common word can match, and nothing prunes them."""
     if score not in SCORES:
@@ -192,46 +267,44 @@ def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, sc
         return (df.withColumn("text", sim.normalized(column)).filter(F.length("text") > 0)
                 .select(F.md5("text").alias("key"), "text", *extra))
 
-    asked = texts(queries, question).groupBy("key", "text").agg(F.count(F.lit(1)).alias("times"))
-    stored = latest_per_key(texts(memory, "question", "created_at", "id", F.col("question").alias("raw")), ["key"],
+    none = F.lit(None).cast("long")
+    asked = texts(queries, question).groupBy("key", "text").agg(F.count(F.lit(1)).alias("times")).withColumns({"at": none, "id": none})
+    stored = latest_per_key(texts(memory, "question", "created_at", F.col("id").cast("long").alias("id"), F.col("question").alias("raw")), ["key"],
                             ["created_at", "id"])
-    asked, stored = cut_lineage(asked), cut_lineage(stored)
+    asked, stored = cut_lineage(asked), cut_lineage(stored.withColumn("at", F.unix_micros("created_at")))
 
-    found = []
+    rows = []  # (q, m, at, id, similarity)
     if score != "jaccard":
-        found.append(asked.join(stored.select("key"), "key").select(F.col("key").alias("q"), F.col("key").alias("m")))
+        same = asked.select(F.col("key").alias("q")).join(stored.select(F.col("key").alias("q"), F.col("key").alias("m"), "at", "id"), "q")
+        rows.append(same.withColumn("similarity", F.lit(1.0)))
         if threshold <= sim.CONTAINED:
-            found.append(_contained(asked, stored, block).select(F.col("s").alias("q"), F.col("l").alias("m")))
-            found.append(_contained(stored, asked, block).select(F.col("l").alias("q"), F.col("s").alias("m")))
+            for small, large, asked_is_small in ((asked, stored, True), (stored, asked, False)):
+                held = _newest_holding(small, large, asked_is_small, block, max_chars, max_passes)
+                rows.append(held.filter("q <> m").withColumn("similarity", F.lit(sim.CONTAINED)))
     if score != "exact_contains":
         least = threshold if score == "jaccard" else (threshold - sim.SEQUENCE_WEIGHT) / sim.WORD_WEIGHT
-        found.append(_overlapping(asked, stored, least, block))
-    pairs = found[0]
-    for more_pairs in found[1:]:
-        pairs = pairs.unionByName(more_pairs)
-    pairs = pairs.distinct()
-
-    full = (pairs.join(asked.select(F.col("key").alias("q"), F.col("text").alias("qt")), "q")
-            .join(stored.select(F.col("key").alias("m"), F.col("text").alias("mt"), "id", "raw", "created_at"), "m"))
-    sets = F.struct(sim.word_set("qt").alias("q"), sim.word_set("mt").alias("m"))
-    jaccard, quick = let(sets, lambda v: sim.jaccard_of_sets(v["q"], v["m"])), _quick(F.col("qt"), F.col("mt"))
-    if score == "jaccard":
-        scored = compute_once(full, {"similarity": jaccard})
-    elif score == "exact_contains":
-        scored = compute_once(full, {"similarity": quick})
-    else:
-        full = compute_once(full, {"value": quick, "jaccard": jaccard})
-        bound = sim.blended(sim.ratio_bound(F.col("qt"), F.col("mt")), F.col("jaccard"))
-        known = full.filter(F.col("value") > 0).withColumn("similarity", F.col("value"))
-        open_ = full.filter((F.col("value") == 0) & (bound >= threshold - _EPS))
-        need = (F.lit(threshold) - sim.WORD_WEIGHT * F.col("jaccard")) / sim.SEQUENCE_WEIGHT - _EPS
-        scored = known.unionByName(open_.withColumn("similarity", sim.blended(
-            sim.sequence_ratio_at_least("qt", "mt", need), F.col("jaccard"))))
-    best = (scored.filter((F.col("similarity") >= threshold) & (F.col("similarity") > 0)).groupBy("q").agg(
-        F.max(F.struct("similarity", "created_at", "id", "raw")).alias("b")))
-    best = best.select(F.col("q").alias("_q"), F.col("b.id").alias("match_id"),
-                       F.col("b.raw").alias("match_question"), F.col("b.similarity").alias("similarity"))
-    return queries.withColumn("_q", F.md5(sim.normalized(question))).join(best, "_q", "left").drop("_q")
+        pairs = _overlapping(asked, stored, least, block)
+        full = (pairs.join(asked.select(F.col("key").alias("q"), F.col("text").alias("qt")), "q")
+                .join(stored.select(F.col("key").alias("m"), F.col("text").alias("mt"), "at", "id"), "m"))
+        sets = F.struct(sim.word_set("qt").alias("q"), sim.word_set("mt").alias("m"))
+        jaccard = let(sets, lambda v: sim.jaccard_of_sets(v["q"], v["m"]))
+        if score == "jaccard":
+            scored = compute_once(full, {"similarity": jaccard})
+        else:
+            # Equal texts and those that hold each other have their rows already.
+            full = compute_once(full, {"value": _quick(F.col("qt"), F.col("mt")), "jaccard": jaccard}).filter(F.col("value") == 0)
+            bound = sim.blended(sim.ratio_bound(F.col("qt"), F.col("mt")), F.col("jaccard"))
+            need = (F.lit(threshold) - sim.WORD_WEIGHT * F.col("jaccard")) / sim.SEQUENCE_WEIGHT - _EPS
+            scored = full.filter(bound >= threshold - _EPS).withColumn("similarity", sim.blended(
+                sim.sequence_ratio_at_least("qt", "mt", need), F.col("jaccard")))
+        rows.append(scored.filter((F.col("similarity") >= threshold) & (F.col("similarity") > 0)).select("q", "m", "at", "id", "similarity"))
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy("q").agg(F.max(F.struct("similarity", "at", "id", "m")).alias("b")).select("q", "b.m", "b.similarity")
+    named = best.join(stored.select(F.col("key").alias("m"), F.col("id").alias("match_id"), F.col("raw").alias("match_question")), "m").select(
+        F.col("q").alias("_q"), "match_id", "match_question", "similarity")
+    return queries.withColumn("_q", F.md5(sim.normalized(question))).join(named, "_q", "left").drop("_q")
 
 
 def recall_join(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, recent_n: int | None = 50,

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.operators.ordering import seeded_order
+from corpusmill.session import broadcast_if_small
 
 TEST, VALIDATION, TRAIN = "test", "validation", "train"
 _BUCKET_BITS = 16
+MAX_CUTS = 100_000  # of more classes the cuts are joined by shuffle
 
 
 def check_sizes(test_size: float, validation_size: float = 0.0) -> None:
@@ -103,7 +105,8 @@ def split_stratified(df: DataFrame, label: str, test_size: float = 0.2, validati
                      seed: int = 42, key: str = "row_id", min_samples: int = 2, name: str = "split") -> DataFrame:
     """As ``split3`` within every class; unstratified if a class has fewer than ``min_samples`` rows.
 
-    Rows without a label form a class of their own for the quotas.
+    Rows without a label form a class of their own for the quotas. The cuts of all classes come from one histogram over (class, top hash
+    bits) and one ranking of the cut buckets; the split itself is a projection with a broadcast lookup.
     """
     check_sizes(test_size, validation_size)
     usable = class_support(df, label, min_samples).select("stratify").scalar()
@@ -125,14 +128,14 @@ def split_stratified(df: DataFrame, label: str, test_size: float = 0.2, validati
                 (F.col("_cut.k") - F.col("_upto") + F.col("_n")).alias("_nth"))
     )
     place = F.row_number().over(Window.partitionBy("_label", "_part").orderBy("_hash", "_key"))
-    # The cuts (two per class) are joined as a small side when the planner sees that they are small.
+    # Two cuts and one pair of ends per class: counted, then broadcast, so no row moves by its label. Only the rows of cut buckets are ranked.
     ends = (
-        keyed.join(cuts, ["_label", "_bucket"]).withColumn("_place", place)
+        keyed.join(broadcast_if_small(cuts, MAX_CUTS), ["_label", "_bucket"]).withColumn("_place", place)
         .filter(F.col("_place") == F.col("_nth")).groupBy("_label")
         .agg(*[F.max(F.when(F.col("_part") == p, F.struct("_hash", "_key"))).alias(f"_{p}")
                for p in (TEST, VALIDATION)])
     )
-    return (tagged.join(ends, "_label", "left")
+    return (tagged.join(broadcast_if_small(ends, MAX_CUTS), "_label", "left")
             .withColumn(name, _label(tagged, key, seed, F.col(f"_{TEST}"), F.col(f"_{VALIDATION}")))
             .drop("_label", f"_{TEST}", f"_{VALIDATION}"))
 

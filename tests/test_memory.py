@@ -110,6 +110,10 @@ def test_recall_native_scores(spark, score, threshold):
     small = {r["n"]: r["match_id"] for r in recall.recall_all(queries, memory, threshold, score, block=5).collect()}
     recent = {r["n"]: r["match_id"] for r in recall.recall_recent(queries, memory, threshold, 5000, score).collect()}
     assert small == recent and any(v is not None for v in small.values())
+    if score == "exact_contains":  # several automata, and none
+        for limits in ({"max_chars": 150, "max_passes": 100}, {"max_passes": 0}):
+            again = recall.recall_all(queries, memory, threshold, score, block=5, **limits).collect()
+            assert {r["n"]: r["match_id"] for r in again} == recent
 
 
 def test_recall_refuses_what_it_cannot_prune(spark):

@@ -12,11 +12,13 @@ Near duplicates at scale:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusmill.functions.text import let
@@ -62,26 +64,80 @@ def tfidf_terms(column: Column | str, stopwords: Sequence[str] = ()) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(sorted(stopwords))) if stopwords else tokens
 
 
+def _counted(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Owner row, place in the batch's dictionary and count of each term of a row; the dictionary."""
+    coded = words.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    size = max(len(coded.dictionary), 1)
+    pair, tf = np.unique(owner * size + coded.indices.to_numpy(), return_counts=True)
+    return pair // size, pair % size, tf, coded.dictionary
+
+
+def _lists(owner: np.ndarray, rows: int, fields: dict[str, pa.Array]) -> pa.ListArray:
+    ends = np.append(0, np.cumsum(np.bincount(owner, minlength=rows))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
+def _term_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, total, df) of each batch of (times, words)."""
+    for batch in batches:
+        owner, code, tf, names = _counted(batch.column("words"))
+        times, size = batch.column("times").to_numpy().astype(np.float64)[owner], len(names)
+        sums = [np.bincount(code, x, size).astype(np.int64) for x in (tf * times, times)]
+        yield pa.RecordBatch.from_arrays([names.cast(pa.string()), *map(pa.array, sums)], ["term", "total", "df"])
+
+
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, term, tf) of each batch of (key, words)."""
+    for batch in batches:
+        owner, code, tf, names = _counted(batch.column("words"))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), names.take(pa.array(code)).cast(pa.string()), pa.array(tf)],
+                                         [batch.schema.names[0], "term", "tf"])
+
+
+def _vectors_of(ranked: DataFrame):
+    """A function from term arrays to unit vectors over the terms of ``ranked`` (term, rank, idf), which every worker gets once."""
+    table = ranked.toArrow()
+    shared = ranked.sparkSession.sparkContext.broadcast(
+        (table.column("term").combine_chunks(), table.column("rank").to_numpy(), table.column("idf").to_numpy()))
+
+    @F.arrow_udf(T.ArrayType(T.StructType().add("rank", "integer").add("w", "double").add("term", "string")))
+    def vectors(words: pa.Array) -> pa.Array:
+        terms, ranks, idf = shared.value
+        owner, code, tf, names = _counted(words)
+        place = pc.index_in(names, value_set=terms.cast(names.type)).fill_null(-1).to_numpy()[code]
+        kept = np.flatnonzero(place >= 0)
+        kept = kept[np.lexsort((ranks[place[kept]], owner[kept]))]
+        owner, place, w = owner[kept], place[kept], tf[kept] * idf[place[kept]]
+        length = np.sqrt(np.bincount(owner, w * w, len(words)))
+        return _lists(owner, len(words), {"rank": pa.array(ranks[place].astype(np.int32)), "w": pa.array(w / length[owner]),
+                                          "term": terms.take(pa.array(place)).cast(pa.string())})
+    return vectors
+
+
 def tfidf(df: DataFrame, column: str, key: str = "row_id", max_features: int | None = 1000,
           stopwords: Sequence[str] = (), rows: Column | None = None, copies: str | None = None) -> DataFrame:
     """(key, vec): unit-length TF-IDF vector as array of (rank, w, term), rare terms first.
 
     ``rank`` orders terms by (document frequency, term); rows without any kept term are absent. With ``copies`` every
-    row counts that many times, and ``rows`` is then the number of rows they stand for.
+    row counts that many times, and ``rows`` is then the number of rows they stand for. Terms are counted within a row's own task; only
+    (term, count) sums are shuffled. ``max_features`` terms go through the driver to the workers; with None all terms are ranked and joined.
     """
-    weight = F.col(copies).alias("_times") if copies else F.lit(1).alias("_times")
-    counts = (df.select(key, weight, F.explode(tfidf_terms(column, stopwords)).alias("term"))
-              .groupBy(key, "_times", "term").agg(F.count(F.lit(1)).alias("tf")))
-    terms = counts.groupBy("term").agg(F.sum(F.col("tf") * F.col("_times")).alias("total"),
-                                       F.sum("_times").alias("df"))
+    times = F.col(copies) if copies else F.lit(1)
+    words = tfidf_terms(column, stopwords)
+    terms = df.select(times.cast("long").alias("times"), words.alias("words")).mapInArrow(_term_sums, "term string, total long, df long").groupBy(
+        "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar() if rows is None else rows
+    idf = F.log((1 + rows) / (1 + F.col("df"))) + 1
     if max_features is not None:
-        kept = top_k(terms, "total", "term", max_features)
+        kept = top_k(cut_lineage(terms), "total", "term", max_features)
         ranked = kept.withColumn("rank", F.row_number().over(Window.orderBy("df", "term")))
-        ranked = F.broadcast(ranked)  # max_features rows
-    else:
-        ranked = global_rank(terms, [F.asc("df"), F.asc("term")])  # as many rows as distinct terms: joined by shuffle
-    idf = F.log((1 + rows) / (1 + F.col("df"))) + 1
+        vector = _vectors_of(ranked.select("term", "rank", idf.alias("idf")))
+        vectors = compute_once(df.select(key, column), {"vec": vector(words)})
+        return vectors.filter(F.size("vec") > 0).select(key, "vec")
+    ranked = global_rank(terms, [F.asc("df"), F.asc("term")])  # as many rows as distinct terms: joined by shuffle
+    kind = df.schema[key].dataType.simpleString()
+    counts = df.select(key, words.alias("words")).mapInArrow(_term_rows, f"`{key}` {kind}, term string, tf long")
     weighted = counts.join(ranked, "term").select(
         key, F.struct("rank", (F.col("tf") * idf).alias("w"), "term").alias("x"))
     vec = weighted.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("raw"))
@@ -113,8 +169,8 @@ def _prefixes(threshold: float):
             weights = pa.array([w[i:j].tobytes() for i, j in parts], pa.binary())
             mine = pa.array(owner[keep])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rk").take(mine), pa.array(rank[keep]), ranks.take(mine), weights.take(mine)],
-                names=["rk", "rank", "ranks", "weights"])
+                [batch.column("rk").take(mine), pa.array(rank[keep]), pa.array(left[keep]), ranks.take(mine), weights.take(mine)],
+                names=["rk", "rank", "length", "ranks", "weights"])
     return run
 
 
@@ -125,13 +181,13 @@ def _narrow(vectors: DataFrame) -> DataFrame:
 
 
 def _postings(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(rk, rank, ranks, weights): every term of a vector's prefix with the whole vector as packed arrays.
+    """(rk, rank, length, ranks, weights): every term of a vector's prefix with the whole vector as packed arrays.
 
-    The prefix of a vector ends where what follows is shorter than the threshold.
+    ``length`` is that of the vector from the term on; the prefix ends where it gets below the threshold.
     """
     kind = dict(vectors.dtypes)["rk"]
     return cut_lineage(_narrow(vectors).mapInArrow(
-        _prefixes(threshold), f"rk {kind}, rank long, ranks binary, weights binary"))
+        _prefixes(threshold), f"rk {kind}, rank long, length double, ranks binary, weights binary"))
 
 
 def _blocks(postings: DataFrame, block: int, name: str) -> DataFrame:
@@ -140,6 +196,7 @@ def _blocks(postings: DataFrame, block: int, name: str) -> DataFrame:
 
 def _compare_blocks(threshold: float, same: bool, kind: pa.DataType):
     out = pa.schema([("a", kind), ("b", kind), ("cosine", pa.float64())])
+    strong = np.sqrt(threshold) - _GUARD
 
     def unpack(table: pa.Table):
         """Keys, and owner row, rank and weight of every entry."""
@@ -161,7 +218,7 @@ def _compare_blocks(threshold: float, same: bool, kind: pa.DataType):
         matrix[owner[mine], rank[mine] - first] = w[mine]
         return matrix
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
         a, b = unpack(left), unpack(right)
@@ -175,9 +232,18 @@ def _compare_blocks(threshold: float, same: bool, kind: pa.DataType):
             cosine += dense(a, left.num_rows, first) @ dense(b, right.num_rows, first).T
         near = cosine > threshold
         if same:
-            near &= a[0][:, None] < b[0][None, :]
+            near &= a[0][:, None] != b[0][None, :]
         i, j = np.nonzero(near)
-        return pa.table({"a": pa.array(a[0][i], kind), "b": pa.array(b[0][j], kind), "cosine": cosine[i, j]})
+        x, y = a[0][i], b[0][j]
+        if same:
+            x, y = np.minimum(x, y), np.maximum(x, y)
+        return pa.table({"a": pa.array(x, kind), "b": pa.array(y, kind), "cosine": cosine[i, j]})
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        # Under its first shared term a near pair's remaining lengths multiply to the threshold, so one of them is strong.
+        mine, theirs = left.column("length").to_numpy() >= strong, right.column("length").to_numpy() >= strong
+        parts = [product(left.filter(pa.array(mine)), right), product(left.filter(pa.array(~mine)), right.filter(pa.array(theirs)))]
+        return pa.concat_tables(parts)
     return run
 
 
@@ -186,7 +252,7 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool
 
     Two vectors above the threshold share a term in both their prefixes, so rows meet under these terms with their
     vectors. Both sides of a long posting list are cut into blocks and every block meets every other one under its
-    own key: a task multiplies two bounded matrices, and only true pairs leave it. Without a bound of the terms
+    own key (within one set each two blocks once): a task multiplies two bounded matrices, and only true pairs leave it. Without a bound of the terms
     (``bounded``) only the long posting lists are in the table of blocks, and it is broadcast only when counted small.
     """
     lp = _postings(left, threshold)
@@ -200,10 +266,10 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool
         cut = broadcast_if_small(cut.filter("na > 1 OR nb > 1"))
         la, rb = [x.join(cut, "rank", "left").fillna(1, ["na", "nb"]) for x in (lp, rp)]
     first = F.lit(0)
-    a = la.withColumn("ka", F.pmod(F.xxhash64("rk"), F.col("na")).cast("int")).withColumn(
-        "kb", F.explode(F.sequence(first, F.col("nb") - 1))).drop("na", "nb")
-    b = rb.withColumn("kb", F.pmod(F.xxhash64("rk"), F.col("nb")).cast("int")).withColumn(
-        "ka", F.explode(F.sequence(first, F.col("na") - 1))).drop("na", "nb")
+    la = la.withColumn("ka", F.pmod(F.xxhash64("rk"), F.col("na")).cast("int"))
+    rb = rb.withColumn("kb", F.pmod(F.xxhash64("rk"), F.col("nb")).cast("int"))
+    a = la.withColumn("kb", F.explode(F.sequence(F.col("ka") if same else first, F.col("nb") - 1))).drop("na", "nb")
+    b = rb.withColumn("ka", F.explode(F.sequence(first, F.col("kb") if same else F.col("na") - 1))).drop("na", "nb")
     kind = dict(lp.dtypes)["rk"]
     compare = _compare_blocks(threshold, same, pa.int64() if kind == "bigint" else pa.int32())
     cells = ["rank", "ka", "kb"]

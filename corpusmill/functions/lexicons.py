@@ -1,6 +1,7 @@
 """Default word lists, patterns and contractions. Every operator takes its own list as a parameter.
 
-Fixed values: scores and marks are defined by these lists, so they are stated as they are.
+Fixed values: scores and marks are defined by these lists, so they are stated as they are. The word classes CLOSED_CLASS, MODAL_CLASS and
+WH_DETERMINERS are our own choice.
 """
 
 from __future__ import annotations
@@ -9,34 +10,37 @@ from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
-TECHNICAL_TERMS = tuple(dict.fromkeys((
+# Fixed values.
+TECHNICAL_TERMS = (
     # networking
-    "tcp udp ip dns http https smtp ftp ssl tls lan wan vpn nat dhcp ospf rip bgp vlan qos snmp ieee osi mac arp "
-    "icmp ppp ethernet "
+    "tcp", "udp", "ip", "dns", "http", "https", "smtp", "ftp", "ssl", "tls", "lan", "wan", "vpn", "nat", "dhcp", "ospf", "rip", "bgp",
+    "vlan", "qos", "snmp", "ieee", "osi", "mac", "arp", "icmp", "ppp", "ethernet",
     # programming and web
-    "api url uri xml html css js sql json rest ajax dom mvc orm crud jwt oauth cors graphql nodejs reactjs angular "
-    "vue python java javascript "
+    "api", "url", "uri", "xml", "html", "css", "js", "sql", "json", "rest", "ajax", "dom", "mvc", "orm", "crud", "jwt", "oauth", "cors",
+    "graphql", "nodejs", "reactjs", "angular", "vue", "python", "java", "javascript",
     # data and machine learning
-    "rgb yuv jpeg png dct dwt lsb msb lstm gru cnn rnn bert gpt transformer numpy pandas sklearn tensorflow pytorch "
-    "keras cuda gpu cpu ram ssd hdd io os "
+    "rgb", "yuv", "jpeg", "png", "dct", "dwt", "lsb", "msb", "lstm", "gru", "cnn", "rnn", "bert", "gpt", "transformer", "numpy", "pandas",
+    "sklearn", "tensorflow", "pytorch", "keras", "cuda", "gpu", "cpu", "ram", "ssd", "hdd", "io", "os",
     # cloud
-    "aws azure gcp docker kubernetes ci cd git github gitlab jenkins ansible terraform "
+    "aws", "azure", "gcp", "docker", "kubernetes", "ci", "cd", "git", "github", "gitlab", "jenkins", "ansible", "terraform",
     # security
-    "firewall intrusion ids ips hashing salting md5 sha1 sha256 rsa aes des blowfish twofish cipher encryption "
-    "decryption tls ssl certificate publickey privatekey xss csrf sqli zero-day cve mitm bruteforce rce dos ddos "
+    "firewall", "intrusion", "ids", "ips", "hashing", "salting", "md5", "sha1", "sha256", "rsa", "aes", "des", "blowfish", "twofish",
+    "cipher", "encryption", "decryption", "certificate", "publickey", "privatekey", "xss", "csrf", "sqli", "zero-day", "cve", "mitm",
+    "bruteforce", "rce", "dos", "ddos",
     # privacy
-    "gdpr ccpa hipaa anonymization pseudonymization tokenization k-anonymity differentialprivacy privacybudget "
-    "consent dataminimization privacybydesign "
+    "gdpr", "ccpa", "hipaa", "anonymization", "pseudonymization", "tokenization", "k-anonymity", "differentialprivacy", "privacybudget",
+    "consent", "dataminimization", "privacybydesign",
     # malware analysis
-    "virustotal anyrun hybridanalysis ida ghidra peid peview floss remnux sandbox signature behavioral static "
-    "dynamic obfuscation packer payload dropper keylogger trojan ransomware rootkit botnet spyware adware "
+    "virustotal", "anyrun", "hybridanalysis", "ida", "ghidra", "peid", "peview", "floss", "remnux", "sandbox", "signature", "behavioral",
+    "static", "dynamic", "obfuscation", "packer", "payload", "dropper", "keylogger", "trojan", "ransomware", "rootkit", "botnet", "spyware",
+    "adware",
     # forensics
-    "chainofcustody writeblocker bitstream evidence hashmatch timelineanalysis metadata artifact volatility autopsy "
-    "sleuthkit hexeditor memorydump diskimage forensiccopy "
+    "chainofcustody", "writeblocker", "bitstream", "evidence", "hashmatch", "timelineanalysis", "metadata", "artifact", "volatility",
+    "autopsy", "sleuthkit", "hexeditor", "memorydump", "diskimage", "forensiccopy",
     # watermarking and steganography
-    "watermarking robustness perceptibility capacity invisiblewatermark visiblewatermark fragilewatermark "
-    "steganalysis steganography coverimage carrier spatialdomain frequencydomain invisibleink stegdetect"
-).split()))
+    "watermarking", "robustness", "perceptibility", "capacity", "invisiblewatermark", "visiblewatermark", "fragilewatermark",
+    "steganalysis", "steganography", "coverimage", "carrier", "spatialdomain", "frequencydomain", "invisibleink", "stegdetect",
+)
 
 QUESTION_WORDS = ("what", "where", "when", "why", "how", "which", "who", "whose", "whom")
 
@@ -76,6 +80,7 @@ CLOSED_CLASS = tuple((
     "out off over under again per via upon within without toward towards among across behind beyond near "
     "as like except despite plus there"
 ).split())
+# Our own lists.
 MODAL_CLASS = ("can", "could", "may", "might", "must", "shall", "should", "will", "would", "ought", "cannot")
 WH_DETERMINERS = ("which", "whose", "whatever", "whichever")
 

@@ -106,6 +106,7 @@ class TextSettings:
             raise ValueError(f"duplicates must be one of {dedupe.DUPLICATE_MODES}")
 
 
+# The stop words, switches and patterns of the two presets are fixed values.
 def review_settings(text: str = "text_review", label: str | None = "sentiment", **more) -> TextSettings:
     return TextSettings(text, label, custom_stopwords=("product", "item"), **more)
 

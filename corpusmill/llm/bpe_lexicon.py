@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.llm.bpe import WORD_PATTERN, Recent, Vocabulary, segments
 from corpusmill.llm.words import process_cache, small_batches
+from corpusmill.operators.ordering import top_k
 
 
 def compile_lexicon(words: Sequence[bytes], ids: Sequence[Sequence[int]]) -> bytes:
@@ -165,8 +166,7 @@ def _encode(path: str, block):
 def frequent_words(docs: DataFrame, text: str = "text", size: int = 50_000, longest: int = 40) -> list[str]:
     """The ``size`` most frequent lower-case letter runs of all rows, of at most ``longest`` letters; ties by word."""
     words = docs.select(F.explode(F.split(F.lower(f"`{text}`"), r"[^\p{L}]+")).alias("word")).where(f"word <> '' AND length(word) <= {longest}")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
+    return [r.word for r in top_k(words.groupBy("word").agg(F.count("*").alias("n")), "n", "word", size).collect()]
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", size: int = 50_000) -> DataFrame:

@@ -179,10 +179,11 @@ def _newest_holding(small: DataFrame, large: DataFrame, asked_is_small: bool, bl
     chars = small.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = -(-chars // max_chars)
     if passes > max_passes:
-        pairs = _contained(small, large, block)
-        meta = (large if asked_is_small else small).select(F.col("key").alias("m"), "at", "id")
-        return pairs.select(F.col("s" if asked_is_small else "l").alias("q"), F.col("l" if asked_is_small else "s").alias("m")).join(meta, "m").select(
-            "q", "m", "at", "id")
+        both = _contained(small, large, block).join(small.select(F.col("key").alias("s"), F.col("text").alias("st"), F.col("at").alias("s_at"), F.col("id").alias("s_id")), "s")
+        both = both.join(large.select(F.col("key").alias("l"), F.col("text").alias("lt"), F.col("at").alias("l_at"), F.col("id").alias("l_id")), "l").filter(
+            F.contains("lt", "st"))
+        q, m = ("s", "l") if asked_is_small else ("l", "s")
+        return both.select(F.col(q).alias("q"), F.col(m).alias("m"), F.col(f"{m}_at").alias("at"), F.col(f"{m}_id").alias("id"))
     spark, found = small.sparkSession, None
     for number in range(passes):
         rows = small.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == number).select("key", "text", "at", "id").toArrow()

@@ -24,10 +24,19 @@ def process_cache(name: str, make: Callable[[], object]) -> object:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, lost executors don't matter."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read again: lineage ends there, lost executors don't matter.
+
+    Nothing needs the shuffle files of that job once it has ended, so Spark may remove them at once.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = scratch_path(spark, name)
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(table: DataFrame) -> None:

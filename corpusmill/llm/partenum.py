@@ -3,8 +3,9 @@
 Sets are put in size bands. Inside a band two sets with the wanted similarity differ in at most ``d`` elements. The hashed domain
 is cut into partitions: with more than ``d`` of them one partition agrees in both sets, so the projection on that partition
 is a signature both share. For few differences (``d`` up to 3) the subsets of three out of ``d + 3`` partitions are enumerated
-instead. A set also signs in the next band when a partner may lie there. Partitions that hold at most one
-element sign only in sets with more such partitions than spare ones; the spare ones keep the guarantee.
+instead. A set also signs in the next band when a partner may lie there. With ``d + 1 + spare`` partitions two similar sets share at
+least ``1 + spare`` signatures of a band, so each set leaves out its ``spare`` most frequent ones and still meets every partner
+under one of the rest (prefix filtering); one that shares no more than ``spare`` signatures with others has no partner there.
 
 Sets that are equal form a class (64-bit fingerprint). Signatures with few classes give all their pairs. Of larger ones,
 round one compares every class with the smallest one, round two what shares the signature but is still in different
@@ -53,18 +54,32 @@ def size_bands(top: int, num: int, den: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def spare_parts(differences: int) -> int:
+    """Partitions beyond ``differences + 1``; none where subsets are enumerated."""
+    return 0 if differences <= 3 else 1 + differences // 12
+
+
+def bands_of(size: int, bands: list[tuple[int, int, int]], num: int, den: int) -> list[tuple[int, int]]:
+    """``(number, differences)`` of the bands a set signs in: its own and, if a larger partner may be there, the next."""
+    return [(b, differences) for b, (low, high, differences) in enumerate(bands)
+            if high >= size and low * num <= size * den and differences]  # without differences only equal sets are partners
+
+
+def spares(size: int, bands: list[tuple[int, int, int]], num: int, den: int) -> list[int]:
+    """Spare partitions of a set in its even-numbered and in its odd-numbered band."""
+    out = [0, 0]
+    for b, differences in bands_of(size, bands, num, den):
+        out[b & 1] = spare_parts(differences)
+    return out
+
+
 def signatures(elements: np.ndarray, bands: list[tuple[int, int, int]], num: int, den: int) -> np.ndarray:
-    """The signatures of one set in its band and, if a larger partner may be there, in the next."""
-    size, out = len(elements), []
-    for b, (low, high, differences) in enumerate(bands):
-        if high < size or low * num > size * den:
-            continue
-        if differences == 0:  # only equal sets can be partners
-            continue
+    """The signatures of one set in its bands; the lowest bit says whether the band's number is odd."""
+    out = []
+    for b, differences in bands_of(len(elements), bands, num, den):
         spread, value = mix(elements ^ _FIRST), mix(elements ^ _SECOND)
         few = differences <= 3
-        spare = 0 if few else 1 + differences // 12
-        parts = differences + 3 if few else differences + 1 + spare
+        parts = differences + 3 if few else differences + 1 + spare_parts(differences)
         part = (spread % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         count = np.bincount(part, minlength=parts)
@@ -77,10 +92,8 @@ def signatures(elements: np.ndarray, bands: list[tuple[int, int, int]], num: int
             names = np.arange(len(chosen), dtype=np.uint64)
         else:
             names = np.arange(parts, dtype=np.uint64)
-            weak = count <= 1
-            if weak.sum() <= spare:
-                total, names = total[~weak], names[~weak]
-        out.append(mix(total + mix(names + np.uint64(b << 32) + np.uint64(1))))
+        named = mix(total + mix(names + np.uint64(b << 32) + np.uint64(1)))
+        out.append(named & ~np.uint64(1) | np.uint64(b & 1))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -101,7 +114,7 @@ def _sign(n: int, num: int, den: int):
         seen: set[int] = set()
         bands = size_bands(1 << 31, num, den)
         for batch in batches:
-            sizes, keys, sketches, parities, found, rows = [], [], [], [], [], []
+            sizes, keys, sketches, parities, spare, found, rows = [], [], [], [], [], [], []
             for text in batch.column("__text").to_pylist():
                 elements = shingle_set(split_words(text, lower=True), n)
                 size = len(elements)
@@ -111,6 +124,7 @@ def _sign(n: int, num: int, den: int):
                 keys.append(key)
                 sketches.append(_sketch(elements) if new else None)
                 parities.append(_parity(elements) if new else None)
+                spare.append(spares(size, bands, num, den) if new else None)
                 if new:
                     seen.add(key)
                     found.append(signed(signatures(elements, bands, num, den)))
@@ -130,8 +144,8 @@ def _sign(n: int, num: int, den: int):
                     at += len(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__id"), batch.column("__text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary()),
-                 pa.array(parities, pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.struct([("sign", pa.int64()), ("center", pa.int64())])))],
-                ["__id", "__text_key", "n_shingles", "k", "sketch", "parity", "own", "met"])
+                 pa.array(parities, pa.list_(pa.int64())), pa.array(spare, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.struct([("sign", pa.int64()), ("center", pa.int64())])))],
+                ["__id", "__text_key", "n_shingles", "k", "sketch", "parity", "spare", "own", "met"])
     return run
 
 
@@ -209,6 +223,28 @@ def _links(pairs: DataFrame, texts: DataFrame, rows: DataFrame, n: int, num: int
     return links
 
 
+def _fewest(far: DataFrame, near: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``far`` and ``near`` without each class's ``spare`` most frequent signatures of a band, with centres and counts of what is left.
+
+    The frequency of a signature is its count in ``far`` (else 1), the same for all who share it; ties go by the signature. The
+    signatures that a class shares in its batch alone count as well, those of the batch's first class among them.
+    """
+    often = far.groupBy("sign").agg(F.max("m").alias("m"))
+    tied = near.join(often, "sign", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    rows = (far.select("sign", "k", "center", "m", F.lit(0).alias("kind"))
+            .unionByName(tied.select("sign", "k", "center", "m", F.lit(1).alias("kind")))
+            .unionByName(tied.select("sign", F.col("center").alias("k"), "center", "m", F.lit(2).alias("kind")).distinct()))
+    odd = F.col("sign").bitwiseAND(F.lit(1)).cast("int")
+    rank = F.dense_rank().over(Window.partitionBy("k", "odd").orderBy(F.desc("m"), "sign"))
+    left = stored(rows.join(texts.select("k", "spare"), "k").withColumn("odd", odd).withColumn("rank", rank)
+                  .where("rank > spare[odd] AND kind < 2").select("sign", "k", "center", "kind"), "members")
+    discard(far)
+    discard(near)
+    whole = Window.partitionBy("sign")
+    kept = stored(left.where("kind = 0").select("sign", "k", F.min("k").over(whole).alias("center"), F.count("k").over(whole).alias("m")), "members")
+    return kept, left.where("kind = 1").select("sign", "k", "center")
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Per row of ``docs``: ``__id`` (its key), ``__text_key``, ``n_shingles``, ``k`` (class of equal sets), ``component`` (of classes).
 
@@ -218,11 +254,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("__id"), F.xxhash64(body).alias("__text_key"), body.alias("__text"))
-    signed_rows = stored(rows.mapInArrow(_sign(n, num, den), "__id long, __text_key long, n_shingles long, k long, sketch binary, parity array<long>, own array<long>, "
+    signed_rows = stored(rows.mapInArrow(_sign(n, num, den), "__id long, __text_key long, n_shingles long, k long, sketch binary, parity array<long>, spare array<int>, own array<long>, "
                                          "met array<struct<sign: long, center: long>>"), "signs")
     texts = stored(signed_rows.where("sketch IS NOT NULL").groupBy("k").agg(
         F.min("__text_key").alias("__text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"),
-        F.first("parity").alias("parity")), "classes")
+        F.first("parity").alias("parity"), F.first("spare").alias("spare")), "classes")
     whole = Window.partitionBy("sign")
     spread = signed_rows.select(F.explode("own").alias("sign"), "k").select(
         "sign", "k", F.min("k").over(whole).alias("center"), F.max("k").over(whole).alias("last"), F.count("k").over(whole).alias("m"))
@@ -230,6 +266,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     near = stored(signed_rows.where("size(met) > 0").select(F.inline("met"), "k").where("k <> center").select("sign", "k", "center"), "members")
     members = stored(signed_rows.select("__id", "__text_key", "n_shingles", "k"), "members")
     discard(signed_rows)
+    far, near = _fewest(far, near, texts)
     groups = far.where(f"m <= {FEW}").groupBy("sign").agg(F.sort_array(F.collect_set("k")).alias("g"))
     every = groups.select(F.explode(F.expr("flatten(transform(g, (a, i) -> transform(slice(g, i + 2, size(g)), b -> struct(a, b))))")).alias("p")).select("p.a", "p.b")
     star = far.where(f"m > {FEW} AND k <> center").select("center", "k").union(near.select("center", "k")).select(

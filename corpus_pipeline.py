@@ -47,8 +47,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of at most 1024 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    """Pieces of the documents, with their token ids, in windows of at most 1024 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality_rules", quality), ("ngram_jaccard", near_duplicates), ("substring_dedup", substring_dedup), ("packing", packing)]

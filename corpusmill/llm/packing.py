@@ -97,7 +97,7 @@ class _Tokens:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
 
-def _pieces(ranks: str, vocabulary: str, capacity: int, small: int, end: int, with_ids: bool):
+def _pieces(ranks: str, vocabulary: str, capacity: int, small: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = process_cache(f"packing {ranks}", lambda: _Tokens(ranks, vocabulary))
         serial = TaskContext.get().partitionId() << 40
@@ -106,12 +106,11 @@ def _pieces(ranks: str, vocabulary: str, capacity: int, small: int, end: int, wi
             for row, text in zip(batch.column("__row").to_pylist(), batch.column("__text").to_pylist()):
                 ids = np.append(tokens.ids(text), np.uint32(end))
                 for start, length in cuts(len(ids), capacity, small):
-                    raw = ids[start:start + length].tobytes()
-                    rows.append((row, start, length, zlib.crc32(raw), len(ids), raw if with_ids else None, serial))
+                    rows.append((row, start, length, len(ids), ids[start:start + length].tobytes(), serial))
                     serial += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-            names = ["__row", "start", "length", "ids_crc32", "doc_tokens", "ids", "__serial"]
-            columns = list(zip(*rows)) if rows else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            names = ["__row", "start", "length", "doc_tokens", "ids", "__serial"]
+            columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
     return run
 
@@ -119,35 +118,37 @@ def _pieces(ranks: str, vocabulary: str, capacity: int, small: int, end: int, wi
 def _pack(capacity: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__serial").reset_index(drop=True)
-        sizes = group["length"].tolist()
-        rest = [i for i, size in enumerate(sizes) if size < capacity]
-        rows = [[i] for i, size in enumerate(sizes) if size == capacity]
-        rows += [[rest[i] for i in row] for row in windows_for([sizes[i] for i in rest], capacity)]
-        sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        for number, row in enumerate(rows):
+        sizes, ids = group["length"].tolist(), group["ids"].tolist()
+        sequence, offset, crc = (np.zeros(len(sizes), np.int64) for _ in range(3))
+        for number, row in enumerate(windows_for(sizes, capacity)):
+            window = b"".join(ids[i] for i in row)
             at = 0
             for i in row:
                 sequence[i], offset[i] = number, at
+                crc[i] = zlib.crc32(window[4 * at:4 * (at + sizes[i])])
                 at += sizes[i]
-        group["sequence_id"], group["offset"] = group["__group"].to_numpy() * (1 << 32) + sequence, offset
+        group["ids_crc32"], group["sequence_id"], group["offset"] = crc, group["__group"].to_numpy() * (1 << 32) + sequence, offset
         return group.drop(columns=["__group", "__serial"])
     return run
 
 
 def pack(docs: DataFrame, ranks: str, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, small: int = 32,
-         end: int = 0, per_group: int = 300, with_ids: bool = True) -> DataFrame:
-    """One row per piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, on wish, ``ids`` (binary).
+         end: int = 0, per_group: int = 300) -> DataFrame:
+    """One row per piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids`` (binary, little-endian 32 bits).
 
-    A document's ids are those of its text (null: empty) and ``end``. Full windows stay alone; the rest is dealt evenly over groups
-    of about ``per_group`` pieces, by the number of pieces at every input size, and each group is packed by differencing. Pieces are dealt by their
-    serial number, so copies, repeated rows and null keys spread as well. An empty table gives no piece.
+    A document's ids are those of its text (null: empty) and ``end``. Full windows are sequences of their own and never grouped; the rest is
+    dealt evenly over groups of about ``per_group`` pieces, by the number of such pieces at every input size, and each group is packed, ids
+    included, by differencing. Pieces are dealt by their serial number, so copies, repeated rows and null keys spread as well. An empty table gives no piece.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("__row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    kinds = "__row long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, __serial long"
-    pieces = stored(rows.mapInArrow(_pieces(ranks, vocabulary, capacity, small, end, with_ids), kinds), "pieces")
-    groups = max(1, pieces.where(f"length < {capacity}").count() // per_group)
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("__serial"), F.lit(groups)).cast("long"))
-    out = "__row long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
-    packed = dealt.groupBy("__group").applyInPandas(_pack(capacity), out).withColumnRenamed("__row", key)
-    return packed if with_ids else packed.drop("ids")
+    kinds = "__row long, start long, length long, doc_tokens long, ids binary, __serial long"
+    pieces = stored(rows.mapInArrow(_pieces(ranks, vocabulary, capacity, small, end), kinds), "pieces")
+    rest = pieces.where(f"length < {capacity}")
+    groups = max(1, rest.count() // per_group)
+    out = "__row long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+    packed = rest.withColumn("__group", F.pmod(F.xxhash64("__serial"), F.lit(groups)).cast("long")).groupBy("__group").applyInPandas(_pack(capacity), out)
+    full = pieces.where(f"length = {capacity}").select(
+        "__row", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", (F.lit(1 << 62) + F.col("__serial")).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"), "ids")
+    return packed.unionByName(full).withColumnRenamed("__row", key)

@@ -65,7 +65,7 @@ def lattice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                        public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+                        public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def debruijn_query(spark: SparkSession, sf_dir: str) -> DataFrame:

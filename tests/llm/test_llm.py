@@ -173,7 +173,31 @@ def test_similar_sets_share_a_signature(size):
         if 100 * len(part) < 85 * len(whole) or len(part) == len(whole):
             continue
         a, b = (set(partenum.signatures(x, bands, 85, 100).tolist()) for x in (whole, part))
-        assert a & b
+        spare = [partenum.spares(len(x), bands, 85, 100) for x in (whole, part)]
+        shared = [sum(s & 1 == odd for s in a & b) for odd in (0, 1)]
+        assert any(shared[odd] > max(x[odd] for x in spare) for odd in (0, 1))
+
+
+def test_near_components_of_long_texts_with_common_passages(spark):
+    """Near copies at all distances, among texts that hold the same passages and would meet under frequent signatures."""
+    rng = np.random.default_rng(5)
+    passages = [[f"p{i}w{j}" for j in range(60)] for i in range(6)]
+    rows: list[tuple[int, str]] = []
+    for i in range(70):
+        words = [f"v{x}" for x in rng.integers(0, 3000, int(rng.integers(20, 700)))]
+        for p in rng.choice(6, int(rng.integers(0, 4)), replace=False):
+            words += passages[p]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(int(rng.integers(0, 4))):
+            copy = list(words)
+            for place in rng.integers(0, len(copy), int(rng.integers(0, max(2, len(copy) // 35)))):
+                copy[place] = f"x{rng.integers(0, 50)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + i, " ".join([*passages[0], f"tail{i}"])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in partenum.near_components(docs, n=5, num=80).collect())
+    want = sorted(brute.components(rows, 5, 80, 100))
+    assert got == want and len({c for _, _, c in want}) < len(rows) - 60
 
 
 def test_chain_is_one_component(spark):
@@ -298,6 +322,18 @@ def test_packing(docs, rows, empty):
         assert window.offset.tolist() == [0, *np.cumsum(window.length)[:-1]]
 
 
+def test_packing_of_one_huge_text(spark):
+    """Full windows never enter a group, however long a text is."""
+    text = " ".join(f"{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = packing.pack(docs, RANKS, BYTES, per_group=10).toPandas().sort_values(["doc_id", "start"])
+    long = got[got.doc_id == 1]
+    assert np.frombuffer(b"".join(long.ids), "<u4").tolist() == [*Tokenizer.from_file(BYTES).encode(text).ids, 0]
+    full = got[got.length == 1024]
+    assert len(full) > 40 and full.sequence_id.is_unique and (full.sequence_id >= 1 << 62).all() and (full.offset == 0).all()
+    assert [zlib.crc32(x) for x in got.ids] == got.ids_crc32.tolist()
+
+
 def test_differencing():
     sizes = [8, 7, 6, 5, 4]
     assert sorted(sum(sizes[i] for i in w) for w in packing.difference(sizes, 2)) == [14, 16]

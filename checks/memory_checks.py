@@ -273,8 +273,9 @@ LEGACY = f"""{q.FEEDBACK} SELECT question, question_hash, base_answer, reflectio
 
 
 def _stream(spark, sf_dir, name):
+    """The table as a stream; the pattern makes Spark accept one file as well as a folder of files."""
     schema = d.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _events(spark, sf_dir):

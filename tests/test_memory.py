@@ -216,6 +216,15 @@ def test_registered_streams_count_every_event(spark, sf_dir):
     assert counted == events.count() and windows == 7 * counted
 
 
+@pytest.mark.parametrize("name", ["stream_recall", "stream_dedupe_questions"])
+def test_streams_read_a_table_of_several_files(spark, sf_dir, tmp_path, name):
+    from checks.memory_checks import CHECKS
+
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    (one, many) = (sorted(map(str, CHECKS[name][0](spark, path).collect())) for path in (sf_dir, str(tmp_path)))
+    assert many and many == one
+
+
 def test_legacy_import(spark, tmp_path):
     (tmp_path / "old.json").write_text(
         '[{"question": "Q?", "improvement": "i", "source": "user-correction", "timestamp": "2023-05-01T10:00:00"},'

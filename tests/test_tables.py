@@ -285,6 +285,29 @@ def test_cosine_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_vectors_are_shipped_once_a_part_and_met_exactly(spark):
+    rng = np.random.default_rng(11)
+    terms, rows = 1500, 2600  # more than one chunk of terms and more than one tile of rows
+    matrix = np.zeros((rows, terms))
+    for i in range(rows):
+        some = rng.choice(terms, 40, replace=False)
+        matrix[i, some] = rng.random(40) + 0.1
+    near = rng.choice(rows, 300, replace=False)
+    matrix[near[:150]] = matrix[near[150:]] + 0.1 * (matrix[near[150:]] > 0) * rng.random((150, terms))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    packed = [(i, bytearray(np.flatnonzero(r).astype(np.int32).tobytes()), bytearray(r[r > 0].tobytes()), 1) for i, r in enumerate(matrix)]
+    df = spark.createDataFrame(packed, "rk long, ranks binary, weights binary, copies long").repartition(4).cache()
+    parts = dedupe._parts(rows, 100, 4)
+    dealt, cells = dedupe._dealt(df, None, 100)
+    assert dealt.count() == parts * rows and cells == parts * parts  # by terms each row went out forty times
+    cosine = matrix @ matrix.T
+    want = {(i, j): cosine[i, j] for i, j in np.argwhere(cosine > 0.3).tolist() if i < j}
+    got = dedupe.cosine_pairs(df, df, 0.3, True, 100).collect()
+    assert len(got) == len(want) == 150 and all(abs(want[r["a"], r["b"]] - r["cosine"]) < 1e-12 for r in got)
+    kept, later = df.filter("rk < 700"), df.filter("rk >= 700")
+    assert {r["rk"] for r in dedupe.cosine_hits(kept, later, 0.3, 100).collect()} == {j for i, j in want if i < 700 <= j}
+
+
 def test_let_and_checkpoint(spark):
     df = frame(spark, [(2,)], "x int").select(let(F.col("x"), lambda v: v * v).alias("y"))
     assert cut_lineage(df).first()["y"] == 4

@@ -65,7 +65,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     ], dtype="float64")
 
 
-def _ratio_if_enough(x: str, y: str, need: float) -> float:
+def ratio_if_enough(x: str, y: str, need: float) -> float:
     matcher = difflib.SequenceMatcher(None, x, y)
     bound = matcher.quick_ratio()
     return bound if bound < need else matcher.ratio()
@@ -74,14 +74,14 @@ def _ratio_if_enough(x: str, y: str, need: float) -> float:
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio_at_least(a: pd.Series, b: pd.Series, need: pd.Series) -> pd.Series:
     """The ratio where it can reach ``need``; otherwise an upper bound below ``need``."""
-    return pd.Series([_ratio_if_enough(x, y, n) for x, y, n in zip(a, b, need)], dtype="float64")
+    return pd.Series([ratio_if_enough(x, y, n) for x, y, n in zip(a, b, need)], dtype="float64")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def sequence_ratios_at_least(a: pd.Series, many: pd.Series, needs: pd.Series) -> pd.Series:
     """As above for one text against a short array of texts."""
     return pd.Series([
-        [_ratio_if_enough(x, y, n) for y, n in zip(ys, ns)] for x, ys, ns in zip(a, many, needs)
+        [ratio_if_enough(x, y, n) for y, n in zip(ys, ns)] for x, ys, ns in zip(a, many, needs)
     ])
 
 

@@ -4,15 +4,17 @@ Recent mode scores against the newest ``recent_n`` rows: they fit into one array
 so a question is scored in a projection without any shuffle.
 
 Whole-memory mode finds candidates exactly: equal texts by digest, contained texts by an automaton over all short texts that reads
-every long text once (or, for very many short texts, by a rare inner word pair), and overlapping texts by a prefix of their
-rarest words. Only candidates whose upper bound reaches the threshold are compared character by character.
+every long text once (or, for very many short texts, by a rare inner word pair), and overlapping texts by products of word counts
+of two parts in a task, which keeps the best partner only. Only candidates whose upper bound reaches the threshold are compared character by character.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusmill.functions import similarity as sim
@@ -28,6 +30,10 @@ MAX_RECENT = 5000
 # An automaton holds this many characters of patterns (about a hundred bytes each); more are read in several passes, and beyond
 # that many passes patterns and texts meet in a join.
 AUTOMATON_CHARS, AUTOMATON_PASSES = 2_000_000, 4
+# Words of a part that a task holds, two parts at a time; slots of frequent words and of all others; rows of a tile and of the
+# sample that the frequent words come from.
+PART_WORDS = 4_000_000
+_OWN, _SHARED, _TILE, _SAMPLE = 1024, 1024, 512, 20_000
 
 
 def _quick(asked: Column, stored: Column) -> Column:
@@ -233,26 +239,168 @@ def _contained(small: DataFrame, large: DataFrame, block: int) -> DataFrame:
     return found.unionByName(_salted(lead, l_pieces, "gram", "s", "l", block).select("s", "l"))
 
 
-def _overlapping(asked: DataFrame, stored: DataFrame, least: float, block: int) -> DataFrame:
-    """(q, m) that can have a word Jaccard of ``least``: prefix, size and shared-count filters on rare-first words."""
-    each = F.explode(F.array_distinct(words("text"))).alias("w")
-    both = asked.select("text").unionByName(stored.select("text"))
-    frequency = both.select(each).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+class _Texts:
+    """Word sets of one part in a task, by size: keys, texts and their words as numbers and as slots of a bound."""
+
+    def __init__(self, batches: list[pa.RecordBatch], frequent: np.ndarray):
+        table = pa.Table.from_batches(batches)
+        size = pc.list_value_length(table.column("words")).to_numpy()
+        table = table.take(pa.array(np.argsort(size, kind="stable")))
+        words = table.column("words").combine_chunks()
+        self.size, self.rows = np.sort(size), table.num_rows
+        self.ends = np.append(0, np.cumsum(self.size))
+        self.words = words.flatten().to_numpy()
+        self.key, self.text = table.column("key").to_pylist(), table.column("text").to_pylist()
+        self.long = np.array([len(x) if x is not None else 0 for x in self.text])
+        self.at, self.id = (table.column(n).combine_chunks() for n in ("at", "id"))
+        least = np.iinfo(np.int64).min
+        keys = [pc.fill_null(x, least).to_numpy() for x in (self.id, self.at)]
+        self.place = np.empty(self.rows, np.int64)  # ties of a similarity go to the highest place
+        self.place[np.lexsort((np.array(self.key, object).astype(str), *keys))] = np.arange(self.rows)
+        near = np.minimum(np.searchsorted(frequent, self.words), max(len(frequent) - 1, 0))
+        own = frequent[near] == self.words if len(frequent) else np.zeros(len(self.words), bool)
+        self.slot = np.where(own, near, _OWN + (self.words & (_SHARED - 1)))
+
+    def counts(self, start: int, stop: int) -> np.ndarray:
+        """Words per slot: the product of two rows is at least the number of common words."""
+        row = np.repeat(np.arange(stop - start), self.size[start:stop])
+        width = _OWN + _SHARED
+        flat = row * width + self.slot[self.ends[start]:self.ends[stop]]
+        return np.bincount(flat, minlength=(stop - start) * width).astype(np.float32).reshape(-1, width)
+
+
+def _common(left: _Texts, right: _Texts, i: np.ndarray, j: np.ndarray, marks: np.ndarray, codes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Number of common words of each pair, ordered by ``i``."""
+    out = np.empty(len(i), np.int64)
+    rows, first = np.unique(i, return_index=True)
+    for row, start, stop in zip(rows, first, np.append(first[1:], len(i))):
+        mine = codes[0][left.ends[row]:left.ends[row + 1]]
+        marks[mine] = True
+        some = j[start:stop]
+        theirs = np.concatenate([codes[1][right.ends[x]:right.ends[x + 1]] for x in some])
+        out[start:stop] = np.add.reduceat(marks[theirs], np.append(0, np.cumsum(right.size[some])[:-1]), dtype=np.int64)
+        marks[mine] = False
+    return out
+
+
+def _likely(left: _Texts, right: _Texts, least: float, threshold: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows left, rows right, word Jaccard, bound of the score) of the pairs that may reach the threshold, tile by tile."""
+    names = np.unique(np.concatenate([left.words, right.words]))
+    codes, marks = tuple(np.searchsorted(names, x.words) for x in (left, right)), np.zeros(len(names), bool)
+
+    def bound(i, j, jaccard):
+        if threshold is None:
+            return jaccard
+        return 2.0 * np.minimum(left.long[i], right.long[j]) / (left.long[i] + right.long[j]) * sim.SEQUENCE_WEIGHT + jaccard * sim.WORD_WEIGHT
+
+    floor = least if threshold is None else threshold
+    for a in range(0, left.rows, _TILE):
+        upto = min(a + _TILE, left.rows)
+        mine = None
+        for b in range(0, right.rows, _TILE):
+            end = min(b + _TILE, right.rows)
+            if right.size[end - 1] < left.size[a] * least - _EPS or left.size[upto - 1] < right.size[b] * least - _EPS:
+                continue
+            mine = left.counts(a, upto) if mine is None else mine
+            x, y = left.size[a:upto, None], right.size[None, b:end]
+            most = np.minimum(np.minimum(mine @ right.counts(b, end).T, x), y)
+            i, j = np.nonzero(most >= (x + y) * (least / (1 + least)) - _EPS)
+            i, j, most = i + a, j + b, most[i, j]
+            good = bound(i, j, most / (left.size[i] + right.size[j] - most)) >= floor - _EPS
+            i, j = i[good], j[good]
+            if not i.size:
+                continue
+            common = _common(left, right, i, j, marks, codes)
+            jaccard = common / (left.size[i] + right.size[j] - common)
+            most = bound(i, j, jaccard)
+            good = (jaccard >= least - _EPS) & (most >= floor - _EPS)
+            yield i[good], j[good], jaccard[good], most[good]
+
+
+def _best(left: _Texts, right: _Texts, least: float, threshold: float | None, score: np.ndarray, found: np.ndarray) -> None:
+    """The best partner of each row on the left; with a threshold by the full score, else by the word Jaccard."""
+    for i, j, jaccard, most in _likely(left, right, least, threshold):
+        if threshold is None:
+            order = np.lexsort((right.place[j], jaccard, i))
+            last = order[np.append(np.diff(i[order]) > 0, True)] if order.size else order
+            i, j, jaccard = i[last], j[last], jaccard[last]
+            old = found[i]
+            better = (jaccard > score[i]) | (jaccard == score[i]) & ((old < 0) | (right.place[j] > right.place[old]))
+            score[i[better]], found[i[better]] = jaccard[better], j[better]
+            continue
+        for n in np.lexsort((-right.place[j], -most, i)).tolist():
+            row, other, shared = i[n], j[n], jaccard[n]
+            if most[n] < score[row] - _EPS:
+                continue
+            x, y = left.text[row], right.text[other]
+            if x in y or y in x:  # these have their rows already
+                continue
+            need = (max(threshold, score[row]) - sim.WORD_WEIGHT * shared) / sim.SEQUENCE_WEIGHT - _EPS
+            value = sim.ratio_if_enough(x, y, need) * sim.SEQUENCE_WEIGHT + shared * sim.WORD_WEIGHT
+            if value >= threshold and (value > score[row] or value == score[row] and (found[row] < 0 or right.place[other] > right.place[found[row]])):
+                score[row], found[row] = value, other
+
+
+def _best_of_cells(frequent: np.ndarray, least: float, threshold: float | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[int, tuple[list, list]] = {}
+        for batch in batches:
+            cell, side = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
+            for c in np.unique(cell):
+                for s in (0, 1):
+                    cells.setdefault(int(c), ([], []))[s].append(batch.filter(pa.array((cell == c) & (side == s))))
+        for one, other in cells.values():
+            if not sum(b.num_rows for b in one) or not sum(b.num_rows for b in other):
+                continue
+            left, right = _Texts(one, frequent), _Texts(other, frequent)
+            score, found = np.zeros(left.rows), np.full(left.rows, -1)
+            _best(left, right, least, threshold, score, found)
+            hit = np.flatnonzero(found >= 0)
+            with_ = pa.array(found[hit])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([left.key[x] for x in hit], pa.string()), pa.array([right.key[x] for x in found[hit]], pa.string()),
+                 right.at.take(with_), right.id.take(with_), pa.array(score[hit])], ["q", "m", "at", "id", "similarity"])
+    return run
+
+
+def _best_overlapping(asked: DataFrame, stored: DataFrame, least: float, threshold: float | None, part_words: int = PART_WORDS) -> DataFrame:
+    """(q, m, at, id, similarity): the best partner of each asked text in each part of the stored ones, with a word Jaccard of ``least``.
 
-    def prefix(df, ident, size, place):
-        ordered = (df.select(F.col("key").alias(ident), each).join(frequency, "w")
-                   .groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("o")))
-        keep = F.size("o") - F.ceil(F.size("o") * least - _EPS).cast("int") + 1
-        return cut_lineage(ordered.select(ident, F.size("o").alias(size), F.posexplode(F.slice("o", 1, keep)).alias(
-            place, "e")).select(ident, size, place, F.col("e.w").alias("w")))
+    Without a threshold the similarity is that Jaccard, else the full score of texts that don't hold each other. Both sides are
+    cut into parts by hash and each two parts meet in one task: texts are shipped once per part, no pair leaves a task but the best
+    one, and products of word counts (own slots for frequent words, shared ones for the rest) bound the common words.
+    """
+    spark = asked.sparkSession
+
+    def sets(df: DataFrame) -> DataFrame:
+        known = compute_once(df.select("key", "text", "at", "id"), {"words": F.transform(F.array_distinct(words("text")), lambda w: F.xxhash64(w))})
+        text = F.col("text") if threshold is not None else F.lit(None).cast("string")
+        return known.filter(F.size("words") > 0).select("key", text.alias("text"), "words", "at", "id")
+
+    def measure(df: DataFrame) -> tuple[int, int]:
+        rows, length = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()
+        return rows, length
+
+    def sample(df: DataFrame, rows: int) -> DataFrame:
+        return df.filter(F.pmod(F.xxhash64("key"), F.lit(-(-rows // _SAMPLE))) == 0) if rows > _SAMPLE else df
 
-    q, m = prefix(asked, "q", "qn", "qp"), prefix(stored, "m", "mn", "mp")
-    fits = (F.col("qn") >= F.col("mn") * least - _EPS) & (F.col("mn") >= F.col("qn") * least - _EPS)
-    shared = _salted(q, m, "w", "q", "m", block).filter(fits).groupBy("q", "m", "qn", "mn").agg(
-        F.count(F.lit(1)).alias("n"), F.max("qp").alias("qp"), F.max("mp").alias("mp"))
-    # Both sides are ordered alike, so every word shared before the last one found is counted already.
-    most = F.col("n") + F.least(F.col("qn") - F.col("qp"), F.col("mn") - F.col("mp")) - 1
-    return shared.filter(most >= (F.col("qn") + F.col("mn")) * (least / (1 + least)) - _EPS).select("q", "m")
+    (n, n_words), (m, m_words) = measure(asked), measure(stored)
+    # Which words have slots of their own decides how much is compared and never what is found.
+    some = sets(sample(stored, m)).select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    frequent = np.sort(np.array([r["w"] for r in some.orderBy(F.desc("n"), "w").limit(_OWN).collect()], np.int64))
+    slots = 2 * spark.sparkContext.defaultParallelism
+    wanted = -(-slots * m_words // max(n_words, 1))
+    nb = max(1, min(m, max(int(np.ceil(np.sqrt(wanted))), -(-m_words // part_words))))
+    na = max(1, min(n, max(-(-slots // nb), -(-n_words // part_words))))
+
+    def meet(df: DataFrame, parts: int, others: int, side: int) -> DataFrame:
+        part, other = F.pmod(F.xxhash64("key"), F.lit(parts)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        spread = sets(df).withColumn("part", part).withColumn("other", other)
+        cell = F.col("other") * nb + F.col("part") if side else F.col("part") * nb + F.col("other")
+        return spread.select("key", "text", "words", "at", "id", cell.cast("int").alias("cell"), F.lit(side).alias("side"))
+
+    both = meet(asked, na, nb, 0).unionByName(meet(stored, nb, na, 1))
+    return both.repartitionById(na * nb, "cell").mapInArrow(_best_of_cells(frequent, least, threshold), "q string, m string, at long, id long, similarity double")
 
 
 def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, score: str = "full", question: str = "question",
@@ -284,21 +432,8 @@ def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, sc
                 rows.append(held.filter("q <> m").withColumn("similarity", F.lit(sim.CONTAINED)))
     if score != "exact_contains":
         least = threshold if score == "jaccard" else (threshold - sim.SEQUENCE_WEIGHT) / sim.WORD_WEIGHT
-        pairs = _overlapping(asked, stored, least, block)
-        full = (pairs.join(asked.select(F.col("key").alias("q"), F.col("text").alias("qt")), "q")
-                .join(stored.select(F.col("key").alias("m"), F.col("text").alias("mt"), "at", "id"), "m"))
-        sets = F.struct(sim.word_set("qt").alias("q"), sim.word_set("mt").alias("m"))
-        jaccard = let(sets, lambda v: sim.jaccard_of_sets(v["q"], v["m"]))
-        if score == "jaccard":
-            scored = compute_once(full, {"similarity": jaccard})
-        else:
-            # Equal texts and those that hold each other have their rows already.
-            full = compute_once(full, {"value": _quick(F.col("qt"), F.col("mt")), "jaccard": jaccard}).filter(F.col("value") == 0)
-            bound = sim.blended(sim.ratio_bound(F.col("qt"), F.col("mt")), F.col("jaccard"))
-            need = (F.lit(threshold) - sim.WORD_WEIGHT * F.col("jaccard")) / sim.SEQUENCE_WEIGHT - _EPS
-            scored = full.filter(bound >= threshold - _EPS).withColumn("similarity", sim.blended(
-                sim.sequence_ratio_at_least("qt", "mt", need), F.col("jaccard")))
-        rows.append(scored.filter((F.col("similarity") >= threshold) & (F.col("similarity") > 0)).select("q", "m", "at", "id", "similarity"))
+        rows.append(_best_overlapping(asked, stored, least, None if score == "jaccard" else threshold).filter(
+            (F.col("similarity") >= threshold) & (F.col("similarity") > 0)))
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more)

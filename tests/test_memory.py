@@ -116,6 +116,31 @@ def test_recall_native_scores(spark, score, threshold):
             assert {r["n"]: r["match_id"] for r in again} == recent
 
 
+@pytest.mark.parametrize("threshold", [None, 0.7])
+def test_overlapping_keeps_the_best_of_each_part(spark, threshold):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    texts = sorted({" ".join(rng.sample(words, 6)) for _ in range(700)})
+    data = [(f"k{i:04d}", t, i, i % 7) for i, t in enumerate(texts)]
+    stored = spark.createDataFrame(data, "key string, text string, at long, id long")
+    asked = stored.filter("at % 5 = 0").withColumn("key", F.concat(F.lit("a"), "key"))
+    found = recall._best_overlapping(asked, stored, 0.5 if threshold is None else 0.25, threshold, 900).collect()
+    assert len(found) < 30 * asked.count()  # every overlapping pair left its task before
+
+    def score(x, y):
+        both = len({*x.split()} & {*y.split()})
+        jaccard = both / (12 - both)
+        return jaccard if threshold is None else difflib.SequenceMatcher(None, x, y).ratio() * 0.6 + jaccard * 0.4 if x != y else 0.0
+
+    best = {}
+    for r in found:
+        best[r["q"]] = max(best.get(r["q"], (0, 0)), (r["similarity"], r["at"]))
+    least = 0.5 if threshold is None else threshold
+    for key, text, *_ in data[::5]:
+        want = max((score(text, t), at) for _, t, at, _ in data)
+        assert best.get("a" + key, (0, 0)) == (want if want[0] >= least else (0, 0))
+
+
 def test_recall_refuses_what_it_cannot_prune(spark):
     memory = spark.createDataFrame([(1, "a", START)], "id long, question string, created_at timestamp")
     with pytest.raises(ValueError):

@@ -8,9 +8,9 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from corpusmill.session import scratch_path
+from corpusmill.session import scratch_path, small_batches  # noqa: F401
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,13 +47,6 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """At most ``rows`` rows in an Arrow batch of this session: whole texts are large, and a batch must fit in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Runs of characters other than space and \\x09-\\x0D, in UTF-8; ``lower`` changes A-Z alone. None has no words."""
     raw = (text or "").encode("utf-8", "surrogatepass")

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from corpusmill.session import small_batches
+
 # A factory makes the model once per task; the model maps a list of prompts to a list of texts.
 Model = Callable[[Sequence[str]], Sequence[str]]
 RESULT = "text string, status string, error string"
@@ -45,6 +47,7 @@ def apply_generator(df: DataFrame, make_model: Callable[[], Model], prompt: str,
             yield pd.DataFrame([rows.get(i, (None, "skipped", None)) for i in prompts.index],
                                columns=["text", "status", "error"])
 
+    small_batches(df.sparkSession)
     source = df.repartition(partitions) if partitions else df
     # A model may answer differently each time: never run it twice for one reference.
     return source.withColumn(out, run.asNondeterministic()(F.col(prompt)))

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from corpusmill.functions import sequences as seq
 from corpusmill.operators.filters import not_blank
 from corpusmill.operators.ordering import global_rank, top_k
-from corpusmill.session import cut_lineage
+from corpusmill.session import cut_lineage, small_batches
 
 # The characters that part words, and the first id of a word.
 FILTERED = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
@@ -71,6 +71,7 @@ def token_encoder(vocabulary: DataFrame, max_words: int = BROADCAST_WORDS, max_b
     rows, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
     if rows > max_words or size > max_bytes:
         return None
+    small_batches(spark)
     known = table.toArrow().sort_by("word")
     shared = spark.sparkContext.broadcast((known.column("word").combine_chunks(), known.column("id").to_numpy()))
 

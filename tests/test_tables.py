@@ -311,3 +311,19 @@ def test_vectors_are_shipped_once_a_part_and_met_exactly(spark):
 def test_let_and_checkpoint(spark):
     df = frame(spark, [(2,)], "x int").select(let(F.col("x"), lambda v: v * v).alias("y"))
     assert cut_lineage(df).first()["y"] == 4
+
+
+def test_models_and_encoders_see_small_batches(spark):
+    from corpusmill.operators.generate import apply_generator
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        asked = spark.range(0, 1200, 1, 1).select("id", F.col("id").cast("string").alias("p"))
+        sizes = {int(r["g"]["text"]) for r in apply_generator(asked, lambda: lambda prompts: [str(len(prompts))] * len(prompts), "p", "g").collect()}
+        assert max(sizes) <= 500
+        spark.conf.set(key, "10000")
+        assert vocab.token_encoder(vocab.build_vocabulary(asked, "p", 50, 1)) and int(spark.conf.get(key)) <= 500
+    finally:
+        spark.conf.set(key, before)

@@ -20,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusmill.llm.bpe import WORD_PATTERN, Recent, Vocabulary, segments
-from corpusmill.llm.words import process_cache, small_batches
+from corpusmill.llm.words import process_latest, small_batches
+
+#: Finished words and chunks that a worker keeps (of each as many older ones): about 120 MB at most.
+WORDS, CHUNKS = 100_000, 80_000
 
 
 def compile_lexicon(words: Sequence[bytes], ids: Sequence[Sequence[int]]) -> bytes:
@@ -111,8 +114,8 @@ class _Codec:
 
         self.vocabulary, self.lexicon = Vocabulary(path), Lexicon(block)
         self.split = regex.compile(WORD_PATTERN).findall
-        self.words = Recent(self.word, 300_000)
-        self.chunks = Recent(self.chunk, 250_000)
+        self.words = Recent(self.word, WORDS)
+        self.chunks = Recent(self.chunk, CHUNKS)
         self.odd = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space, the tokenizer does not
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
@@ -150,8 +153,7 @@ class _Codec:
 
 def _encode(path: str, block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = hashlib.sha256(block.value).hexdigest()
-        codec = process_cache(f"word codec {path} {name}", lambda: _Codec(path, block.value))
+        codec = process_latest("word codec", f"{path} {hashlib.sha256(block.value).hexdigest()}", lambda: _Codec(path, block.value))
         for batch in batches:
             coded = [codec.text(t) for t in batch.column("__text").to_pylist()]
             names = [n for n in batch.schema.names if n != "__text"]

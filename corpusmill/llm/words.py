@@ -23,6 +23,15 @@ def process_cache(name: str, make: Callable[[], object]) -> object:
     return kept.__dict__[name]
 
 
+def process_latest(name: str, key: str, make: Callable[[], object]) -> object:
+    """Like ``process_cache``, but only the value of the last ``key`` stays: a worker that serves many jobs holds one of them."""
+    held = process_cache(name, dict)
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, lost executors don't matter.
 

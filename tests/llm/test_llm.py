@@ -3,10 +3,12 @@ import os
 import random
 import sys
 import textwrap
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -79,6 +81,17 @@ def test_bpe_lexicon(docs, rows, empty):
     assert bpe_lexicon.encode(empty, WORDS).count() == 0
 
 
+def test_worker_holds_one_word_codec():
+    """Codecs of earlier jobs are let go: a worker that serves many lexicons holds the caches of the last one only."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["walking on"])], ["doc_id", "__text"])
+    blocks = [types.SimpleNamespace(value=bpe_lexicon.compile_lexicon([w], [[7]])) for w in (b"on", b"walking")]
+    before = set(sys.modules.get("corpusmill_process_cache", types.ModuleType("none")).__dict__)
+    first, second, _ = (next(bpe_lexicon._encode(WORDS, b)(iter([batch]))).column("ids")[0].as_py() for b in [*blocks, blocks[1]])
+    assert first[-4:] == second[:4] == np.array([7], "<u4").tobytes() and first != second
+    made = {k: v for k, v in sys.modules["corpusmill_process_cache"].__dict__.items() if k not in before}
+    assert len(made) == 1 and all(len(v) == 1 for v in made.values())
+
+
 def test_lexicon_is_minimal_and_exact():
     words = sorted({w.encode() for w in ("walking", "talking", "stalking", "walk", "talk", "stalk", "é")})
     block = bpe_lexicon.compile_lexicon(words, [[i, i + 1] for i in range(len(words))])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.words import stored
+from corpusmill.llm.words import shuffles_removed, stored
 
 #: Size steps to each doubling, and hash parts of a size step: blocks are at most shards * 31 * 4 * 8, whatever the input.
 _STEPS, _PARTS = 4, 8
 
+#: Parts of all rows by a hash of their number, in the order of the slots; and waves in which rows are rewritten, each of as many parts.
+_DEALT, WAVES = 256, 8
+
 #: The row's number, from ``numbered``.
 SERIAL = "__serial"
 
@@ -127,7 +131,7 @@ def reshard(docs: DataFrame, old_shard: Column, shards: int = 16, key: str = "do
     base = stored(base, "shards")  # numbered once, then read from files
     first = stored(_moved(base.withColumn("shard", F.col("old")), shards, False), "shards")
     last = stored(_moved(first, shards, True), "shards")
-    dealt = last.withColumn("part", F.pmod(F.xxhash64(F.col("serial")), F.lit(256)).cast("int"))
+    dealt = last.withColumn("part", F.pmod(F.xxhash64(F.col("serial")), F.lit(_DEALT)).cast("int"))
     counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("serial"))
@@ -142,6 +146,8 @@ def rewrite(docs: DataFrame, plan: DataFrame, folder: str, key: str = "doc_id")
     Shards that neither gave nor took a row keep their old files and are not read again; an affected shard that has no row left loses
     its files. Rows from ``numbered`` are met by their ``SERIAL``, so null and repeated keys are rows like others (and ``folder`` may be where the
     rows came from); other rows are met by ``key``, and a null or repeated one raises.
+    The texts move in ``WAVES``, each with a part of the rows, and the shuffle files of a wave go when it has ended. A wave holds one stretch of
+    a shard's slots (where ``SERIAL`` is known). New files replace the old ones when all waves are written.
     """
     by = SERIAL if SERIAL in docs.columns else key
     if by == key and not plan.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
@@ -149,12 +155,19 @@ def rewrite(docs: DataFrame, plan: DataFrame, folder: str, key: str = "doc_id")
     moves = plan.where("old_shard <> shard")
     touched = sorted(r[0] for r in moves.select("old_shard").union(moves.select("shard")).distinct().collect())
     wanted = plan.where(F.col("shard").isin(touched)).select(by, "shard", "slot")
-    rows = docs.drop("shard", "slot").join(wanted, by).drop(SERIAL)
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").option(
-        "partitionOverwriteMode", "dynamic").mode("overwrite").parquet(folder)
-    filled = {r[0] for r in wanted.select("shard").distinct().collect()}
-    jvm, conf = plan.sparkSession._jvm, plan.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for shard in set(touched) - filled:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/shard={shard}")
-        path.getFileSystem(conf).delete(path, True)
+    wave = F.floor(F.pmod(F.xxhash64(F.col(by)), F.lit(_DEALT)) / (_DEALT // WAVES))
+    spark, fresh = plan.sparkSession, f"{folder}/_new-{uuid.uuid4().hex}"  # readers pass over names with a line in front
+    for i in range(WAVES if touched else 0):
+        rows = docs.drop("shard", "slot").where(wave == i).join(wanted.where(wave == i), by).drop(SERIAL)
+        with shuffles_removed(spark):
+            rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("append").parquet(fresh)
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    at = jvm.org.apache.hadoop.fs.Path(fresh)
+    files = at.getFileSystem(conf)
+    for shard in touched:
+        old, new = (jvm.org.apache.hadoop.fs.Path(f"{root}/shard={shard}") for root in (folder, fresh))
+        files.delete(old, True)
+        if files.exists(new) and not files.rename(new, old):
+            raise OSError(f"the new files of shard {shard} stay in {fresh}")
+    files.delete(at, True)
     return touched

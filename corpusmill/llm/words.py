@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.session import scratch_path, small_batches  # noqa: F401
 
@@ -32,19 +33,24 @@ def process_latest(name: str, key: str, make: Callable[[], object]) -> object:
     return held[key]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, lost executors don't matter.
-
-    Nothing needs the shuffle files of that job once it has ended, so Spark may remove them at once.
-    """
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path = scratch_path(spark, name)
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Nothing needs the shuffle files of the jobs inside once they have ended, so Spark may remove them at once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends there, lost executors don't matter."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

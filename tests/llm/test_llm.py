@@ -136,6 +136,20 @@ def test_rewrite_keeps_null_and_repeated_keys_and_untouched_shards(spark, tmp_pa
         resharding.rewrite(docs.drop(resharding.SERIAL), plan, folder)
 
 
+def test_rewrite_moves_the_texts_in_waves(spark, tmp_path):
+    """No job shuffles more than a part of the rows; a file holds one gapless stretch of its shard's slots."""
+    docs = resharding.numbered(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("ab ").alias("text")))
+    plan = resharding.stored(resharding.reshard(docs, F.lit(0), shards=4), "plan")
+    folder = tmp_path / "new"
+    assert resharding.rewrite(docs, plan, str(folder)) == [0, 1, 2, 3]
+    files = {f: spark.read.parquet(str(f)) for f in folder.glob("shard=*/*.parquet")}
+    jobs = {f: f.name.split("-", 2)[2].rsplit("-c", 1)[0] for f in files}
+    held = {f: sorted(r.slot for r in t.select("slot").collect()) for f, t in files.items()}
+    assert all(s == list(range(s[0], s[0] + len(s))) for s in held.values()) and sum(map(len, held.values())) == 4000
+    assert max(sum(len(held[f]) for f in files if jobs[f] == job) for job in jobs.values()) <= 1000
+    assert sorted(f.name for f in folder.iterdir() if f.is_dir()) == [f"shard={i}" for i in range(4)]
+
+
 def test_rewrite_empties_a_shard_without_rows(spark, tmp_path):
     folder = str(tmp_path / "shards")
     spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, shard int").write.partitionBy("shard").parquet(folder)

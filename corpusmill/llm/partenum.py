@@ -3,13 +3,15 @@
 Sets are put in size bands. Inside a band two sets with the wanted similarity differ in at most ``d`` elements. The hashed domain
 is cut into partitions: with more than ``d`` of them one partition agrees in both sets, so the projection on that partition
 is a signature both share. For few differences (``d`` up to 3) the subsets of three out of ``d + 3`` partitions are enumerated
-instead. A set also signs in the next band when a partner may lie there. With ``d + 1 + spare`` partitions two similar sets share at
+instead. For many differences (``d`` above ``LARGE``) the domain is cut into groups of three partitions: one group holds at most one difference, so
+two of its three partitions agree, and each two of a group are a signature (of more elements, which unrelated sets share less). A set also signs in the next band when a partner may lie there. With ``d + 1 + spare`` partitions two similar sets share at
 least ``1 + spare`` signatures of a band, so each set leaves out its ``spare`` most frequent ones and still meets every partner
 under one of the rest (prefix filtering); one that shares no more than ``spare`` signatures with others has no partner there.
 
 Sets that are equal form a class (64-bit fingerprint). Signatures with few classes give all their pairs. Of larger ones,
-round one compares every class with the smallest one, round two what shares the signature but is still in different
-components, so a group of m look-alikes costs m comparisons, and no link between components is lost. In a batch of
+round one compares every class with the smallest one, the next ``STARS`` rounds with one of the largest component and one outside of it, the last round
+all that share the signature but are still in different components, so a group of m look-alikes costs m comparisons a round, and no link
+between components is lost. In a batch of
 rows only the first class of a signature travels; the others are tied to it at once. A lower bound on the difference (counts of elements in
 slots) drops most pairs, the rest is compared exactly on the 64-bit shingles.
 """
@@ -34,6 +36,8 @@ MAP_BITS = 1 << 23
 SLOTS, WIDE, FEW = 64, 1024, 16
 #: Bits of a parity: unrelated sets differ in half of them, which tells sets of up to about three times as many elements apart.
 PARITY = 1024
+#: Differences above which signatures are made of two partitions out of three, and rounds with two more centres a signature.
+LARGE, STARS = 200, 2
 
 
 def shingle_set(words: list[bytes], n: int) -> np.ndarray:
@@ -55,7 +59,7 @@ def size_bands(top: int, num: int, den: int) -> list[tuple[int, int, int]]:
 
 
 def spare_parts(differences: int) -> int:
-    """Partitions beyond ``differences + 1``; none where subsets are enumerated."""
+    """Partitions (or groups of them) beyond those that must agree; none where subsets are enumerated."""
     return 0 if differences <= 3 else 1 + differences // 12
 
 
@@ -79,8 +83,13 @@ def signatures(elements: np.ndarray, bands: list[tuple[int, int, int]], num: int
     for b, differences in bands_of(len(elements), bands, num, den):
         spread, value = mix(elements ^ _FIRST), mix(elements ^ _SECOND)
         few = differences <= 3
-        parts = differences + 3 if few else differences + 1 + spare_parts(differences)
-        part = (spread % np.uint64(parts)).astype(np.int64)
+        if differences > LARGE:
+            groups = differences // 2 + 1 + spare_parts(differences)
+            parts = 3 * groups
+            part = (spread % np.uint64(groups) * np.uint64(3) + spread // np.uint64(groups) % np.uint64(3)).astype(np.int64)
+        else:
+            parts = differences + 3 if few else differences + 1 + spare_parts(differences)
+            part = (spread % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         count = np.bincount(part, minlength=parts)
         sums = np.r_[np.uint64(0), np.cumsum(value[order], dtype=np.uint64)]
@@ -91,6 +100,8 @@ def signatures(elements: np.ndarray, bands: list[tuple[int, int, int]], num: int
             total = total[chosen].sum(axis=1, dtype=np.uint64)
             names = np.arange(len(chosen), dtype=np.uint64)
         else:
+            if differences > LARGE:
+                total = (total.reshape(-1, 3) + np.roll(total.reshape(-1, 3), 1, axis=1)).ravel()
             names = np.arange(parts, dtype=np.uint64)
         named = mix(total + mix(names + np.uint64(b << 32) + np.uint64(1)))
         out.append(named & ~np.uint64(1) | np.uint64(b & 1))
@@ -236,15 +247,42 @@ def _fewest(far: DataFrame, near: DataFrame, texts: DataFrame) -> tuple[DataFram
             .unionByName(tied.select("sign", F.col("center").alias("k"), "center", "m", F.lit(2).alias("kind")).distinct()))
     odd = F.col("sign").bitwiseAND(F.lit(1)).cast("int")
     rank = F.dense_rank().over(Window.partitionBy("k", "odd").orderBy(F.desc("m"), "sign"))
-    left = stored(rows.join(texts.select("k", "spare"), "k").withColumn("odd", odd).withColumn("rank", rank)
-                  .where("rank > spare[odd] AND kind < 2").select("sign", "k", "center", "kind"), "members")
+    left = stored(rows.join(texts.select("k", "spare", F.col("n_shingles").alias("n")), "k").withColumn("odd", odd).withColumn("rank", rank)
+                  .where("rank > spare[odd] AND kind < 2").select("sign", "k", "n", "center", "kind"), "members")
     discard(far)
     discard(near)
     whole = Window.partitionBy("sign")
-    kept = stored(left.where("kind = 0").select("sign", "k", F.min("k").over(whole).alias("center"), F.count("k").over(whole).alias("m")), "members")
+    kept = stored(left.where("kind = 0").select("sign", "k", "n", F.min("k").over(whole).alias("center"), F.count("k").over(whole).alias("m")), "members")
     return kept, left.where("kind = 1").select("sign", "k", "center")
 
 
+def _mixed(many: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members ``(sign, k, component, main, n, p0, ...)`` of the signatures that reach over several components; ``main`` is the largest one there."""
+    placed = many.join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    mixed = (placed.groupBy("sign", "component").agg(F.count("*").alias("m")).groupBy("sign")
+             .agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sign", "main"))
+    return stored(placed.join(mixed, "sign").join(
+        texts.select("k", F.col("n_shingles").alias("n"), *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY // 64)]), "k"), "placed")
+
+
+def _strangers(there: DataFrame, num: int, den: int, turn: int | None) -> DataFrame:
+    """Pairs ``(a, b)`` that share a signature across components, of sizes and parities that allow the threshold: of all classes outside the
+    main component, or, with a ``turn``, of one inside and one outside in each signature."""
+    parities = range(PARITY // 64)
+    if turn is None:
+        strange = there.where("component <> main")
+    else:
+        drawn = F.struct(F.xxhash64("k", F.lit(turn)), "k", "component", "n", *[f"p{i}" for i in parities])
+        strange = there.groupBy("sign", F.expr("component = main").alias("home")).agg(F.min(drawn).alias("s")).select("sign", "s.*")
+    strange = strange.select("sign", F.col("k").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *[F.col(f"p{i}").alias(f"x{i}") for i in parities])
+    differing = " + ".join(f"bit_count(p{i} ^ x{i})" for i in parities)
+    once = "(component = main OR k < x) AND " if turn is None else ""
+    # Sizes and parities are compared in the join, so it gives only pairs that may be similar.
+    return there.join(strange, "sign").where(
+        f"component <> cx AND {once}{den}L * least(n, nx) >= {num}L * greatest(n, nx) AND {den + num}L * ({differing}) <= {den - num}L * (n + nx)").select(
+        F.least("k", "x").alias("a"), F.greatest("k", "x").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Per row of ``docs``: ``__id`` (its key), ``__text_key``, ``n_shingles``, ``k`` (class of equal sets), ``component`` (of classes).
 
@@ -267,31 +305,28 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     members = stored(signed_rows.select("__id", "__text_key", "n_shingles", "k"), "members")
     discard(signed_rows)
     far, near = _fewest(far, near, texts)
-    groups = far.where(f"m <= {FEW}").groupBy("sign").agg(F.sort_array(F.collect_set("k")).alias("g"))
-    every = groups.select(F.explode(F.expr("flatten(transform(g, (a, i) -> transform(slice(g, i + 2, size(g)), b -> struct(a, b))))")).alias("p")).select("p.a", "p.b")
+    groups = far.where(f"m <= {FEW}").groupBy("sign").agg(F.sort_array(F.collect_set(F.struct("k", "n"))).alias("g"))
+    sizes = f"{den}L * least(a.n, b.n) >= {num}L * greatest(a.n, b.n)"
+    every = groups.select(F.explode(F.expr(
+        f"flatten(transform(g, (a, i) -> transform(filter(slice(g, i + 2, size(g)), b -> {sizes}), b -> struct(a.k AS a, b.k AS b))))")).alias("p")).select("p.a", "p.b")
     star = far.where(f"m > {FEW} AND k <> center").select("center", "k").union(near.select("center", "k")).select(
         F.least("center", "k").alias("a"), F.greatest("center", "k").alias("b"))
     first = stored(every.union(star).where("a < b").distinct(), "pairs")
     links = _links(first, texts, rows, n, num, den)
-    found = components(links)
     tied = near.select("sign").distinct()
     local = near.select("sign", "k").union(near.select("sign", F.col("center").alias("k")))
-    many = far.where(f"m > {FEW}").select("sign", "k").union(local).union(far.select("sign", "k").join(tied, "sign", "left_semi")).distinct()
-    placed = stored(many.join(found.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k")), "placed")
-    mixed = (placed.groupBy("sign", "component").agg(F.count("*").alias("m")).groupBy("sign")
-             .agg(F.max_by("component", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sign", "main"))
-    # Sizes and parities are compared in the join, so it gives only pairs that may be similar.
-    there = stored(placed.join(mixed, "sign").join(
-        texts.select("k", F.col("n_shingles").alias("n"), *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY // 64)]), "k"), "placed")
-    strange = there.where("component <> main").select(
-        "sign", F.col("k").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *[F.col(f"p{i}").alias(f"x{i}") for i in range(PARITY // 64)])
-    differing = " + ".join(f"bit_count(p{i} ^ x{i})" for i in range(PARITY // 64))
-    second = (there.join(strange, "sign").where(
-        f"component <> cx AND (component = main OR k < x) AND {den}L * least(n, nx) >= {num}L * greatest(n, nx) "
-        f"AND {den + num}L * ({differing}) <= {den - num}L * (n + nx)")
-              .select(F.least("k", "x").alias("a"), F.greatest("k", "x").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = _links(second, texts, rows, n, num, den)
-    grouped = components(links.unionByName(more)).withColumnRenamed("node", "k")
+    many = stored(far.where(f"m > {FEW}").select("sign", "k").union(local).union(far.select("sign", "k").join(tied, "sign", "left_semi")).distinct(), "many")
+    tried, found = first, components(links)
+    for turn in [*range(STARS), None]:
+        there = _mixed(many, found, texts)
+        pairs = stored(_strangers(there, num, den, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = _links(pairs, texts, rows, n, num, den)
+        discard(there)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
+        tried = tried.unionByName(pairs)
+    grouped = found.withColumnRenamed("node", "k")
     return members.join(grouped, "k", "left").select(
         "__id", "__text_key", "n_shingles", "k", F.coalesce("component", "k").alias("component"))
 

@@ -227,6 +227,28 @@ def test_near_components_of_long_texts_with_common_passages(spark):
     assert got == want and len({c for _, _, c in want}) < len(rows) - 60
 
 
+def test_look_alikes_across_components_cost_few_pairs(spark, monkeypatch):
+    """A large group of near copies, many just too far apart to link, which the first centre leaves in pieces: the last round compares few of them."""
+    rng = np.random.default_rng(3)
+    base = [f"v{i}" for i in range(400)]
+    rows: list[tuple[int, str]] = []
+    for i in range(300):
+        copy = list(base)
+        for place in rng.integers(0, 400, int(rng.integers(3, 8))):
+            copy[place] = f"x{rng.integers(0, 10_000)}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    compared, links = [], partenum._links
+
+    def counted(pairs, *others):
+        compared.append(pairs.count())
+        return links(pairs, *others)
+
+    monkeypatch.setattr(partenum, "_links", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in partenum.near_components(docs).collect())
+    assert got == sorted(brute.components(rows, 4, 85, 100)) and compared[-1] <= 100
+
+
 def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 101), (5, 4)], "a long, b long")
     got = {r.node: r.component for r in graph.components(edges).collect()}

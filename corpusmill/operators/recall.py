@@ -1,7 +1,7 @@
 """Find the best stored question for each asked one.
 
 Recent mode scores against the newest ``recent_n`` rows: they fit into one array, which comes in as a scalar subquery,
-so a question is scored in a projection without any shuffle.
+so a question is scored in a projection without any shuffle. By word overlap alone, a task counts the common words with all of them at once.
 
 Whole-memory mode finds candidates exactly: equal texts by digest, contained texts by an automaton over all short texts that reads
 every long text once (or, for very many short texts, by a rare inner word pair), and overlapping texts by products of word counts
@@ -15,12 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusmill.functions import similarity as sim
 from corpusmill.functions.text import let, words
 from corpusmill.operators.feedback import latest_per_key
-from corpusmill.session import broadcast_if_small, compute_once, cut_lineage
+from corpusmill.session import broadcast_if_small, compute_once, cut_lineage, small_batches
 
 SCORES = ("full", "jaccard", "exact_contains")
 _EPS = 1e-9
@@ -57,18 +57,17 @@ def recall_recent(queries: DataFrame, memory: DataFrame, threshold: float = 0.7,
         raise ValueError(f"recent_n must be in 1..{MAX_RECENT}")
     newest = memory.select("id", "question", "created_at").orderBy(F.desc("created_at"), F.desc("id")).limit(recent_n)
     stored = sim.normalized("question")
+    if score == "jaccard":
+        return _recent_overlap(queries, newest, threshold, question)
     array = newest.agg(F.collect_list(F.struct(
         "created_at", "id", "question", stored.alias("text"), sim.word_set(stored).alias("words"))).alias("m"))
     asked = F.struct(sim.normalized(question).alias("text"), sim.word_set(sim.normalized(question)).alias("words"))
 
     def facts(q, m):
         jaccard = sim.jaccard_of_sets(q["words"], m["words"]) if score != "exact_contains" else F.lit(0.0)
-        if score == "jaccard":
-            value = bound = jaccard
-        else:
-            value = _quick(q["text"], m["text"])
-            bound = value if score == "exact_contains" else F.when(value > 0, value).otherwise(
-                sim.blended(sim.ratio_bound(q["text"], m["text"]), jaccard))
+        value = _quick(q["text"], m["text"])
+        bound = value if score == "exact_contains" else F.when(value > 0, value).otherwise(
+            sim.blended(sim.ratio_bound(q["text"], m["text"]), jaccard))
         return F.struct(m["created_at"].alias("at"), m["id"].alias("id"), m["question"].alias("question"),
                         m["text"].alias("text"), value.alias("value"), jaccard.alias("jaccard"), bound.alias("bound"))
 
@@ -99,6 +98,60 @@ def recall_recent(queries: DataFrame, memory: DataFrame, threshold: float = 0.7,
                       F.col("_b.question").alias("match_question"), F.col("_b.similarity").alias("similarity"))
 
 
+def _overlaps(held, threshold: float):
+    """Per row the place of the best of the stored word sets (best first among equals) and its Jaccard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = held.value
+        sizes = np.array([len(s) for s in sets], np.int64)
+        known = pa.array(sorted({w for s in sets for w in s}), pa.string())
+        at = {w: i for i, w in enumerate(known.to_pylist())}
+        word = np.array([at[w] for s in sets for w in s], np.int64)
+        order = np.argsort(word, kind="stable")
+        of = np.repeat(np.arange(len(sets)), sizes)[order]  # the sets of each word, word by word
+        first = np.r_[0, np.cumsum(np.bincount(word, minlength=len(at)))].astype(np.int64)
+        for batch in batches:
+            asked = batch.column("__words")
+            n = pc.fill_null(pc.list_value_length(asked), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.fill_null(pc.index_in(asked.flatten(), known), -1).to_numpy(zero_copy_only=False)
+            row, met = np.repeat(np.arange(len(n)), n)[found >= 0], found[found >= 0]
+            common = np.zeros(len(n) * len(sets), np.int64)
+            for lo in range(0, len(met), 1 << 16):
+                r, w = row[lo:lo + (1 << 16)], met[lo:lo + (1 << 16)]
+                times = first[w + 1] - first[w]
+                within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                cells = np.repeat(r, times) * len(sets) + of[np.repeat(first[w], times) + within]
+                if len(cells):
+                    low = int(cells.min())
+                    counts = np.bincount(cells - low)
+                    common[low:low + len(counts)] += counts
+            common = common.reshape(len(n), len(sets))
+            either = n[:, None] + sizes[None, :] - common
+            value = np.where(common > 0, common / np.maximum(either, 1), 0.0)
+            best = value.argmax(axis=1) if len(sets) else np.zeros(len(n), np.int64)
+            top = value[np.arange(len(n)), best] if len(sets) else np.zeros(len(n))
+            miss = (top < threshold) | (top <= 0)
+            names = [c for c in batch.schema.names if c != "__words"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(best.astype(np.int32), mask=miss), pa.array(top, mask=miss)],
+                                             [*names, "__place", "similarity"])
+    return run
+
+
+def _recent_overlap(queries: DataFrame, newest: DataFrame, threshold: float, question: str) -> DataFrame:
+    """Recent mode by Jaccard of words: the newest rows (at most ``MAX_RECENT``) are broadcast as word sets, ties go to the newest."""
+    rows = newest.withColumn("_words", sim.word_set(sim.normalized("question"))).collect()
+    # Ties go to the larger (created_at, id, question), as in the order of structs, where null comes first.
+    rows.sort(key=lambda r: [(x is not None, x) if x is not None else (False, 0) for x in (r["created_at"], r["id"], r["question"])], reverse=True)
+    spark = queries.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast([list(r["_words"] or ()) for r in rows])
+    asked = queries.withColumn("__words", sim.word_set(sim.normalized(question)))
+    schema = T.StructType([*queries.schema.fields, T.StructField("__place", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
+    scored = asked.mapInArrow(_overlaps(held, threshold), schema)
+    partner = spark.createDataFrame([(i, r["id"], r["question"]) for i, r in enumerate(rows)], "__place int, match_id {}, match_question string".format(
+        newest.schema["id"].dataType.simpleString()))
+    return scored.join(F.broadcast(partner), "__place", "left").select(*queries.columns, "match_id", "match_question", "similarity")
+
+
 def _salted(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, block: int) -> DataFrame:
     """Equi-join on ``key`` whose hot values are cut into blocks on both sides; each pair meets once."""
     def blocks(df, name):

@@ -316,3 +316,24 @@ def test_retrain_set_keeps_repeated_pairs(spark):
     memory = spark.createDataFrame(table, "id long, question string, improvement string, confidence_score double")
     made = reflect.build_retrain_set(memory, vocab.build_vocabulary(memory, "improvement", 50, 1), length=8)
     assert sorted(r["count"] for r in made.groupBy("row_id").count().collect()) == [1, 11]
+
+
+def test_recent_overlap_is_counted_once_for_all_stored_rows(spark):
+    """Every asked row against all newest ones in one pass of its task: ties go to the newest, blank and null texts meet nothing."""
+    stored = [(1, "a b c d"), (2, "d c b a"), (3, ""), (4, None), (5, "x y"), (6, "A  b\tq r")]
+    memory = spark.createDataFrame([(i, t, i) for i, t in stored], "id long, question string, created_at long")
+    asked = [(0, "a b c d"), (1, "a b"), (2, None), (3, "  "), (4, "X y z"), (5, "a b c d e f g h i j k l m"), (6, "q R a zz"), (7, "none")]
+    queries = spark.createDataFrame(asked, "k long, question string").repartition(3)
+
+    def best(text, held):
+        words = set((text or "").lower().split())
+        found = [(len(words & w) / len(words | w), i, t) for i, t in held if (w := set((t or "").lower().split())) & words]
+        top = max(found, default=None)
+        return (top[1], top[2], top[0]) if top and top[0] >= 0.3 else (None, None, None)
+
+    for n in (6, 2):
+        got = recall.recall_recent(queries, memory, 0.3, n, "jaccard")
+        assert {r.k: (r.match_id, r.match_question, r.similarity) for r in got.collect()} == {k: best(t, stored[-n:]) for k, t in asked}
+        assert "MapInArrow" in got._jdf.queryExecution().toString() and "array_intersect" not in got._jdf.queryExecution().toString()
+    nothing = recall.recall_recent(queries, memory.limit(0), 0.3, 5, "jaccard").collect()
+    assert len(nothing) == len(asked) and all(r.match_id is None and r.similarity is None for r in nothing)

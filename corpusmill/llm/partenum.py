@@ -6,12 +6,14 @@ is a signature both share. For few differences (``d`` up to 3) the subsets of th
 instead. For many differences (``d`` above ``LARGE``) the domain is cut into groups of three partitions: one group holds at most one difference, so
 two of its three partitions agree, and each two of a group are a signature (of more elements, which unrelated sets share less). A set also signs in the next band when a partner may lie there. With ``d + 1 + spare`` partitions two similar sets share at
 least ``1 + spare`` signatures of a band, so each set leaves out its ``spare`` most frequent ones and still meets every partner
-under one of the rest (prefix filtering); one that shares no more than ``spare`` signatures with others has no partner there.
+under one of the rest (prefix filtering); one that shares no more than ``spare`` signatures with others has no partner there. A set smaller than
+the band's largest has fewer differences from its partners and leaves out as many more, those of partitions that are empty by chance among them.
 
 Sets that are equal form a class (64-bit fingerprint). Signatures with few classes give all their pairs. Of larger ones,
 round one compares every class with the smallest one, the next ``STARS`` rounds with one of the largest component and one outside of it, the last round
 all that share the signature but are still in different components, so a group of m look-alikes costs m comparisons a round, and no link
-between components is lost. In a batch of
+between components is lost. There two classes meet under their first common signature and under those that have none of the ``BEFORE`` signatures before
+them in common, so a pair that shares hundreds is not made hundreds of times. In a batch of
 rows only the first class of a signature travels; the others are tied to it at once. A lower bound on the difference (counts of elements in
 slots) drops most pairs, the rest is compared exactly on the 64-bit shingles.
 """
@@ -19,6 +21,7 @@ slots) drops most pairs, the rest is compared exactly on the 64-bit shingles.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,8 @@ SLOTS, WIDE, FEW = 64, 1024, 16
 PARITY = 1024
 #: Differences above which signatures are made of two partitions out of three, and rounds with two more centres a signature.
 LARGE, STARS = 200, 2
+#: Earlier signatures of a class that a row of the last round carries.
+BEFORE = 16
 
 
 def shingle_set(words: list[bytes], n: int) -> np.ndarray:
@@ -70,10 +75,20 @@ def bands_of(size: int, bands: list[tuple[int, int, int]], num: int, den: int) -
 
 
 def spares(size: int, bands: list[tuple[int, int, int]], num: int, den: int) -> list[int]:
-    """Spare partitions of a set in its even-numbered and in its odd-numbered band."""
+    """Signatures that a set may leave out in its even-numbered and in its odd-numbered band: one less than it shares with any partner there.
+
+    The band is cut for its largest sets. A partner has at most ``size * den / num`` elements, so a smaller set has fewer differences.
+    """
     out = [0, 0]
     for b, differences in bands_of(size, bands, num, den):
-        out[b & 1] = spare_parts(differences)
+        most = (den - num) * (size + min(bands[b][1], size * den // num)) // (den + num)
+        if differences <= 3:
+            shared = math.comb(differences + 3 - most, 3)
+        elif differences > LARGE:
+            shared = differences // 2 + 1 + spare_parts(differences) - most // 2
+        else:
+            shared = differences + 1 + spare_parts(differences) - most
+        out[b & 1] = shared - 1
     return out
 
 
@@ -270,17 +285,21 @@ def _strangers(there: DataFrame, num: int, den: int, turn: int | None) -> DataFr
     main component, or, with a ``turn``, of one inside and one outside in each signature."""
     parities = range(PARITY // 64)
     if turn is None:
-        strange = there.where("component <> main")
+        # Every common signature of two components gives the pair, so one behind another common one may be left out.
+        there = there.withColumn("before", F.collect_list("sign").over(Window.partitionBy("k").orderBy("sign").rowsBetween(-BEFORE, -1)))
+        strange = there.where("component <> main").withColumnRenamed("before", "earlier")
     else:
         drawn = F.struct(F.xxhash64("k", F.lit(turn)), "k", "component", "n", *[f"p{i}" for i in parities])
         strange = there.groupBy("sign", F.expr("component = main").alias("home")).agg(F.min(drawn).alias("s")).select("sign", "s.*")
-    strange = strange.select("sign", F.col("k").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *[F.col(f"p{i}").alias(f"x{i}") for i in parities])
+    carried = ["earlier"] if turn is None else []
+    strange = strange.select("sign", F.col("k").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), *[F.col(f"p{i}").alias(f"x{i}") for i in parities], *carried)
     differing = " + ".join(f"bit_count(p{i} ^ x{i})" for i in parities)
     once = "(component = main OR k < x) AND " if turn is None else ""
+    new = "" if turn is not None else " AND NOT arrays_overlap(before, earlier)"
     # Sizes and parities are compared in the join, so it gives only pairs that may be similar.
     return there.join(strange, "sign").where(
-        f"component <> cx AND {once}{den}L * least(n, nx) >= {num}L * greatest(n, nx) AND {den + num}L * ({differing}) <= {den - num}L * (n + nx)").select(
-        F.least("k", "x").alias("a"), F.greatest("k", "x").alias("b")).distinct()
+        f"component <> cx AND {once}{den}L * least(n, nx) >= {num}L * greatest(n, nx) AND {den + num}L * ({differing}) <= {den - num}L * (n + nx){new}").select(
+        F.least("k", "x").alias("a"), F.greatest("k", "x").alias("b"))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -319,7 +338,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     tried, found = first, components(links)
     for turn in [*range(STARS), None]:
         there = _mixed(many, found, texts)
-        pairs = stored(_strangers(there, num, den, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(_strangers(there, num, den, turn).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = _links(pairs, texts, rows, n, num, den)
         discard(there)
         if not more.isEmpty():

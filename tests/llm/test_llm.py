@@ -249,6 +249,29 @@ def test_look_alikes_across_components_cost_few_pairs(spark, monkeypatch):
     assert got == sorted(brute.components(rows, 4, 85, 100)) and compared[-1] <= 100
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_small_sets_of_a_band_leave_out_empty_partitions(num):
+    """A set at the lower end of its next band has many empty partitions there, under which unrelated sets would meet."""
+    rng = np.random.default_rng(num)
+    bands = partenum.size_bands(1 << 20, num, 100)
+    for low, _, differences in (b for b in bands if 12 < b[2] < 1000):
+        size = -(-low * num // 100)
+        sets = [np.unique(rng.integers(0, 1 << 62, size, dtype=np.uint64)) for _ in range(30)]
+        own, *others = ([s for s in partenum.signatures(x, bands, num, 100).tolist() if s & 1 == bands.index((low, _, differences)) & 1] for x in sets)
+        spare = partenum.spares(size, bands, num, 100)[bands.index((low, _, differences)) & 1]
+        assert len(set(own) & {s for x in others for s in x}) <= spare
+
+
+def test_pairs_that_share_many_signatures_meet_few_times(spark):
+    """Of 200 common signatures the first gives the pair; classes with one common signature among others still meet."""
+    parities = [f"0L AS p{i}" for i in range(partenum.PARITY // 64)]
+    rows = [(s, k, min(k, 2), 1, 50) for s in range(200) for k in (1, 2)]
+    rows += [(1000 + 10 * i + k, k, k, 3, 50) for i in range(30) for k in (3, 4)] + [(5000, 3, 3, 3, 50), (5000, 4, 4, 3, 50)]
+    there = spark.createDataFrame(rows, "sign long, k long, component long, main long, n long").selectExpr("*", *parities)
+    met = [tuple(r) for r in partenum._strangers(there, 80, 100, None).collect()]
+    assert set(met) == {(1, 2), (3, 4)} and len(met) <= 4
+
+
 def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 101), (5, 4)], "a long, b long")
     got = {r.node: r.component for r in graph.components(edges).collect()}

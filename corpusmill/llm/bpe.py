@@ -5,12 +5,16 @@ from __future__ import annotations
 import json
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+
 #: Characters that the tokenizers' patterns call white space (a fixed value).
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: How byte-level vocabularies split a text before merging (a fixed value, with the class above spelled out).
 BYTE_PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: How the lower-case vocabulary with word ends splits (a fixed value).
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: Rank of a pair that no rule merges.
+NONE = 1 << 40
 _AFTER, _BEFORE = list(range(1, 257)), list(range(-1, 255))
 
 
@@ -105,6 +109,54 @@ class Vocabulary:
         return symbols
 
 
+class ManyWords:
+    """Merges many words at once: a round makes the merge of lowest rank (the leftmost of these) in every unfinished word."""
+
+    def __init__(self, rules: Vocabulary):
+        pairs = np.array([(left << 32 | right, rank) for left, held in enumerate(rules.rules) for right, rank in held.items()], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.keys, self.ranks = np.r_[pairs[:, 0], np.int64(1) << 62], np.r_[pairs[:, 1], NONE]
+        self.made, self.first, self.last = (np.array(x, np.int64) for x in (rules.made, rules.first, rules.last))
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the (non-empty) words in a row, and where each word ends."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbols, word = self.first[raw], np.repeat(np.arange(len(words)), sizes)
+        ends = np.cumsum(sizes) - 1
+        symbols[ends] = self.last[raw[ends]]
+        ranks = np.full(len(symbols), NONE)
+        inner = np.flatnonzero(word[:-1] == word[1:])
+        ranks[inner] = self.rank(symbols[inner], symbols[inner + 1])
+        done = []
+        while len(word):
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            count = np.diff(np.r_[starts, len(word)])
+            lowest = np.repeat(np.minimum.reduceat(ranks, starts), count)
+            going = lowest < NONE
+            done.append((word[~going], symbols[~going]))
+            word, symbols, ranks, lowest = word[going], symbols[going], ranks[going], lowest[going]
+            at = np.flatnonzero(ranks == lowest)
+            at = at[np.r_[True, word[at[1:]] != word[at[:-1]]]] if len(at) else at
+            symbols[at] = self.made[ranks[at]]
+            kept = np.ones(len(word), bool)
+            kept[at + 1] = False
+            word, symbols, ranks = word[kept], symbols[kept], ranks[kept]
+            at = at - np.arange(len(at))
+            for left in (at, at[at > 0] - 1):
+                ranks[left] = NONE
+                left = left[left + 1 < len(word)]
+                left = left[word[left] == word[left + 1]]
+                ranks[left] = self.rank(symbols[left], symbols[left + 1])
+        word, symbols = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return symbols[np.argsort(word, kind="stable")], np.cumsum(np.bincount(word, minlength=len(words)))
+
+
 class Recent(dict):
     """Finished words by text: misses are computed; when full the older half of what was not asked for again goes."""
 

@@ -19,11 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusmill.llm.bpe import WORD_PATTERN, Recent, Vocabulary, segments
+from corpusmill.llm.bpe import WORD_PATTERN, ManyWords, Vocabulary, segments
 from corpusmill.llm.words import process_latest, small_batches
 
-#: Finished words and chunks that a worker keeps (of each as many older ones): about 120 MB at most.
-WORDS, CHUNKS = 100_000, 80_000
+#: Finished words and chunks that a worker keeps (of each as many older ones, and those of one group more).
+WORDS, CHUNKS = 100_000, 150_000
+#: Characters of the texts that are coded together, and bytes above which a word is merged by itself.
+GROUP, LONG = 1_000_000, 64
+
+
+_BYTES = [bytes([b]) for b in range(256)]
 
 
 def compile_lexicon(words: Sequence[bytes], ids: Sequence[Sequence[int]]) -> bytes:
@@ -91,12 +96,13 @@ class Lexicon:
     def find(self, word: bytes) -> list[int] | None:
         """The ids of a word, None if the lexicon lacks it."""
         state, place, find, base = self.root, 0, self.memory.find, self.labels
-        for i in range(len(word)):
-            arc = find(word[i:i + 1], base + self.first[state], base + self.first[state + 1]) - base
+        first, outputs, targets = self.first, self.outputs, self.targets
+        for byte in word:
+            arc = find(_BYTES[byte], base + first[state], base + first[state + 1]) - base
             if arc < 0:
                 return None
-            place += self.outputs[arc]
-            state = self.targets[arc]
+            place += outputs[arc]
+            state = targets[arc]
         if not self.memory[self.finals + state]:
             return None
         return self.ids[self.offsets[place]:self.offsets[place + 1]].tolist()
@@ -109,53 +115,116 @@ def normal(text: str) -> str:
 
 
 class _Codec:
+    """Codes texts group by group: the new chunks of a group are split into words, and its new words are coded together."""
+
     def __init__(self, path: str, block: bytes):
         import regex
 
         self.vocabulary, self.lexicon = Vocabulary(path), Lexicon(block)
+        self.many = ManyWords(self.vocabulary)
         self.split = regex.compile(WORD_PATTERN).findall
-        self.words = Recent(self.word, WORDS)
-        self.chunks = Recent(self.chunk, CHUNKS)
+        self.words, self.chunks = Known(WORDS), Known(CHUNKS)
         self.odd = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space, the tokenizer does not
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
+    def words_of(self, chunk: str) -> list[str]:
         chunk = chunk.lower() if chunk.isascii() else normal(chunk)
         if chunk.isalpha():
-            return self.words[chunk]
+            return [chunk]
         if chunk[:-1].isalpha() and chunk[-1] in ",.":
-            (ids, tokens), (mark, token) = self.words[chunk[:-1]], self.words[chunk[-1]]
-            return ids + mark, tokens + " " + token
-        return self.joined([self.words[w] for w in self.split(chunk)])
+            return [chunk[:-1], chunk[-1]]
+        return self.split(chunk)
 
     @staticmethod
     def joined(found: list[tuple[bytes, str]]) -> tuple[bytes, str]:
         return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        raw = word.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.find(raw)
-        return self.packed(self.vocabulary.ids(raw) if ids is None else ids)
-
     def packed(self, ids: list[int]) -> tuple[bytes, str]:
         return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.vocabulary.tokens[i] for i in ids])
 
-    def text(self, text: str) -> tuple[bytes, str]:
-        found: list[tuple[bytes, str]] = []
+    def learn(self, words: list[str]) -> None:
+        """Codes new words: those of the lexicon by a walk through it, long ones one by one, the others merged together."""
+        rest, raws = [], []
+        for word in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            ids = self.lexicon.find(raw)
+            if ids is None and len(raw) > LONG:
+                ids = self.vocabulary.ids(raw)
+            if ids is None:
+                rest.append(word)
+                raws.append(raw)
+            else:
+                self.words.held[word] = self.packed(ids)
+        if rest:
+            ids, ends = self.many.ids(raws)
+            block, tokens, start = ids.astype("<u4").tobytes(), [self.vocabulary.tokens[i] for i in ids.tolist()], 0
+            for word, end in zip(rest, ends.tolist()):
+                self.words.held[word] = block[4 * start:4 * end], " ".join(tokens[start:end])
+                start = end
+
+    def pieces(self, text: str) -> list[str | int]:
+        """Chunks between white space, and the ids of special strings."""
+        out: list[str | int] = []
         for part in segments(text, self.vocabulary.special):
-            if isinstance(part, int):
-                found.append(self.packed([part]))
-            elif self.odd(part):
-                found.append(self.chunk(part))
+            if isinstance(part, int) or self.odd(part):
+                out.append(part)
             else:  # white space always separates, so its chunks are coded by themselves
-                found += map(self.chunks.__getitem__, part.split())
-        return self.joined(found)
+                out += part.split()
+        return out
+
+    def group(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        cut = [self.pieces(t) for t in texts]
+        new = {c: [c] if isinstance(c, int) else self.words_of(c) for c in self.chunks.missing(set().union(*cut))}
+        made = self.words.missing({w for c, words in new.items() if isinstance(c, str) for w in words})
+        self.learn(made)
+        chunks, words = self.chunks.held, self.words.held
+        for c, inner in new.items():
+            chunks[c] = self.packed(inner) if isinstance(c, int) else self.joined([words[w] for w in inner])
+        out = [self.joined([chunks[c] for c in one]) for one in cut]
+        self.chunks.trim(new)
+        self.words.trim(made)
+        return out
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        start = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= GROUP:
+                yield from self.group(texts[start:i + 1])
+                start, size = i + 1, 0
+        yield from self.group(texts[start:])
+
+
+class Known:
+    """Finished pieces; when more than ``limit`` are held, the ones that were not asked for since the last time go."""
+
+    def __init__(self, limit: int, longest: int = 64):
+        self.limit, self.longest, self.held, self.older = limit, longest, {}, {}
+
+    def missing(self, wanted: set) -> list:
+        """The wanted ones that have to be made; all others are in ``held`` then."""
+        out, held, older = [], self.held, self.older
+        for x in wanted:
+            if x not in held:
+                if x in older:
+                    held[x] = older[x]
+                else:
+                    out.append(x)
+        return out
+
+    def trim(self, made) -> None:
+        """Lets long ones of those just made go, and the older half when full."""
+        for x in made:
+            if isinstance(x, str) and len(x) > self.longest:
+                del self.held[x]
+        if len(self.held) >= self.limit:
+            self.older, self.held = self.held, {}
 
 
 def _encode(path: str, block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = process_latest("word codec", f"{path} {hashlib.sha256(block.value).hexdigest()}", lambda: _Codec(path, block.value))
         for batch in batches:
-            coded = [codec.text(t) for t in batch.column("__text").to_pylist()]
+            coded = list(codec.texts(batch.column("__text").to_pylist()))
             names = [n for n in batch.schema.names if n != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array([len(i) // 4 for i, _ in coded], pa.int64()),

@@ -20,7 +20,7 @@ import brute  # noqa: E402
 import __spark_entry__  # noqa: E402, F401  (ships functions by value)
 import corpus_pipeline  # noqa: E402
 from corpusmill.llm import (  # noqa: E402
-    bpe_lexicon, debruijn, graph, html_tree, lattice, license_rules, packing, partenum, quality_llr, queries, resharding, token_counts)
+    bpe, bpe_lexicon, debruijn, graph, html_tree, lattice, license_rules, packing, partenum, quality_llr, queries, resharding, token_counts)
 
 BYTES, RANKS, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, component_id string, kept string, n_tokens string, score string"
@@ -81,6 +81,25 @@ def test_bpe_lexicon(docs, rows, empty):
     assert bpe_lexicon.encode(empty, WORDS).count() == 0
 
 
+def test_new_words_are_merged_together(monkeypatch):
+    """Rare words of a group of texts are merged in one go, with the ids of the merges one by one; long ones are not."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("etaoinshrdlué"), int(n))) for n in rng.integers(1, 40, 3000)] + ["aaaaaaa", "b", "é", "ststst"]
+    rules = bpe.Vocabulary(WORDS)
+    raws = [w.encode() for w in words]
+    ids, ends = bpe.ManyWords(rules).ids(raws)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [rules.ids(w) for w in raws]
+    codec = bpe_lexicon._Codec(WORDS, bpe_lexicon.compile_lexicon([], []))
+    alone = []
+    monkeypatch.setattr(codec.vocabulary, "ids", lambda raw: alone.append(raw) or rules.__class__.ids(codec.vocabulary, raw))
+    texts = [" ".join(words[:1500]), " ".join([*words, "x" * 100]), "", "<|endoftext|>"]
+    exact = Tokenizer.from_file(WORDS)
+    for _ in range(2):
+        coded = list(codec.texts(texts))
+        assert [np.frombuffer(i, "<u4").tolist() for i, _ in coded] == [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(alone) == {b"x" * 100} and "x" * 100 not in codec.chunks.held
+
+
 def test_worker_holds_one_word_codec():
     """Codecs of earlier jobs are let go: a worker that serves many lexicons holds the caches of the last one only."""
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["walking on"])], ["doc_id", "__text"])

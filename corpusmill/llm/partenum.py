@@ -15,7 +15,8 @@ all that share the signature but are still in different components, so a group o
 between components is lost. There two classes meet under their first common signature and under those that have none of the ``BEFORE`` signatures before
 them in common, so a pair that shares hundreds is not made hundreds of times. In a batch of
 rows only the first class of a signature travels; the others are tied to it at once. A lower bound on the difference (counts of elements in
-slots) drops most pairs, the rest is compared exactly on the 64-bit shingles.
+slots) drops most pairs, the rest is compared exactly on the 64-bit shingles. Pairs of the later rounds have passed a finer bound when they
+are made, and few pairs are compared at once: each bound only saves elements that would travel.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ PARITY = 1024
 LARGE, STARS = 200, 2
 #: Earlier signatures of a class that a row of the last round carries.
 BEFORE = 16
+#: Elements (8 bytes each) of all pairs up to which they are compared without wide sketches, and texts up to which their names are broadcast.
+LIGHT, NAMED = 4_000_000, 20_000
 
 
 def shingle_set(words: list[bytes], n: int) -> np.ndarray:
@@ -183,7 +186,8 @@ def _likely(num: int, den: int, slots: int):
             sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, slots).astype(np.int16) for c in ("sa", "sb"))
             apart = np.abs(sa - sb).sum(axis=1, dtype=np.int64)
             good = (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & ((den + num) * apart <= (den - num) * (na + nb))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
+            mask = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask), pa.array((na + nb)[good], pa.int64())], ["a", "b", "size"])
     return run
 
 
@@ -221,7 +225,7 @@ def _in_map(key: str, wanted: DataFrame, bits: int = MAP_BITS) -> Column:
 def _candidates(pairs: DataFrame, classes: DataFrame, num: int, den: int, slots: int) -> DataFrame:
     b = classes.select(F.col("k").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     a = classes.select(F.col("k").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(num, den, slots), "a long, b long"), "likely")
+    return stored(pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_likely(num, den, slots), "a long, b long, size long"), "likely")
 
 
 def _of_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, n: int, elements: bool) -> DataFrame:
@@ -229,16 +233,24 @@ def _of_pairs(pairs: DataFrame, texts: DataFrame, rows: DataFrame, n: int, eleme
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
     named = stored(texts.select("k", "__text_key").join(wanted, "k", "left_semi"), "texts")
     kind = "array<long>" if elements else "binary"
-    return stored(rows.where(_in_map("__text_key", named)).mapInArrow(_again(n, elements), f"__text_key long, n_shingles long, made {kind}")
+    if named.count() <= NAMED:
+        named = F.broadcast(named)
+        found = rows.join(named, "__text_key", "left_semi").select(*rows.columns)
+    else:
+        found = rows.where(_in_map("__text_key", named))
+    return stored(found.mapInArrow(_again(n, elements), f"__text_key long, n_shingles long, made {kind}")
                   .join(named, "__text_key").dropDuplicates(["k"]).select("k", "n_shingles", "made"), "sets")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets are similar enough: by sketch, by wide sketch, then by their elements."""
-    pairs = _candidates(pairs, texts, num, den, SLOTS)
-    wide = _of_pairs(pairs, texts, rows, n, False)
-    pairs = _candidates(pairs, wide.withColumnRenamed("made", "sketch"), num, den, WIDE)
-    discard(wide)
+    """Those of the pairs ``(a, b, size)`` of classes whose sets are similar enough: by wide sketch, if they are large together, then by their elements."""
+    size = pairs.agg(F.sum("size")).first()[0]
+    if not size:
+        return pairs.select("a", "b")
+    if size > LIGHT:
+        wide = _of_pairs(pairs, texts, rows, n, False)
+        pairs = _candidates(pairs, wide.withColumnRenamed("made", "sketch"), num, den, WIDE)
+        discard(wide)
     sets = _of_pairs(pairs, texts, rows, n, True)
     b = sets.select(F.col("k").alias("b"), F.col("made").alias("eb"))
     a = sets.select(F.col("k").alias("a"), F.col("made").alias("ea"))
@@ -280,8 +292,8 @@ def _mixed(many: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
         texts.select("k", F.col("n_shingles").alias("n"), *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY // 64)]), "k"), "placed")
 
 
-def _strangers(there: DataFrame, num: int, den: int, turn: int | None) -> DataFrame:
-    """Pairs ``(a, b)`` that share a signature across components, of sizes and parities that allow the threshold: of all classes outside the
+def _strangers(there: DataFrame, num: int, den: int, turn: int | None, sized: bool = False) -> DataFrame:
+    """Pairs ``(a, b)`` (``sized``: and ``size``, their elements together) that share a signature across components, of sizes and parities that allow the threshold: of all classes outside the
     main component, or, with a ``turn``, of one inside and one outside in each signature."""
     parities = range(PARITY // 64)
     if turn is None:
@@ -299,7 +311,7 @@ def _strangers(there: DataFrame, num: int, den: int, turn: int | None) -> DataFr
     # Sizes and parities are compared in the join, so it gives only pairs that may be similar.
     return there.join(strange, "sign").where(
         f"component <> cx AND {once}{den}L * least(n, nx) >= {num}L * greatest(n, nx) AND {den + num}L * ({differing}) <= {den - num}L * (n + nx){new}").select(
-        F.least("k", "x").alias("a"), F.greatest("k", "x").alias("b"))
+        F.least("k", "x").alias("a"), F.greatest("k", "x").alias("b"), *([F.expr("n + nx AS size")] if sized else []))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -331,20 +343,19 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     star = far.where(f"m > {FEW} AND k <> center").select("center", "k").union(near.select("center", "k")).select(
         F.least("center", "k").alias("a"), F.greatest("center", "k").alias("b"))
     first = stored(every.union(star).where("a < b").distinct(), "pairs")
-    links = _links(first, texts, rows, n, num, den)
+    links = _links(_candidates(first, texts, num, den, SLOTS), texts, rows, n, num, den)
     tied = near.select("sign").distinct()
     local = near.select("sign", "k").union(near.select("sign", F.col("center").alias("k")))
     many = stored(far.where(f"m > {FEW}").select("sign", "k").union(local).union(far.select("sign", "k").join(tied, "sign", "left_semi")).distinct(), "many")
     tried, found = first, components(links)
     for turn in [*range(STARS), None]:
         there = _mixed(many, found, texts)
-        pairs = stored(_strangers(there, num, den, turn).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(_strangers(there, num, den, turn, True).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = _links(pairs, texts, rows, n, num, den)
         discard(there)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
-        tried = tried.unionByName(pairs)
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        tried = tried.unionByName(pairs.select("a", "b"))
     grouped = found.withColumnRenamed("node", "k")
     return members.join(grouped, "k", "left").select(
         "__id", "__text_key", "n_shingles", "k", F.coalesce("component", "k").alias("component"))

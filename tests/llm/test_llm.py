@@ -291,6 +291,45 @@ def test_pairs_that_share_many_signatures_meet_few_times(spark):
     assert set(met) == {(1, 2), (3, 4)} and len(met) <= 4
 
 
+@pytest.fixture(scope="module")
+def near_copies():
+    rng = np.random.default_rng(8)
+    rows: list[tuple[int, str]] = []
+    for i in range(80):
+        copy = [f"v{i % 4}x{j}" for j in range(150)]
+        for place in rng.integers(0, 150, int(rng.integers(0, 4))):
+            copy[place] = f"x{rng.integers(0, 10_000)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_few_pairs_are_compared_at_once(spark, near_copies, monkeypatch):
+    """Sets of few pairs travel as they are, no sketches before them, and no map of the texts is made for them."""
+    made, sets = [], partenum._of_pairs
+    monkeypatch.setattr(partenum, "_of_pairs", lambda *x: made.append(x[-1]) or sets(*x))
+    monkeypatch.setattr(partenum, "_in_map", lambda *x: made.append("map"))
+    docs = spark.createDataFrame(near_copies, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in partenum.near_components(docs).collect())
+    assert got == sorted(brute.components(near_copies, 4, 85, 100)) and made and set(made) == {True}
+
+
+def test_many_pairs_give_the_same(spark, near_copies, monkeypatch):
+    monkeypatch.setattr(partenum, "LIGHT", 0)
+    monkeypatch.setattr(partenum, "NAMED", 0)
+    docs = spark.createDataFrame(near_copies, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in partenum.near_components(docs).collect())
+    assert got == sorted(brute.components(near_copies, 4, 85, 100))
+
+
+def test_stars_take_one_round(spark, monkeypatch):
+    """Components that are stars already are seen to be done after one round, without a second one."""
+    tables, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda *x: tables.append(x[1]) or stored(*x))
+    edges = spark.createDataFrame([(1, i) for i in range(2, 30)] + [(50, 51)], "a long, b long")
+    got = {r.node: r.component for r in graph.components(edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 30)}, 50: 50, 51: 50} and len(tables) == 3
+
+
 def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 101), (5, 4)], "a long, b long")
     got = {r.node: r.component for r in graph.components(edges).collect()}

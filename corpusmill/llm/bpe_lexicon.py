@@ -7,13 +7,14 @@ block of bytes, sent to the executors once and memory-mapped there.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import mmap
-import re
 import struct
 import tempfile
 import unicodedata
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from corpusmill.llm.bpe import WORD_PATTERN, ManyWords, Vocabulary, segments
 from corpusmill.llm.words import process_latest, small_batches
 
-#: Finished words and chunks that a worker keeps (of each as many older ones, and those of one group more).
-WORDS, CHUNKS = 100_000, 150_000
+#: Finished chunks that a worker keeps, words among them (as many older ones, and those of one group more).
+CHUNKS = 250_000
 #: Characters of the texts that are coded together, and bytes above which a word is merged by itself.
 GROUP, LONG = 1_000_000, 64
 
@@ -92,6 +93,11 @@ class Lexicon:
             at += 4 * size
         self.first, self.targets, self.outputs, self.offsets, self.ids = views
         self.finals, self.labels, self.root = at, at + n_states, n_states - 1
+        first, *self.arrays = (np.array(v, np.int64) for v in views)
+        labels = np.frombuffer(self.memory, np.uint8, n_arcs, self.labels)
+        # The labels of a state's arcs ascend, so these keys do.
+        self.keys = np.r_[np.repeat(np.arange(n_states) << 8, np.diff(first)) | labels, np.int64(1) << 62]
+        self.ends_word = np.frombuffer(self.memory, np.uint8, n_states, self.finals) != 0
 
     def find(self, word: bytes) -> list[int] | None:
         """The ids of a word, None if the lexicon lacks it."""
@@ -108,12 +114,48 @@ class Lexicon:
         return self.ids[self.offsets[place]:self.offsets[place + 1]].tolist()
 
 
+    def find_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the words the lexicon has, all ids of those in a row, and where each of them ends: the words walk side by side, a byte a step."""
+        targets, outputs, offsets, flat = self.arrays
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw, start = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(sizes) - sizes
+        state, place, going, known = np.full(len(words), self.root), np.zeros(len(words), np.int64), np.arange(len(words)), np.zeros(len(words), bool)
+        for depth in range(int(sizes.max(initial=0)) + 1):
+            done = sizes[going] == depth
+            known[going[done]] = self.ends_word[state[going[done]]]
+            going = going[~done]
+            key = state[going] << 8 | raw[start[going] + depth]
+            arc = np.searchsorted(self.keys, key)
+            there = self.keys[arc] == key
+            going, arc = going[there], arc[there]
+            place[going] += outputs[arc]
+            state[going] = targets[arc]
+            if not len(going):
+                break
+        at = place[known]
+        count = offsets[at + 1] - offsets[at]
+        ends = np.cumsum(count)
+        return known, flat[np.repeat(offsets[at] - ends + count, count) + np.arange(count.sum())], ends
+
+
 def normal(text: str) -> str:
     """NFC and lower case, character by character (a final sigma is an ordinary one)."""
     text = unicodedata.normalize("NFC", text)
     return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Python looks for no cycles inside: a group makes none, but very many small objects, each few of which start a search."""
+    before = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if before:
+            gc.enable()
+
+
 class _Codec:
     """Codes texts group by group: the new chunks of a group are split into words, and its new words are coded together."""
 
@@ -123,16 +165,7 @@ class _Codec:
         self.vocabulary, self.lexicon = Vocabulary(path), Lexicon(block)
         self.many = ManyWords(self.vocabulary)
         self.split = regex.compile(WORD_PATTERN).findall
-        self.words, self.chunks = Known(WORDS), Known(CHUNKS)
-        self.odd = re.compile("[\x1c-\x1f]").search  # str.split() takes these for white space, the tokenizer does not
-
-    def words_of(self, chunk: str) -> list[str]:
-        chunk = chunk.lower() if chunk.isascii() else normal(chunk)
-        if chunk.isalpha():
-            return [chunk]
-        if chunk[:-1].isalpha() and chunk[-1] in ",.":
-            return [chunk[:-1], chunk[-1]]
-        return self.split(chunk)
+        self.chunks = Known(CHUNKS)
 
     @staticmethod
     def joined(found: list[tuple[bytes, str]]) -> tuple[bytes, str]:
@@ -141,48 +174,68 @@ class _Codec:
     def packed(self, ids: list[int]) -> tuple[bytes, str]:
         return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.vocabulary.tokens[i] for i in ids])
 
+    def keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        held, name, start = self.chunks.held, self.vocabulary.tokens.__getitem__, 0
+        block, tokens = ids.astype("<u4").tobytes(), list(map(name, ids.tolist()))
+        for word, end in zip(words, ends.tolist()):
+            held[word] = block[4 * start:4 * end], " ".join(tokens[start:end])
+            start = end
+
     def learn(self, words: list[str]) -> None:
         """Codes new words: those of the lexicon by a walk through it, long ones one by one, the others merged together."""
-        rest, raws = [], []
-        for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
-            ids = self.lexicon.find(raw)
-            if ids is None and len(raw) > LONG:
-                ids = self.vocabulary.ids(raw)
-            if ids is None:
-                rest.append(word)
-                raws.append(raw)
+        raws = [w.encode("utf-8", "surrogatepass") for w in words]
+        known, ids, ends = self.lexicon.find_all(raws)
+        self.keep([words[i] for i in np.flatnonzero(known).tolist()], ids, ends)
+        rest = []
+        for i in np.flatnonzero(~known).tolist():
+            if len(raws[i]) > LONG:
+                self.chunks.held[words[i]] = self.packed(self.vocabulary.ids(raws[i]))
             else:
-                self.words.held[word] = self.packed(ids)
+                rest.append(i)
         if rest:
-            ids, ends = self.many.ids(raws)
-            block, tokens, start = ids.astype("<u4").tobytes(), [self.vocabulary.tokens[i] for i in ids.tolist()], 0
-            for word, end in zip(rest, ends.tolist()):
-                self.words.held[word] = block[4 * start:4 * end], " ".join(tokens[start:end])
-                start = end
+            self.keep([words[i] for i in rest], *self.many.ids([raws[i] for i in rest]))
 
     def pieces(self, text: str) -> list[str | int]:
-        """Chunks between white space, and the ids of special strings."""
+        """Chunks between white space in normal form, and the ids of special strings."""
         out: list[str | int] = []
         for part in segments(text, self.vocabulary.special):
-            if isinstance(part, int) or self.odd(part):
+            if isinstance(part, int):
+                out.append(part)
+                continue
+            part = part.lower() if part.isascii() else normal(part)
+            if "\x1c" in part or "\x1d" in part or "\x1e" in part or "\x1f" in part:  # str.split() takes these for white space, the tokenizer does not
                 out.append(part)
             else:  # white space always separates, so its chunks are coded by themselves
                 out += part.split()
         return out
 
     def group(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        cut = [self.pieces(t) for t in texts]
-        new = {c: [c] if isinstance(c, int) else self.words_of(c) for c in self.chunks.missing(set().union(*cut))}
-        made = self.words.missing({w for c, words in new.items() if isinstance(c, str) for w in words})
-        self.learn(made)
-        chunks, words = self.chunks.held, self.words.held
-        for c, inner in new.items():
-            chunks[c] = self.packed(inner) if isinstance(c, int) else self.joined([words[w] for w in inner])
-        out = [self.joined([chunks[c] for c in one]) for one in cut]
-        self.chunks.trim(new)
-        self.words.trim(made)
-        return out
+        with _no_cycles():
+            cut = [self.pieces(t) for t in texts]
+            new, words, marked, others, held = self.chunks.missing(set().union(*cut)), set(), [], [], self.chunks.held
+            for c in new:
+                if isinstance(c, int):
+                    held[c] = self.packed([c])
+                elif c.isalpha():  # a word, and coded alike as a part of other chunks
+                    words.add(c)
+                elif c[-1:] in (",", ".") and c[:-1].isalpha():
+                    marked.append((c, c[:-1], c[-1]))
+                else:
+                    others.append((c, self.split(c)))
+            inner = {w for _, found in others for w in found}
+            for _, word, mark in marked:
+                inner.add(word)
+                inner.add(mark)
+            words.update(self.chunks.missing(inner - words))
+            self.learn(list(words))
+            for c, word, mark in marked:
+                (ids, tokens), (last, point) = held[word], held[mark]
+                held[c] = ids + last, f"{tokens} {point}"
+            for c, found in others:
+                held[c] = self.joined([held[w] for w in found])
+            out = [self.joined([held[c] for c in one]) for one in cut]
+            self.chunks.trim([*new, *words])
+            return out
 
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         start = size = 0
@@ -203,19 +256,17 @@ class Known:
     def missing(self, wanted: set) -> list:
         """The wanted ones that have to be made; all others are in ``held`` then."""
         out, held, older = [], self.held, self.older
-        for x in wanted:
-            if x not in held:
-                if x in older:
-                    held[x] = older[x]
-                else:
-                    out.append(x)
+        for x in wanted.difference(held):
+            if x in older:
+                held[x] = older[x]
+            else:
+                out.append(x)
         return out
 
     def trim(self, made) -> None:
         """Lets long ones of those just made go, and the older half when full."""
-        for x in made:
-            if isinstance(x, str) and len(x) > self.longest:
-                del self.held[x]
+        for x in [x for x in made if isinstance(x, str) and len(x) > self.longest]:
+            self.held.pop(x, None)
         if len(self.held) >= self.limit:
             self.older, self.held = self.held, {}
 

@@ -100,6 +100,39 @@ def test_new_words_are_merged_together(monkeypatch):
     assert set(alone) == {b"x" * 100} and "x" * 100 not in codec.chunks.held
 
 
+def test_letter_case_and_marks_cost_no_new_words(monkeypatch):
+    """A chunk in capitals is the one in small letters, and a word is held once, as a chunk and as a part of others."""
+    codec = bpe_lexicon._Codec(WORDS, bpe_lexicon.compile_lexicon([b"on"], [bpe.Vocabulary(WORDS).ids(b"on")]))
+    exact, learned, learn = Tokenizer.from_file(WORDS), [], codec.learn
+    monkeypatch.setattr(codec, "learn", lambda words: learned.append(sorted(words)) or learn(words))
+    for text in ("walking, on", "Walking ON. WALKING,"):
+        assert [np.frombuffer(i, "<u4").tolist() for i, _ in codec.texts([text])] == [exact.encode(text, add_special_tokens=False).ids]
+    assert learned == [[",", "on", "walking"], ["."]] and set(codec.chunks.held) == {"walking", "walking,", "on", "on.", ",", "."}
+
+
+def test_words_walk_the_lexicon_side_by_side():
+    words = sorted({w.encode() for w in ("walking", "talking", "walk", "é", "a", "x" * 40)})
+    lexicon = bpe_lexicon.Lexicon(bpe_lexicon.compile_lexicon(words, [[i] * (1 + i % 3) for i in range(len(words))]))
+    asked = [*words[::-1], b"walkin", b"b", b"walkings", "è".encode(), b"a"]
+    known, ids, ends = lexicon.find_all(asked)
+    assert known.tolist() == [lexicon.find(w) is not None for w in asked]
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [lexicon.find(w) for w in asked if lexicon.find(w)]
+    known, ids, ends = bpe_lexicon.Lexicon(bpe_lexicon.compile_lexicon([], [])).find_all([b"a", b"bc"])
+    assert not known.any() and not len(ids) and not len(ends)
+
+
+def test_bpe_lexicon_of_odd_characters():
+    """White space, marks, case and composed characters of all kinds next to each other."""
+    rng = random.Random(4)
+    parts = ["a", "B", "É", "e\u0301", "\u0308", "\u0345", "Σ", "ς", "İ", "ß", "ﬁ", "K", "\u1100", "\u1161", "가", "日", "7", "٣", "Ⅷ", ".", ",", "..", "'s", "'", "’", "_",
+             " ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2000", "\u2028", "\u3000", "\u200b", "\ufeff", "\0", "<|endoftext|>", "<|", "😀", "word", "Word,"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    exact, codec = Tokenizer.from_file(WORDS), bpe_lexicon._Codec(WORDS, bpe_lexicon.compile_lexicon([], []))
+    for text, (ids, decoded) in zip(texts, codec.texts(texts)):
+        want = exact.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and decoded == exact.decode(want, skip_special_tokens=False), repr(text)
+
+
 def test_worker_holds_one_word_codec():
     """Codecs of earlier jobs are let go: a worker that serves many lexicons holds the caches of the last one only."""
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["walking on"])], ["doc_id", "__text"])

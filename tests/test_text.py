@@ -117,3 +117,41 @@ def test_prompt_needs_its_slots(spark):
 def test_lexicons_have_no_repeats():
     for words in (lx.TECHNICAL_TERMS, lx.CYBER_KEYWORDS, lx.EDUCATION_KEYWORDS, lx.CLOSED_CLASS):
         assert len(words) == len(set(words))
+
+
+def test_cleaner_looks_each_token_up_once(spark):
+    """A token is matched with one pattern at most, not with those of all classes, and a question does not take its whole text apart."""
+    docs = spark.createDataFrame([("x",)], "text string")
+
+    def optimized(c):
+        return docs.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+
+    assert optimized(tx.filter_tokens_by_class(F.split("text", " "))).count("RLIKE") == 1
+    assert "regexp_extract_all" not in optimized(tx.first_words("text", 3))
+
+
+def test_quick_class_filter_equals_the_classes(spark):
+    words = ["the", "The", "can", "which", "whose", "CAN", "tcp", "TCP", "is", "<url>", "<URL>", "<CODE1>", "7", "٣", "½", "é", "É", "日", "#", ".", "(", "_", "'", "and",
+             "above", "zero-day", "a1", "-", "ought", "cannot", "<the>", "{", "~", "`", "z"]
+    tokens = spark.createDataFrame([(words,), ([],), (None,)], "t array<string>")
+    for kind in ("question", "remarks", "improvements", "answer", "general"):
+        for lexicon in (("the", "can", "#"), lx.TECHNICAL_TERMS):
+            quick = tx.filter_tokens_by_class("t", kind, lexicon=lexicon)
+            plain = tx.filter_tokens_by_class("t", kind, lambda t: tx.token_class(t, lexicon))
+            assert [r.x for r in tokens.select(quick.alias("x")).collect()] == [r.x for r in tokens.select(plain.alias("x")).collect()]
+
+
+def test_terms_are_marked_beside_any_character(spark):
+    """Terms inside other words stay; characters that mark spans inside do not get in the way."""
+    def mark(c):
+        return tx.preserve_terms(c, ("ip", "ips", "i", "zero-day"))
+
+    assert run(spark, "Ip, ips-I xip IP_ zero-day éip (I)", mark) == "IP, IPS-I xip ip_ ZERO-DAY éip (I)"
+    assert run(spark, "a\x01ip\x02 I", mark).replace("\x01", "").replace("\x02", "") == "aIP I"
+
+
+def test_first_words_of_odd_texts(spark):
+    assert run(spark, " \n a\t\tb\x0bc ", lambda c: tx.first_words(c, 2)) == "a b"
+    assert run(spark, " a ", lambda c: tx.first_words(c, 1, "…")) == "a"
+    assert run(spark, " \n", lambda c: tx.first_words(c, 3, "…")) == ""
+    assert run(spark, "w " * 60_000, lambda c: F.length(tx.first_words(c, 50_000, "…"))) == 100_000

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.session import scratch_path, small_batches  # noqa: F401
+from corpusmill.session import discard, scratch_path, shuffles_removed, small_batches, stored  # noqa: F401
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,35 +31,6 @@ def process_latest(name: str, key: str, make: Callable[[], object]) -> object:
     return held[key]
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Nothing needs the shuffle files of the jobs inside once they have ended, so Spark may remove them at once."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, lost executors don't matter."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    with shuffles_removed(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame) -> None:
-    """Removes the files of a ``stored`` table that nothing reads any more."""
-    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Runs of characters other than space and \\x09-\\x0D, in UTF-8; ``lower`` changes A-Z alone. None has no words."""
     raw = (text or "").encode("utf-8", "surrogatepass")

@@ -4,13 +4,15 @@ Recent mode scores against the newest ``recent_n`` rows: they fit into one array
 so a question is scored in a projection without any shuffle. By word overlap alone, a task counts the common words with all of them at once.
 
 Whole-memory mode finds candidates exactly: equal texts by digest, contained texts by an automaton over all short texts that reads
-every long text once (or, for very many short texts, by a rare inner word pair), and overlapping texts by products of word counts
-of two parts in a task, which keeps the best partner only. Only candidates whose upper bound reaches the threshold are compared character by character.
+every long text once (or, for very many short texts, by a rare inner word pair). Texts that overlap by word Jaccard meet under their rare words,
+from a high similarity downwards, and a question goes no further down than to its best partner. With the full score, or a low threshold, they meet
+by products of word counts of two parts in a task, which keeps the best partner only. Only candidates whose upper bound reaches the threshold are
+compared character by character.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusmill.functions import similarity as sim
+# What Python workers call comes by name: a module would be shipped whole, with its Spark functions, which cannot be.
+from corpusmill.functions.similarity import SEQUENCE_WEIGHT, WORD_WEIGHT, ratio_if_enough
 from corpusmill.functions.text import let, words
 from corpusmill.operators.feedback import latest_per_key
-from corpusmill.session import broadcast_if_small, compute_once, cut_lineage, small_batches
+from corpusmill.session import broadcast_if_small, compute_once, cut_lineage, discard, small_batches, stored as saved
 
 SCORES = ("full", "jaccard", "exact_contains")
 _EPS = 1e-9
@@ -34,6 +38,10 @@ AUTOMATON_CHARS, AUTOMATON_PASSES = 2_000_000, 4
 # sample that the frequent words come from.
 PART_WORDS = 4_000_000
 _OWN, _SHARED, _TILE, _SAMPLE = 1024, 1024, 512, 20_000
+# Word Jaccard of at least this is found by rare words, at these levels first; so many frequencies order the words; bits of a sketch.
+_BY_WORDS, _LEVELS, _KNOWN, _BITS = 0.4, (0.95, 0.8), 500_000, 512
+# Word entries and pairs of a wave, whose shuffle files go with it, and rows of a broadcast side.
+_ENTRIES, _PAIRS, _SMALL = 6_000_000, 100_000, 500_000
 
 
 def _quick(asked: Column, stored: Column) -> Column:
@@ -344,7 +352,7 @@ def _likely(left: _Texts, right: _Texts, least: float, threshold: float | None)
     def bound(i, j, jaccard):
         if threshold is None:
             return jaccard
-        return 2.0 * np.minimum(left.long[i], right.long[j]) / (left.long[i] + right.long[j]) * sim.SEQUENCE_WEIGHT + jaccard * sim.WORD_WEIGHT
+        return 2.0 * np.minimum(left.long[i], right.long[j]) / (left.long[i] + right.long[j]) * SEQUENCE_WEIGHT + jaccard * WORD_WEIGHT
 
     floor = least if threshold is None else threshold
     for a in range(0, left.rows, _TILE):
@@ -388,8 +396,8 @@ def _best(left: _Texts, right: _Texts, least: float, threshold: float | None, sc
             x, y = left.text[row], right.text[other]
             if x in y or y in x:  # these have their rows already
                 continue
-            need = (max(threshold, score[row]) - sim.WORD_WEIGHT * shared) / sim.SEQUENCE_WEIGHT - _EPS
-            value = sim.ratio_if_enough(x, y, need) * sim.SEQUENCE_WEIGHT + shared * sim.WORD_WEIGHT
+            need = (max(threshold, score[row]) - WORD_WEIGHT * shared) / SEQUENCE_WEIGHT - _EPS
+            value = ratio_if_enough(x, y, need) * SEQUENCE_WEIGHT + shared * WORD_WEIGHT
             if value >= threshold and (value > score[row] or value == score[row] and (found[row] < 0 or right.place[other] > right.place[found[row]])):
                 score[row], found[row] = value, other
 
@@ -456,6 +464,137 @@ def _best_overlapping(asked: DataFrame, stored: DataFrame, least: float, thresho
     return both.repartitionById(na * nb, "cell").mapInArrow(_best_of_cells(frequent, least, threshold), "q string, m string, at long, id long, similarity double")
 
 
+def _rare_first(known: np.ndarray, times: np.ndarray):
+    """Each batch with its words from rare to frequent, and (n, s0, s1, ...): their number, and the parity of the words of each of ``_BITS`` slots."""
+    longs = _BITS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            word, size = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(size)), size)
+            near = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
+            often = np.where(known[near] == word, times[near], 0) if len(known) else np.zeros(len(word), np.int64)
+            word = word[np.lexsort((word, often, owner))]
+            cells = owner * _BITS + (word & (_BITS - 1))
+            parity = np.empty((len(size), longs), np.int64)
+            for lo in range(0, len(size), 512):
+                hi = min(lo + 512, len(size))
+                some = cells[np.searchsorted(owner, lo):np.searchsorted(owner, hi)] - lo * _BITS
+                odd = np.bincount(some, minlength=(hi - lo) * _BITS).astype(np.uint8) & 1
+                parity[lo:hi] = np.packbits(odd).view(np.int64).reshape(-1, longs)
+            ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+            kept = [c for c in batch.schema.names if c != "words"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.ListArray.from_arrays(ends, pa.array(word)), pa.array(size.astype(np.int32)),
+                                              *[pa.array(parity[:, i].copy()) for i in range(longs)]], [*kept, "words", "n", *[f"s{i}" for i in range(longs)]])
+    return run
+
+
+def _best_by_words(asked: DataFrame, stored: DataFrame, threshold: float, sample: DataFrame | None = None, levels: Sequence[float] = _LEVELS,
+                   entries: int = _ENTRIES, pairs: int = _PAIRS) -> DataFrame:
+    """(q, m, at, id, similarity): the best partner of each asked text by word Jaccard, at least ``threshold``.
+
+    Two sets with a Jaccard of t share a word among the first n - t * n + 1 of each set of n words, in any common order; rare words
+    come first (``sample`` has texts to count them in). So texts meet under few rare words at a high level, and only texts without a
+    partner there go on to the next one. Pairs whose sizes or parities exclude the level never leave the join. Of a text's candidates
+    those with the highest bound are compared first, then those whose bound reaches what was found. Large joins are done in waves of
+    so many word entries or pairs, each of which leaves narrow rows only.
+    """
+    longs = range(_BITS // 64)
+
+    def sets(df: DataFrame) -> DataFrame:
+        known = compute_once(df, {"words": F.transform(F.array_distinct(words("text")), lambda w: F.xxhash64(w))}).drop("text")
+        return known.filter(F.size("words") > 0)
+
+    # Which words count as rare decides how much is compared and never what is found.
+    counted = sets((stored if sample is None else sample).select("text")).select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    table = counted.filter("n > 1").orderBy(F.desc("n"), "w").limit(_KNOWN).toArrow()
+    seen, times = table.column("w").to_numpy(), table.column("n").to_numpy()
+    order = np.argsort(seen)
+    ordered = _rare_first(seen[order], times[order])
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        made = sets(df).withColumn("num", F.monotonically_increasing_id())
+        kinds = [f"`{c}` {kind}" for c, kind in made.dtypes if c != "words"] + ["words array<long>", "n int", *[f"s{i} long" for i in longs]]
+        return saved(made.mapInArrow(ordered, ", ".join(kinds)), name)
+
+    others = numbered(stored.select("key", "text", "at", "id"), "recall-stored")
+    open_ = numbered(asked.select("key", "text"), "recall-asked")
+
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= _SMALL else df
+
+    def first(level: float) -> Column:
+        return (F.col("n") - F.ceil(F.col("n") * level - _EPS) + 1).cast("int")
+
+    def met(level: float) -> DataFrame:
+        """(a, b, bound) of the pairs that may reach the level."""
+        used = longs if level < 0.9 else longs[::2]  # parities of half the slots tell unlike sets from very similar ones
+
+        def entered(df: DataFrame, num: str, mark: str) -> DataFrame:
+            return df.select(F.col(num), F.col("n").alias(f"n{mark}"), *[F.col(f"s{i}").alias(f"{mark}{i}") for i in used],
+                             F.explode(F.slice("words", F.lit(1), first(level))).alias("w"))
+
+        least, most, mine = open_.agg(F.min("n"), F.max("n"), F.sum(first(level))).first()
+        fitting = others.filter(F.col("n").between(F.lit(least * level - _EPS), F.lit(most / level + _EPS)))
+        theirs = fitting.agg(F.coalesce(F.sum(first(level)), F.lit(0))).first()[0]
+        waves = -(-(mine + theirs) // entries)
+        left, right = entered(open_.withColumnRenamed("num", "a"), "a", "x"), entered(fitting.withColumnRenamed("num", "b"), "b", "y")
+        if mine <= _SMALL:
+            waves, right = 1, right.join(F.broadcast(left.select("w").distinct()), "w", "left_semi")
+        sizes = (F.col("nx") >= F.col("ny") * level - _EPS) & (F.col("ny") >= F.col("nx") * level - _EPS)
+        apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in used), F.lit(0))
+        # As many words as there are odd slots, at least, are in one of the two only.
+        total = F.col("nx") + F.col("ny")
+        bound = F.least((total - apart) / (total + apart), F.least("nx", "ny") / F.greatest("nx", "ny"))
+        found = None
+        for wave in range(waves):
+            mark = F.pmod(F.xxhash64("w"), F.lit(waves)) == wave
+            both = left.filter(mark).join(right.filter(mark), "w").filter(sizes & (apart <= total * ((1 - level) / (1 + level)) + _EPS))
+            part = saved(both.select("a", "b", bound.alias("bound")).groupBy("a", "b").agg(F.first("bound").alias("bound")), "recall-met")
+            found = part if found is None else found.unionByName(part)
+        return found if waves == 1 else found.groupBy("a", "b").agg(F.first("bound").alias("bound"))
+
+    def common(some: DataFrame) -> DataFrame:
+        """(a, similarity, at, id, m) of the stored pairs (a, b)."""
+        rows = some.count()
+        waves = max(1, min(16, -(-rows // pairs)))
+        found = None
+        for wave in range(waves):
+            part = small(some.filter(F.pmod("b", F.lit(waves)) == wave), rows // waves)
+            one = open_.select(F.col("num").alias("a"), F.col("words").alias("x")).join(part, "a")
+            two = others.filter(F.pmod("num", F.lit(waves)) == wave).select(F.col("num").alias("b"), F.col("words").alias("y"), F.col("key").alias("m"), "at", "id")
+            two = two.join(small(part.select("b").distinct(), rows // waves), "b", "left_semi")
+            sizes = F.struct(F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
+            likeness = let(sizes, lambda v: v["both"] / (v["all"] - v["both"]))
+            done = saved(one.join(two, "b").select("a", likeness.alias("similarity"), "at", "id", "m"), "recall-common")
+            found = done if found is None else found.unionByName(done)
+        return found
+
+    found = None
+    for level in [x for x in levels if x > threshold] + [threshold]:
+        if open_.isEmpty():
+            break
+        near = saved(met(level), "recall-near")
+        top = near.groupBy("a").agg(F.max("bound").alias("top"))
+        tops = saved(near.join(top, "a").select("a", "b", "bound", "top"), "recall-tops")
+        ahead = F.col("bound") >= F.col("top") - _EPS
+        best = common(tops.filter(ahead).select("a", "b"))
+        reached = best.groupBy("a").agg(F.max("similarity").alias("reached"))
+        rest = saved(tops.filter(~ahead).join(reached, "a").filter(F.col("bound") >= F.col("reached") - _EPS).select("a", "b"), "recall-rest")
+        best = best.unionByName(common(rest)).filter(F.col("similarity") >= level).groupBy("a").agg(
+            F.max(F.struct("similarity", "at", "id", "m")).alias("o"))
+        best = saved(open_.select(F.col("num").alias("a"), F.col("key").alias("q")).join(best, "a").select("a", "q", "o.*"), "recall-best")
+        found = best if found is None else found.unionByName(best)
+        if level > threshold:
+            before, done = open_, best.select(F.col("a").alias("num"))
+            open_ = saved(before.join(F.broadcast(done) if best.count() <= 10 * _SMALL else done, "num", "left_anti"), "recall-asked")
+            discard(before)
+    if found is None:
+        return asked.sparkSession.createDataFrame([], "q string, m string, at long, id long, similarity double")
+    return found.select("q", "m", "at", "id", "similarity")
+
+
 def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, score: str = "full", question: str = "question",
                block: int = 5000, max_chars: int = AUTOMATON_CHARS, max_passes: int = AUTOMATON_PASSES) -> DataFrame:
     """As ``recall_recent`` against the whole memory. The full score needs a threshold above 0.6: below it, texts
@@ -469,31 +608,43 @@ def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, sc
         return (df.withColumn("text", sim.normalized(column)).filter(F.length("text") > 0)
                 .select(F.md5("text").alias("key"), "text", *extra))
 
+    def answered(named: DataFrame) -> DataFrame:
+        return queries.withColumn("_q", F.md5(sim.normalized(question))).join(named.withColumnRenamed("q", "_q"), "_q", "left").drop("_q")
+
+    asked = texts(queries, question).select("key", "text").distinct()
+    every = texts(memory, "question", "created_at", F.col("id").cast("long").alias("id"), F.col("question").alias("raw"))
+    latest = latest_per_key(every.drop("text"), ["key"], ["created_at", "id"])
+    if score == "jaccard" and threshold >= _BY_WORDS:
+        latest = latest.withColumns({"at": F.unix_micros("created_at"), "text": sim.normalized("raw")})
+        count = memory.count()
+        sample = memory.sample(fraction=_SAMPLE / count, seed=1) if count > _SAMPLE else memory
+        best = _best_by_words(asked, latest, threshold, texts(sample, "question")).filter(F.col("similarity") > 0)
+        # The question as it was written comes from a second look at the memory, so that no task stores it.
+        written = every.groupBy(F.col("key").alias("_m"), F.unix_micros("created_at").alias("_at"), F.col("id").alias("_id")).agg(F.max("raw").alias("match_question"))
+        row = (F.col("m") == F.col("_m")) & F.col("at").eqNullSafe(F.col("_at")) & F.col("id").eqNullSafe(F.col("_id"))
+        return answered(best.join(written, row, "left").select("q", F.col("id").alias("match_id"), "match_question", "similarity"))
     none = F.lit(None).cast("long")
-    asked = texts(queries, question).groupBy("key", "text").agg(F.count(F.lit(1)).alias("times")).withColumns({"at": none, "id": none})
-    stored = latest_per_key(texts(memory, "question", "created_at", F.col("id").cast("long").alias("id"), F.col("question").alias("raw")), ["key"],
-                            ["created_at", "id"])
-    asked, stored = cut_lineage(asked), cut_lineage(stored.withColumn("at", F.unix_micros("created_at")))
+    asked, stored = cut_lineage(asked.withColumns({"at": none, "id": none})), cut_lineage(latest.withColumn("at", F.unix_micros("created_at")))
+    stored = stored.withColumn("text", sim.normalized("raw"))
 
     rows = []  # (q, m, at, id, similarity)
     if score != "jaccard":
         same = asked.select(F.col("key").alias("q")).join(stored.select(F.col("key").alias("q"), F.col("key").alias("m"), "at", "id"), "q")
         rows.append(same.withColumn("similarity", F.lit(1.0)))
-        if threshold <= sim.CONTAINED:
-            for small, large, asked_is_small in ((asked, stored, True), (stored, asked, False)):
-                held = _newest_holding(small, large, asked_is_small, block, max_chars, max_passes)
-                rows.append(held.filter("q <> m").withColumn("similarity", F.lit(sim.CONTAINED)))
+    if score != "jaccard" and threshold <= sim.CONTAINED:
+        for small, large, asked_is_small in ((asked, stored, True), (stored, asked, False)):
+            held = _newest_holding(small, large, asked_is_small, block, max_chars, max_passes)
+            rows.append(held.filter("q <> m").withColumn("similarity", F.lit(sim.CONTAINED)))
     if score != "exact_contains":
         least = threshold if score == "jaccard" else (threshold - sim.SEQUENCE_WEIGHT) / sim.WORD_WEIGHT
         rows.append(_best_overlapping(asked, stored, least, None if score == "jaccard" else threshold).filter(
             (F.col("similarity") >= threshold) & (F.col("similarity") > 0)))
-    every = rows[0]
-    for more in rows[1:]:
-        every = every.unionByName(more)
-    best = every.groupBy("q").agg(F.max(F.struct("similarity", "at", "id", "m")).alias("b")).select("q", "b.m", "b.similarity")
-    named = best.join(stored.select(F.col("key").alias("m"), F.col("id").alias("match_id"), F.col("raw").alias("match_question")), "m").select(
-        F.col("q").alias("_q"), "match_id", "match_question", "similarity")
-    return queries.withColumn("_q", F.md5(sim.normalized(question))).join(named, "_q", "left").drop("_q")
+    found = rows[0]
+    for part in rows[1:]:
+        found = found.unionByName(part)
+    best = found.groupBy("q").agg(F.max(F.struct("similarity", "at", "id", "m")).alias("b")).select("q", "b.m", "b.similarity")
+    return answered(best.join(stored.select(F.col("key").alias("m"), F.col("id").alias("match_id"), F.col("raw").alias("match_question")), "m").select(
+        "q", "match_id", "match_question", "similarity"))
 
 
 def recall_join(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, recent_n: int | None = 50,

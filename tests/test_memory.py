@@ -337,3 +337,39 @@ def test_recent_overlap_is_counted_once_for_all_stored_rows(spark):
         assert "MapInArrow" in got._jdf.queryExecution().toString() and "array_intersect" not in got._jdf.queryExecution().toString()
     nothing = recall.recall_recent(queries, memory.limit(0), 0.3, 5, "jaccard").collect()
     assert len(nothing) == len(asked) and all(r.match_id is None and r.similarity is None for r in nothing)
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.75])
+def test_best_by_words_meets_under_rare_words(spark, threshold):
+    """Equal to all pairs, in one wave and in many; common words, near copies and sets of one word included."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = {" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(400)], k=rng.randint(1, 60))) for _ in range(250)}
+    for t in sorted(texts)[::3]:
+        w = t.split()
+        texts |= {" ".join(w[1:] or w), " ".join(w[::-1]), " ".join([*w, "more"])}
+    data = [(f"k{i:04d}", t, None if i % 11 == 0 else i // 3, i % 7) for i, t in enumerate(sorted(texts))]
+    stored = spark.createDataFrame(data, "key string, text string, at long, id long").repartition(3)
+    asked = stored.filter("substr(key, 5) % 2 = 0").select(F.concat(F.lit("a"), "key").alias("key"), F.regexp_replace("text", r"^\S+ ", "").alias("text"))
+    sets = {k: (set(t.split()), (at is not None, at or 0, i, k)) for k, t, at, i in data}
+    want = {}
+    for r in asked.collect():
+        x = set(r["text"].split())
+        best = max((len(x & y) / len(x | y), order) for y, order in sets.values())
+        if best[0] >= threshold:
+            want[r["key"]] = (best[1][3], best[0])
+    for more in ({}, {"entries": 2000, "pairs": 50}, {"levels": ()}):
+        rows = recall._best_by_words(asked, stored, threshold, **more).collect()
+        assert {r["q"]: (r["m"], r["similarity"]) for r in rows} == want and len(rows) == len(want) > 50
+
+
+def test_recall_runs_after_a_similarity_function_was_used(spark):
+    """Functions shipped by value took the module of the similarity functions along, which cannot be shipped once one of them has run."""
+    import __spark_entry__  # noqa: F401
+    from corpusmill.functions import similarity
+
+    asked = spark.createDataFrame([(1, "what is the dns"), (2, "route a packet")], "n int, question string")
+    assert asked.select(similarity.sequence_ratio("question", "question").alias("r")).first()["r"] == 1.0
+    memory = spark.createDataFrame([(7, "what is a dns", START)], "id long, question string, created_at timestamp")
+    for score, threshold in (("full", 0.7), ("jaccard", 0.3), ("jaccard", 0.5)):
+        assert {r["n"]: r["match_id"] for r in recall.recall_all(asked, memory, threshold, score).collect()} == {1: 7, 2: None}

@@ -629,13 +629,16 @@ def recall_all(queries: DataFrame, memory: DataFrame, threshold: float = 0.7, sc
 
     rows = []  # (q, m, at, id, similarity)
     if score != "jaccard":
-        same = asked.select(F.col("key").alias("q")).join(stored.select(F.col("key").alias("q"), F.col("key").alias("m"), "at", "id"), "q")
+        same = cut_lineage(asked.select(F.col("key").alias("q")).join(stored.select(F.col("key").alias("q"), F.col("key").alias("m"), "at", "id"), "q"))
         rows.append(same.withColumn("similarity", F.lit(1.0)))
-    if score != "jaccard" and threshold <= sim.CONTAINED:
+        # Nothing is as similar as an equal text, so texts that have one look for no other.
+        asked = cut_lineage(asked.join(same.select(F.col("q").alias("key")), "key", "left_anti"))
+    more = not asked.isEmpty()
+    if more and score != "jaccard" and threshold <= sim.CONTAINED:
         for small, large, asked_is_small in ((asked, stored, True), (stored, asked, False)):
             held = _newest_holding(small, large, asked_is_small, block, max_chars, max_passes)
             rows.append(held.filter("q <> m").withColumn("similarity", F.lit(sim.CONTAINED)))
-    if score != "exact_contains":
+    if score != "exact_contains" and (more or not rows):
         least = threshold if score == "jaccard" else (threshold - sim.SEQUENCE_WEIGHT) / sim.WORD_WEIGHT
         rows.append(_best_overlapping(asked, stored, least, None if score == "jaccard" else threshold).filter(
             (F.col("similarity") >= threshold) & (F.col("similarity") > 0)))

@@ -373,3 +373,15 @@ def test_recall_runs_after_a_similarity_function_was_used(spark):
     memory = spark.createDataFrame([(7, "what is a dns", START)], "id long, question string, created_at timestamp")
     for score, threshold in (("full", 0.7), ("jaccard", 0.3), ("jaccard", 0.5)):
         assert {r["n"]: r["match_id"] for r in recall.recall_all(asked, memory, threshold, score).collect()} == {1: 7, 2: None}
+
+
+def test_equal_questions_are_not_compared_further(spark, monkeypatch):
+    asked = spark.createDataFrame([(1, "What is dns"), (2, "how to route")], "n int, question string")
+    memory = spark.createDataFrame([(7, "what is dns ", START), (8, "what is dns now", START), (9, "how to route a packet", START)],
+                                   "id long, question string, created_at timestamp")
+    seen = []
+    whole = recall._best_overlapping
+    monkeypatch.setattr(recall, "_best_overlapping", lambda asked, *a: seen.append(asked.count()) or whole(asked, *a))
+    got = {r["n"]: (r["match_id"], r["similarity"]) for r in recall.recall_all(asked, memory, 0.7).collect()}
+    assert got == {1: (7, 1.0), 2: (9, 0.9)} and seen == [1]
+    assert recall.recall_all(asked.filter("n = 1"), memory, 0.7).first()["match_id"] == 7 and seen == [1]  # none is left to compare

@@ -327,3 +327,64 @@ def test_models_and_encoders_see_small_batches(spark):
         assert vocab.token_encoder(vocab.build_vocabulary(asked, "p", 50, 1)) and int(spark.conf.get(key)) <= 500
     finally:
         spark.conf.set(key, before)
+
+
+def sparse_rows(rng, rows, terms, each, near):
+    """Unit rows of ``each`` terms in four clusters of terms; the last ``near`` resemble the first ones."""
+    matrix = np.zeros((rows, terms))
+    for i in range(rows):
+        matrix[i, i % 4 * (terms // 4) + rng.choice(terms // 4, each, replace=False)] = rng.random(each) + 0.1
+    matrix[rows - near:] = matrix[:near] * (1 + 0.1 * rng.random((near, terms)))
+    return matrix / np.linalg.norm(matrix, axis=1)[:, None]
+
+
+def packed(matrix, first=0):
+    return [(first + i, bytearray(np.flatnonzero(r).astype(np.int32).tobytes()), bytearray(r[r > 0].tobytes()), 1) for i, r in enumerate(matrix)]
+
+
+def side(matrix, first=0):
+    import pyarrow as pa
+    columns = zip(*[(k, bytes(a), bytes(b), n) for k, a, b, n in packed(matrix, first)])
+    return dedupe._Side([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))],
+                                                    ["rk", "ranks", "weights", "copies"])])
+
+
+@pytest.mark.parametrize("terms", [200, 800, 1500])
+def test_unlike_rows_are_left_to_a_bound(terms, monkeypatch):
+    matrix = sparse_rows(np.random.default_rng(terms), 3300, terms, 12, 60)
+    cosine = matrix @ matrix.T
+    whole, dense = [], dedupe._Side.dense
+    monkeypatch.setattr(dedupe._Side, "dense", lambda self, start, first, kind=np.float32: whole.append(kind is np.float32) or dense(self, start, first, kind))
+    for same in (True, False):
+        left = side(matrix if same else matrix[:2500])
+        right = left if same else side(matrix[2500:], 2500)
+        got = {}
+        for i, j, value in dedupe._multiply(left, right, 0.8, same):
+            got |= {tuple(sorted(pair)): v for *pair, v in zip(left.key[i].tolist(), right.key[j].tolist(), value.tolist())}
+        want = {(i, j): cosine[i, j] for i, j in np.argwhere(cosine > 0.8).tolist() if i < j and (same or i < 2500 <= j)}
+        assert got.keys() == want.keys() and len(want) >= 60 and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+    assert terms == 200 or not any(whole)  # no tile was multiplied over all terms
+
+
+def test_rows_that_resemble_kept_ones_go_where_they_are(spark):
+    rng = np.random.default_rng(9)
+    matrix = sparse_rows(rng, 900, 700, 12, 90)
+    matrix[500:520] = 0
+    matrix[500:520, 690:] = 1 / np.sqrt(10)  # terms that no kept row has
+    kept, later = matrix[:400], matrix[400:]
+    ddl = "rk long, ranks binary, weights binary, copies long"
+    frames = [spark.createDataFrame(packed(m, n), ddl).drop("copies").repartition(3) for m, n in ((kept, 0), (later, 400))]
+    left = spark.createDataFrame(frames[1].collect(), frames[1].schema)
+    out = left.mapInArrow(dedupe._unlike(frames[0], 0.8), left.schema)
+    assert "Exchange" not in out._jdf.queryExecution().toString()  # before, every row was shipped for each round
+    assert sorted(r["rk"] for r in out.collect()) == [400 + i for i, x in enumerate((later @ kept.T).max(axis=1)) if x <= 0.8]
+
+
+@pytest.mark.parametrize("limits", [{}, {"_SENT": 10, "_SHIPPED": 100}])
+def test_near_dedupe_in_place_and_in_waves(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(dedupe, name, value)
+    texts = corpus(6, 300)
+    df = frame(spark, list(texts.items()), "row_id long, t string").repartition(3)
+    kept = sorted(r["row_id"] for r in dedupe.near_dedupe(df, "t", threshold=0.8, first_batch=60, growth=2, block=20).collect())
+    assert kept == greedy(texts, 0.8, sorted(texts))

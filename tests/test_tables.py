@@ -388,3 +388,17 @@ def test_near_dedupe_in_place_and_in_waves(spark, monkeypatch, limits):
     df = frame(spark, list(texts.items()), "row_id long, t string").repartition(3)
     kept = sorted(r["row_id"] for r in dedupe.near_dedupe(df, "t", threshold=0.8, first_batch=60, growth=2, block=20).collect())
     assert kept == greedy(texts, 0.8, sorted(texts))
+
+
+def test_packed_vectors_equal_tfidf(spark):
+    """The join's vectors come packed from the terms in one pass; weights, ranks and copies are those of ``tfidf``."""
+    texts = corpus(7, 90) | {500: "", 501: "w1 w1 w2", 502: "w2 w1 w1", 503: "!"}
+    df = frame(spark, list(texts.items()), "row_id long, t string").repartition(3)
+    digests, firsts, vectors = dedupe.distinct_vectors(df, "t", "row_id", 25, ())
+    assert "ArrowEvalPython" not in vectors._jdf.queryExecution().toString() and digests.count() == len(texts)
+    chosen = firsts.select(F.col("o.first").alias("row_id"), "copies")
+    distinct = df.join(chosen, "row_id")
+    want = {r["row_id"]: [(x["rank"], x["w"]) for x in r["vec"]] for r in dedupe.tfidf(
+        distinct, "t", "row_id", 25, (), df.agg(F.count(F.lit(1))).scalar(), "copies").collect()}
+    got = {r["row_id"]: list(zip(np.frombuffer(r["ranks"], np.int32).tolist(), np.frombuffer(r["weights"]).tolist())) for r in vectors.collect()}
+    assert got == want and {r["row_id"]: r["copies"] for r in chosen.collect()}[501] == 2
